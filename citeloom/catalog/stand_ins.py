@@ -68,7 +68,7 @@ class Tables:
         return exploded.select(
             "paper_id", (F.col("page") - 1).alias("page_idx"),
             (F.col("i") * 40 + F.floor(F.col("w") / 10) * 14 + F.lit(0.25)).cast("double").alias("top"),
-            (F.col("w") % 10).cast("double").alias("x0"), "text",
+            (F.col("w") % 10).cast("double").alias("x0"), (F.col("i") * 100000 + F.col("w")).alias("seq"), "text",
             (F.lit(10.0) + F.col("n") % 5).alias("size"),
             F.when(F.col("n") % 3 == 0, "F-Bold").otherwise("F").alias("font"))
 
@@ -212,7 +212,7 @@ from (select paper_id, page - 1 as page_idx, idx as block_idx,
              generate_subscripts(string_split(text, '. '), 1) - 1 as line_idx from paragraphs)"""),
     "words": (("paragraphs",), """
 select paper_id, page - 1 as page_idx, cast(i * 40 + (w // 10) * 14 + 0.25 as double) as top,
-       cast(w % 10 as double) as x0, text, 10.0::double + n % 5 as size,
+       cast(w % 10 as double) as x0, i * 100000 + w as seq, text, 10.0::double + n % 5 as size,
        case when n % 3 = 0 then 'F-Bold' else 'F' end as font
 from (select paper_id, page, i, length(text) as n, unnest(string_split(text, ' ')) as text,
              generate_subscripts(string_split(text, ' '), 1) - 1 as w from paragraphs)"""),
