@@ -22,10 +22,10 @@ from citeloom.sources.event_log import EVENT_SCHEMA, TIMESTAMP_FORMAT
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Log volume one micro-batch takes in; it bounds what one job can hold in a batch.
-BATCH_BYTES = "256m"
+BATCH_BYTES = 256 * 1024 * 1024
 
 
-def live_events(spark: SparkSession, path: str, batch_bytes: str = BATCH_BYTES) -> DataFrame:
+def live_events(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The NDJSON event log as a stream; lines that do not parse are left out."""
     raw = (spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true")
            .option("timestampFormat", TIMESTAMP_FORMAT).option("maxBytesPerTrigger", batch_bytes).json(path))
