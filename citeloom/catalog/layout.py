@@ -23,7 +23,7 @@ def _(t):
     """Typographic variants of every document fold back to the document itself."""
     fancy = F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("'"), F.lit("’"))
     fancy = F.replace(fancy, F.lit("ffl"), F.lit("ﬄ"))
-    return t.raw("documents").select("doc_id", F.md5(X.normalize_text(fancy)).alias("clean"))
+    return t.documents.select("doc_id", F.md5(X.normalize_text(fancy)).alias("clean"))
 
 
 @query("parse_authors", "paragraphs", sql="""
@@ -46,7 +46,7 @@ SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(trim(text,
 select doc_id, cast(len({SENTENCES}) as integer) as n, md5(array_to_string({SENTENCES}, '|')) as sentences from documents""")
 def _(t):
     pieces = X.split_sentences(F.col("text"))
-    return t.raw("documents").select("doc_id", F.size(pieces).alias("n"), F.md5(listed(pieces)).alias("sentences"))
+    return t.documents.select("doc_id", F.size(pieces).alias("n"), F.md5(listed(pieces)).alias("sentences"))
 
 
 @query("slugify", "paragraphs", sql=r"""
@@ -102,7 +102,7 @@ PLACES = r"(select '\b(?:' || string_agg(n_name, '|' order by length(n_name) des
 
 def placed_texts(t):
     nations = t.raw("nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    docs = t.raw("documents").withColumn("k", (F.col("doc_id") % 25).cast("int"))
+    docs = t.documents.withColumn("k", (F.col("doc_id") % 25).cast("int"))
     return docs.join(nations, "k").select("doc_id", F.concat("text", F.lit(" Seen in "), "n_name", F.lit(".")).alias("text"))
 
 

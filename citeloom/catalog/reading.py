@@ -344,7 +344,7 @@ def _(t):
 select doc_id, reason from (select doc_id, case when length(trim(text, ' ' || chr(10) || chr(9))) = 0 then 'Message cannot be empty'
   when length(trim(text, ' ' || chr(10) || chr(9))) > 10000 then 'Message too long (max 10000 characters)' end as reason from documents) where reason is not null""")
 def _(t):
-    return checks.message_limits(t.raw("documents")).select("doc_id", "reason")
+    return checks.message_limits(t.documents).select("doc_id", "reason")
 
 
 @query("check_label_domain", "log", sql="""

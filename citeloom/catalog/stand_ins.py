@@ -25,12 +25,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Documents, spread over the cores when the folder has fewer splits than cores."""
+        docs = self.raw("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
     # papers, paragraphs and layout ------------------------------------------------------------
 
     @property
     def papers(self) -> DataFrame:
         lines = F.split("text", "\n")
-        return self.raw("documents").select(
+        return self.documents.select(
             F.col("source").alias("job_id"), F.col("doc_id").alias("paper_id"),
             F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"),
             lines[0].alias("title"), F.array("lang").alias("authors"),
@@ -39,7 +46,7 @@ class Tables:
 
     @property
     def paragraphs(self) -> DataFrame:
-        lines = self.raw("documents").select(
+        lines = self.documents.select(
             F.col("source").alias("job_id"), F.col("doc_id").alias("paper_id"),
             F.posexplode(F.split("text", "\n")).alias("i", "text"))
         level = F.when(F.col("i") == 0, 1).when(F.length("text") % 7 == 0, 2).otherwise(0)

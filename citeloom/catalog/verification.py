@@ -189,7 +189,7 @@ def _(t):
 
 
 def gate_inputs(t):
-    docs, labels = t.raw("documents"), t.raw("labels")
+    docs, labels = t.documents, t.raw("labels")
     lines = F.split("text", "\n")
     heads = docs.select(F.col("doc_id").alias("job_id"), F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(lines[0]).alias("title"),
                         F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("abstract"))
@@ -333,7 +333,7 @@ select doc_id, case when ok then round((f1::int + f2::int + f3::int + f4::int +
    else 'Missing fields: ' || concat_ws(', ', case when not f1 then 'title' end, case when not f2 then 'abstract' end, case when not f3 then 'sections' end,
      case when not f4 then 'citations' end, case when not f5 then 'references' end) end as reason from given""")
 def _(t):
-    docs = t.raw("documents").select("doc_id", F.expr(REVIEW_JSON).alias("review_json"))
+    docs = t.documents.select("doc_id", F.expr(REVIEW_JSON).alias("review_json"))
     return evals.schema_completeness(docs).select("doc_id", F.round("score", 9).alias("score"), "reason")
 
 

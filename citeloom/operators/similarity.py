@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.functions.vectors import cosine, dot, norm
+from citeloom.functions.vectors import dot, norm
 from citeloom.runtime import materialise
 
 # Similarity thresholds of theme clustering.
@@ -25,7 +25,7 @@ COARSE_THRESHOLD_SHARED_ENTITY = 0.72
 RECONCILE_THRESHOLD = 0.85
 
 BLOCK_ROWS = 2048
-DIRECTION_BITS = 8
+DIRECTION_BITS = 12
 SLACK = 1e-6  # widens the block bound against rounding
 
 
@@ -115,11 +115,12 @@ def _direction(vec: pd.Series) -> pd.Series:
 
 def _block_pairs(base: DataFrame, sizes: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their block id, and the block pairs the angle bound cannot rule out."""
-    celled = base.join(sizes, "job_id").withColumn(
-        "cell", F.when(F.col("n") > block_rows, _direction("vec")).otherwise(F.lit(0)))
-    celled = materialise(celled.drop("n"))
+    # as many direction bits as it takes for cells of about one block, none for a job that fits one
+    bits = F.greatest(F.lit(0), F.least(F.lit(DIRECTION_BITS), F.ceil(F.log2(F.col("n") / F.lit(block_rows))))).cast("int")
+    cell = _direction("vec").bitwiseAND(F.element_at(F.array(*[F.lit((1 << b) - 1) for b in range(DIRECTION_BITS + 1)]), bits + 1))
+    celled = materialise(base.join(sizes, "job_id").withColumn("cell", cell.cast("long")).drop("n"))
     parts = celled.groupBy("job_id", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows / 2)).alias("parts"))
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("parts"))
     blocked = celled.join(parts, ["job_id", "cell"]).withColumn(
         "blk", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("pos"), "parts")).drop("cell", "parts")
 
@@ -153,9 +154,13 @@ MIN_SCORE = 0.3
 
 def search(corpus: DataFrame, query_vec: list[float], k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE) -> DataFrame:
     """The ``k`` rows most similar to one query vector with score >= ``min_score``, best first."""
-    wanted = F.array(*[F.lit(float(x)) for x in query_vec])
-    scored = corpus.withColumn("score", cosine(F.col("vec"), wanted)).drop("vec")
-    return scored.filter(F.col("score") >= min_score).orderBy(F.desc("score"), "pos").limit(k)
+    length = math.sqrt(sum(x * x for x in query_vec))
+    wanted = F.array(*[F.lit(x / length if length else 0.0) for x in query_vec])
+    size = norm(F.col("vec"))
+    score = F.when(size == 0.0, 0.0).otherwise(dot(F.col("vec"), wanted) / F.nullif(size, F.lit(0.0)))
+    best = corpus.withColumn("score", score).drop("vec").orderBy(F.desc("score"), "pos").limit(k)
+    # the threshold on the best k is the threshold on all rows, without scoring every row twice
+    return best.filter(F.col("score") >= min_score)
 
 
 MAX_BATCH_QUERIES = 1000
