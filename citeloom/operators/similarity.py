@@ -26,6 +26,7 @@ RECONCILE_THRESHOLD = 0.85
 
 BLOCK_ROWS = 2048
 DIRECTION_BITS = 12
+SLICE_BLOCKS = 512
 SLACK = 1e-6  # widens the block bound against rounding
 
 
@@ -137,11 +138,16 @@ def _block_pairs(base: DataFrame, sizes: DataFrame, threshold: float, block_rows
     job_type = base.schema["job_id"].dataType.simpleString()
     extents = materialise(blocked.groupBy("job_id", "blk").applyInPandas(
         extent, f"job_id {job_type}, blk bigint, centre array<double>, radius double"))
-    one = extents.select("job_id", F.col("blk").alias("b1"), F.col("centre").alias("c1"), F.col("radius").alias("r1"))
-    two = extents.select("job_id", F.col("blk").alias("b2"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
+    # a job with very many blocks is compared in slices: every block meets each slice of the others
+    slices = extents.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_BLOCKS)).alias("slices"))
+    placed = extents.join(slices, "job_id")
+    one = placed.select("job_id", F.col("blk").alias("b1"), F.col("centre").alias("c1"), F.col("radius").alias("r1"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    two = placed.select("job_id", F.col("blk").alias("b2"), F.col("centre").alias("c2"), F.col("radius").alias("r2"),
+                        F.pmod(F.xxhash64("blk"), "slices").alias("slice"))
     gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("c1"), F.col("c2")))))
     reach = F.lit(math.acos(min(1.0, threshold)) + SLACK) + F.col("r1") + F.col("r2")
-    near = one.join(two, "job_id").filter(F.col("b1") <= F.col("b2")).filter(gap <= reach)
+    near = one.join(two, ["job_id", "slice"]).filter(F.col("b1") <= F.col("b2")).filter(gap <= reach)
     return blocked, near.select("job_id", "b1", "b2")
 
 

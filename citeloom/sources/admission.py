@@ -15,6 +15,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(job_id, path, length, magic) of the files below ``path/<job_id>/``.
 
     Sizes are listed without reading; only files within the limit are opened, for their first bytes.
+    Files of no bytes are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     job = F.element_at(F.split("path", "/"), -2)

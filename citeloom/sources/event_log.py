@@ -24,8 +24,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the log that are no event."""
-    rows = spark.read.schema(_WITH_CORRUPT).option("mode", "PERMISSIVE").option("timestampFormat", TIMESTAMP_FORMAT).json(path)
-    return rows.filter("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", _WITH_CORRUPT, {"mode": "PERMISSIVE", "timestampFormat": TIMESTAMP_FORMAT})
+    return lines.filter(parsed["_corrupt_record"].isNotNull()).select("value")
 
 
 def append_misses(misses: DataFrame, path: str) -> None:
