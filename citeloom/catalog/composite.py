@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.catalog import citations as cited
-from citeloom.catalog.citations import RESOLVED, TIDY, sections, supplier_papers
+from citeloom.catalog.citations import RESOLVED, SUPPLIER_PAPERS, TIDY, sections, supplier_papers
+from citeloom.catalog.layout import listed
+from citeloom.catalog.reading import heads
 from citeloom.catalog.registry import query
 from citeloom.catalog.stand_ins import CTES
 from citeloom.catalog.themes import LOW, LOWER, buckets, chunk_inputs, tagged, theme_scores
+from citeloom.catalog.verification import batch_claims, batch_key_claims, mail, reviews, runs
+from citeloom.functions.vectors import with_pair_scores
+from citeloom.operators import corpus
 from citeloom.plans import jobs
 
 # ingestion: documents whose ids divide by seven have no usable spans, so their words are used ---------
@@ -87,3 +92,107 @@ def _(t):
         F.array(F.lit("a")).alias("authors"), F.repeat(F.lit("x"), F.lit(100)).alias("content"))
     scores = t.claims.select("claim_id", (F.col("discount") * 13).alias("score"))
     return jobs.analyse(papers, chunk_themes, positions, claims.join(scores, "claim_id"), 0.649)[3].select("paper_id", "claim_id", "theme_id")
+
+
+# verified reviews, reader entries, evaluation ----------------------------------------------------------
+
+CTES["theme_scored"] = (("claims",), """
+select theme_id, paragraph % 3 as sentence_pos, 'Sentence ' || (paragraph % 3) as sentence, pos as claim_pos, claim_id,
+  round((1.0::double - discount * 10) * least(1.0::double, tax * 12), 6) as contradiction, round(discount * 10, 6) as entailment from claims""")
+CTES["theme_judged"] = (("theme_scored",), """
+select theme_id, sentence_pos, sentence, case when max(entailment) >= 0.7 then 'grounded' when max(contradiction) >= 0.7 then 'contradicted' else 'borderline' end as verdict
+from theme_scored group by all""")
+
+
+def reviewed(t):
+    """Theme reviews through naming, redaction, verification and grounding."""
+    told = reviews(t).withColumn("review_no", F.col("theme_id").cast("long")).withColumn(
+        "theme_name", F.concat(F.lit("theme__"), "theme_id")).withColumn("batch", F.floor(F.col("review_no") / 5)).drop("theme_id")
+    named = t.themes.select(F.floor(F.col("pos") / 5).alias("batch"), "pos", "theme_id", F.concat(F.lit("Theme "), "theme_id").alias("name"))
+    labels = t.themes.select("theme_id", F.lit("CONSENSUS").alias("kind"), F.explode(F.array(F.lit(0), F.lit(2))).alias("at"), F.lit("CONSENSUS").alias("label"))
+    entail = F.round(F.col("discount") * 10, 6)
+    scores = t.claims.select(
+        "theme_id", (F.col("paragraph") % 3).alias("sentence_pos"), F.concat(F.lit("Sentence "), (F.col("paragraph") % 3).cast("string")).alias("sentence"),
+        F.col("pos").alias("claim_pos"), "claim_id", F.round((F.lit(1.0) - F.col("discount") * 10) * F.least(F.lit(1.0), F.col("tax") * 12), 6).alias("contradiction"),
+        entail.alias("entailment"), F.lit(0.0).alias("neutral"))
+    second = t.themes.select("theme_id", F.explode(F.array(F.lit("Sentence 0"), F.lit("Sentence 1"))).alias("sentence"),
+                             F.when(F.col("pos") % 2 == 0, "ENTAILED").otherwise("NEUTRAL").alias("label"))
+    return jobs.review_themes(told, named, batch_key_claims(t), batch_claims(t), t.claims, labels, scores, second)
+
+
+@query("review_themes", "reviews", "claims", sql=f"""
+select theme_id, 'Theme ' || theme_id as label, {mail('review')} as review,
+  case when theme_id in (select theme_id from claims) then consensus[1] || '|' || consensus[3] else array_to_string(list_transform(consensus, lambda c: {mail('c')}), '|') end as consensus,
+  case when theme_id in (select theme_id from claims) then concat_ws('|', gaps[1], 'Not verified as consensus: ' || {mail('consensus[2]')}, 'Not verified as disagreement: ' || disagreements[1]) else gaps[1] end as gaps
+from reviews""")
+def _(t):
+    return reviewed(t).reviews.select("theme_id", "label", "review", listed("consensus").alias("consensus"), listed("gaps").alias("gaps"))
+
+
+@query("review_themes_grounding", "theme_judged", sql="""
+select theme_id, sentence_pos, case when verdict = 'borderline' and sentence_pos < 2 then case when theme_id::bigint % 2 = 0 then 'grounded' else 'contradicted' end else verdict end as verdict,
+  case when verdict = 'borderline' and sentence_pos < 2 then 'llm_as_nli' else 'deberta' end as resolved_by from theme_judged""")
+def _(t):
+    return reviewed(t).grounding.select("theme_id", "sentence_pos", "verdict", "resolved_by")
+
+
+@query("reader_entries", "citations", "claims", sql=f"""
+select c.job_id, c.ref_number as index, coalesce(p.title, '') as title, 'p.' || k.page || ', §' || k.paragraph as position, k.text
+from citations c join claims k using (job_id, claim_id) left join {SUPPLIER_PAPERS} p on p.paper_id = c.paper_id""")
+def _(t):
+    papers = supplier_papers(t).withColumn("filename", F.lit(None).cast("string"))
+    done = jobs.aggregate(sections(t), t.section_citations, t.claims, papers)
+    claims = t.claims.withColumn("summary", F.lit(None).cast("string"))
+    entries = jobs.reader_view(heads(t), done, papers.withColumn("job_id", F.lit("A")), claims, t.claims)["entries"]
+    return entries.select("job_id", "index", "title", "position", "text")
+
+
+@query("evaluate_regressions", "runs", sql="""
+select replace(lower(metric), ' ', '_') as metric, round(avg(score), 9) as score, avg(score) >= 0.72::double * 0.95 as passed from runs where score is not null group by 1""")
+def _(t):
+    scores = runs(t)
+    baseline = scores.select(F.replace(F.lower("metric"), F.lit(" "), F.lit("_")).alias("metric")).distinct().withColumn("baseline", F.lit(0.72))
+    traces = scores.select(F.col("case_id").alias("trace_id"), F.col("metric").alias("input"), F.col("metric").alias("output"), F.array("metric").alias("retrieved_contexts"))
+    return jobs.evaluate(scores, baseline, scores, scores, traces)["regressions"].select("metric", F.round("score", 9).alias("score"), "passed")
+
+
+# hooks and set operations ------------------------------------------------------------------------------
+
+def _length_ratio(left, right):
+    import pandas as pd
+
+    a, b = left.str.len(), right.str.len()
+    entail = pd.concat([a, b], axis=1).min(axis=1) / pd.concat([a, b], axis=1).max(axis=1)
+    return pd.DataFrame({"contradiction": (1 - entail) / 2, "entailment": entail, "neutral": (1 - entail) / 2})
+
+
+@query("with_pair_scores", sql="""
+select p_partkey as pos, round(least(length(p_name), length(p_type)) / greatest(length(p_name), length(p_type)), 9)::double as entailment from part""")
+def _(t):
+    scored = with_pair_scores(t.themes, "name", "description", _length_ratio)
+    return scored.select("pos", F.round("scores.entailment", 9).alias("entailment"))
+
+
+def _merge_pages(pages):
+    import pandas as pd
+
+    return pd.DataFrame({"paper_id": [pages["paper_id"].iloc[0]], "chunks": [pages["page"].nunique()], "chars": [int(pages["n"].sum())]})
+
+
+@query("merge_chunks_with", "paragraphs", sql="""
+select paper_id, count(distinct page) as chunks, cast(sum(length(text)) as bigint) as chars from paragraphs group by paper_id""")
+def _(t):
+    lines = t.paragraphs.select("paper_id", "page", F.length("text").alias("n"))
+    return corpus.merge_chunks_with(lines, _merge_pages, "paper_id bigint, chunks bigint, chars bigint")
+
+
+@query("refs_set_operations", "sections", sql="""
+select s.job_id, s.theme_id, cast(len(list_distinct(citation_refs)) as integer) as refs,
+  cast(len(list_filter(list_distinct(citation_refs), lambda r: r < 1000000)) as integer) as inner_refs, list_has_any(citation_refs, [1, 2, 3]) as early from sections s""")
+def _(t):
+    """Ordered distinct, difference and overlap of the reference lists."""
+    low = F.filter(F.array_distinct("citation_refs"), lambda r: r < 1000000)
+    rest = F.array_except("citation_refs", F.filter("citation_refs", lambda r: r >= 1000000))
+    first = F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])
+    return sections(t).select("job_id", "theme_id", F.size(F.array_distinct("citation_refs")).alias("refs"),
+                              F.size(F.array_intersect(low, rest)).alias("inner_refs"), F.arrays_overlap("citation_refs", first).alias("early"))

@@ -208,3 +208,20 @@ def _(t):
     changes = streams.run_to_table(streams.job_states(event_stream(t).withColumn("event_type", kind)), "job-states")
     latest = changes.groupBy("job_id").agg(F.max_by(F.struct("status", "stages", "progress"), "last_seq").alias("s"), F.max("last_seq").alias("last_seq"))
     return latest.select("job_id", "s.status", "last_seq", "s.stages", "s.progress")
+
+
+@query("stream_fan_out", "log", sql="""
+select 'all' as listener, event_type, count(*) as n from log group by 2 union all select 'errors', event_type, count(*) from log where event_type = 'agent_error' group by 2""")
+def _(t):
+    folder = fresh_dir(t.spark, "fan-out")
+
+    def to(name, condition):
+        def write(batch, batch_id):
+            batch.filter(condition).select("event_id", "event_type").write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        return write
+
+    listeners = {"all": to("all", F.lit(True)), "errors": to("errors", F.col("event_type") == "agent_error")}
+    for running in streams.fan_out(event_stream(t), listeners, f"{folder}/checkpoints", availableNow=True).values():
+        running.awaitTermination()
+    seen = [t.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("listener"), "event_type") for name in listeners]
+    return seen[0].unionByName(seen[1]).groupBy("listener", "event_type").agg(F.count(F.lit(1)).alias("n"))

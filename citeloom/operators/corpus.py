@@ -149,3 +149,11 @@ def load_chunks(papers: DataFrame, chunks: DataFrame, documents: DataFrame) -> D
     contents = chunks.select("paper_id", F.col("chunk").cast("int").alias("chunk"), "content").unionByName(whole)
     return papers.select("paper_id").join(contents, "paper_id", "left").select(
         "paper_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+def merge_chunks_with(chunks: DataFrame, merge, schema: str, keys: tuple[str, ...] = ("paper_id",)) -> DataFrame:
+    """Merge a paper's chunk results with the caller's function over one pandas frame per paper.
+
+    A paper is one uploaded file of limited size. The built-in merge is ``themes.merge_chunks``.
+    """
+    return chunks.groupBy(*keys).applyInPandas(merge, schema)
