@@ -200,7 +200,7 @@ CTES["word_rows"] = (("word_blocks", "word_medians"), CLASSIFIED.format(source="
 def from_words(t):
     words = t.words
     medians = layout.median_font(words, skip_blank=False)
-    return layout.classify_blocks(layout.words_to_blocks(words, medians), medians)
+    return layout.classify_blocks(layout.words_to_blocks(words, medians))
 
 
 @query("words_to_paragraphs", "word_rows", sql="""

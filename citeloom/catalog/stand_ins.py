@@ -121,7 +121,7 @@ class Tables:
     def refs(self) -> DataFrame:
         from citeloom.operators.citations import assign_ref_numbers
 
-        return assign_ref_numbers(self.key_claims)
+        return materialise(assign_ref_numbers(self.key_claims))
 
     @property
     def section_citations(self) -> DataFrame:

@@ -5,6 +5,8 @@ Windows run per paper, and a paper is one file of limited size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,26 @@ def chunk_paper(paragraphs: DataFrame, threshold: float = SIMILARITY_SPLIT, vec:
         "__by_heading", "__by_similarity")
 
 
+def chunk_large(paragraphs: DataFrame, threshold: int = TOKEN_THRESHOLD,
+                with_vec: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``chunk`` per paragraph for non-blank paragraphs: papers within ``threshold`` tokens stay whole.
+
+    Larger ones are split at section headings; those without enough headings by similarity, and only
+    for them ``with_vec`` is run to attach ``vec`` (without it they stay whole).
+    """
+    paper = Window.partitionBy("paper_id")
+    # lines are joined by two newlines and end in one
+    length = F.sum(F.length(_marked(True)) + 2).over(paper) - 1
+    sized = chunk_by_heading(paragraphs).withColumn("__whole", F.floor(length / 4) <= threshold).withColumn(
+        "__splits", F.max("chunk").over(paper) > 0)
+    settled = F.col("__whole") | F.col("__splits")
+    placed = sized.withColumn("chunk", F.when(F.col("__whole"), F.lit(0)).otherwise(F.col("chunk")).cast("long"))
+    if with_vec is None:
+        return placed.drop("__whole", "__splits")
+    similar = chunk_by_similarity(with_vec(sized.filter(~settled).drop("chunk"))).drop("vec")
+    return placed.filter(settled).unionByName(similar).drop("__whole", "__splits")
+
+
 def _marked(annotated: bool) -> Column:
     tag = F.concat(F.lit("[p."), F.col("page").cast("string"), F.lit(",§"), F.col("index").cast("string"), F.lit("]"))
     body = F.concat_ws(" ", tag, F.col("text")) if annotated else F.col("text")

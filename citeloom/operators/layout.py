@@ -45,15 +45,18 @@ def rollup_blocks(spans: DataFrame) -> DataFrame:
     return blocks.select("paper_id", "page_idx", "block_idx", text.alias("text"), "size", "bold").filter("text <> ''")
 
 
-def classify_blocks(blocks: DataFrame, medians: DataFrame) -> DataFrame:
+def classify_blocks(blocks: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """Paragraph rows with heading level, and the flags title and author detection need.
 
+    ``medians`` may be left out for blocks that already carry their paper's ``heading_size``.
+
     On the first page every block that sets a new largest size is a title candidate (level 1); bold
     blocks above the heading size are section headings (level 2). Paragraphs are numbered per page.
     """
     page = Window.partitionBy("paper_id", "page_idx").orderBy("block_idx")
     before = F.coalesce(F.max("size").over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    marked = blocks.join(medians, "paper_id").select(
+    sized = blocks if medians is None else blocks.join(medians, "paper_id")
+    marked = sized.select(
         "paper_id", "page_idx", "block_idx", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
         "size", (F.col("bold") & (F.col("size") > F.col("heading_size"))).alias("bold_heading"),
         before.alias("largest_before"), F.row_number().over(page).alias("index"))
@@ -78,7 +81,8 @@ def paper_header(paragraphs: DataFrame) -> DataFrame:
 
 def words_to_blocks(words: DataFrame, medians: DataFrame) -> DataFrame:
     """Rebuild paragraph blocks from positioned words: words to lines by rounded top, lines to
-    paragraphs where the vertical gap is above 1.5 line heights. ``seq`` is the extraction order."""
+    paragraphs where the vertical gap is above 1.5 line heights. ``seq`` is the extraction order; the
+    blocks carry their paper's ``heading_size``."""
     line_words = F.array_sort(F.collect_list(F.struct("x0", "seq", "text")))
     lines = words.withColumn("line_top", F.bround("top", 0).cast("long")).groupBy("paper_id", "page_idx", "line_top").agg(
         F.array_join(F.transform(line_words, lambda s: s["text"]), " ").alias("text"), F.max("size").alias("size"),
@@ -91,7 +95,7 @@ def words_to_blocks(words: DataFrame, medians: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_top", "text"))), lambda s: s["text"]), " ")
     return numbered.groupBy("paper_id", "page_idx", "block_idx").agg(
         normalize_text(strip(joined)).alias("text"), F.max("size").alias("size"),
-        F.bool_or("bold").alias("bold")).filter("text <> ''")
+        F.bool_or("bold").alias("bold"), F.max("heading_size").alias("heading_size")).filter("text <> ''")
 
 
 def chars_per_page(paragraphs: DataFrame, papers: DataFrame) -> DataFrame:

@@ -41,9 +41,11 @@ def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, locati
     ``page_counts(paper_id, page_count, ..)``; ``with_vec`` attaches a ``vec`` to paragraphs and is
     only run on papers that are too large and have no section headings to split at.
     """
+    # one shuffle by paper serves every aggregation, window and join of the stage
+    spans, words = spans.repartition("paper_id"), words.repartition("paper_id")
     span_medians, word_medians = layout.median_font(spans), layout.median_font(words, skip_blank=False)
     primary = layout.classify_blocks(layout.rollup_blocks(spans), span_medians)
-    fallback = layout.classify_blocks(layout.words_to_blocks(words, word_medians), word_medians)
+    fallback = layout.classify_blocks(layout.words_to_blocks(words, word_medians))
     chosen, rejected = layout.select_extractor((primary, page_counts), (fallback, page_counts), minimum)
     chosen = materialise(chosen)
 
@@ -54,18 +56,8 @@ def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, locati
     papers = chosen.join(layout.paper_header(kept), "paper_id", "left")
     clean, _types = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=locations)
     paragraphs = kept.withColumn("text", clean).drop("sets_title", "may_be_authors")
-    whole, large = chunking.size_trigger(chunking.to_markdown(paragraphs), threshold)
-    to_split = paragraphs.join(large.select("paper_id"), "paper_id", "left_semi")
-    headed = chunking.chunk_by_heading(to_split)
-    several = headed.groupBy("paper_id").agg(F.max("chunk").alias("m")).filter("m > 0").select("paper_id")
-    chunks = headed.join(several, "paper_id", "left_semi")
-    unsplit = to_split.join(several, "paper_id", "left_anti")
-    if with_vec is not None:
-        similar = chunking.chunk_by_similarity(with_vec(unsplit)).drop("vec")
-    else:
-        similar = unsplit.withColumn("chunk", F.lit(0).cast("long"))
-    texts = chunking.to_markdown(chunks.unionByName(similar), keys=("paper_id", "chunk"))
-    contents = whole.select("paper_id", F.lit(0).cast("long").alias("chunk"), "content").unionByName(texts)
+    placed = chunking.chunk_large(paragraphs, threshold, with_vec)
+    contents = chunking.to_markdown(placed, keys=("paper_id", "chunk"))
     return Ingested(papers, rejected, paragraphs, contents)
 
 

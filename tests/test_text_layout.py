@@ -172,3 +172,17 @@ def test_extractor_choice(spark, rows):
     chosen, rejected = layout.select_extractor((good, papers), (other, papers))
     assert rows(chosen, "paper_id", "extractor") == [(1, "primary"), (2, "fallback")]
     assert rows(rejected) == [(3,), (4,)]
+
+
+def test_large_papers_are_chunked_by_the_cheapest_tier(spark, rows):
+    paras = [(1, 1, 1, "short", False, 0)] + [(2, 1, i, "x" * 40, i in (1, 3), 2 if i in (1, 3) else 0) for i in range(1, 5)] + [
+        (3, 1, i, "y" * 40, False, 0) for i in range(1, 4)]
+    df = spark.createDataFrame(paras, PARAS)
+
+    def with_vec(rest):
+        assert {r.paper_id for r in rest.select("paper_id").distinct().collect()} == {3}
+        return rest.withColumn("vec", F.when(F.col("index") < 3, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+
+    got = rows(chunking.chunk_large(df, 20, with_vec), "paper_id", "index", "chunk")
+    assert got == [(1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 1), (2, 4, 1), (3, 1, 0), (3, 2, 0), (3, 3, 1)]
+    assert rows(chunking.chunk_large(df, 20).filter("paper_id = 3"), "chunk") == [(0,)] * 3
