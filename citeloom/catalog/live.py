@@ -59,7 +59,7 @@ def log_rows(t):
 select event_id, event_type, epoch_us(ts) as us, job_id, seq, stage, item_id, payload from log""")
 def _(t):
     path = fresh_dir(t.spark, "event-log")
-    event_log.write_events(log_rows(t).repartition("job_id"), path)
+    event_log.write_events(log_rows(t), path)
     return event_log.read_events(t.spark, path).select("event_id", "event_type", F.unix_micros("ts").alias("us"), F.col("job_id").cast("string").alias("job_id"), "seq", "stage", "item_id", "payload")
 
 
@@ -70,7 +70,7 @@ def _(t):
     root = fresh_dir(t.spark, "entities")
     papers = t.papers.select(F.col("paper_id").cast("string").alias("paper_id"), "filename", "title", "authors", "page_count",
                              F.lit(None).cast("timestamp").alias("ingested_at"), "job_id")
-    entities.write_entity(papers.repartition("job_id"), root, "papers")
+    entities.write_entity(papers, root, "papers")
     entities.write_entity(papers.filter("job_id = 'src3'").withColumn("filename", F.concat(F.lit("new "), "filename")), root, "papers")
     return entities.read_entity(t.spark, root, "papers").select("job_id", "paper_id", "filename", "page_count")
 

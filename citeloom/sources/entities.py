@@ -38,8 +38,11 @@ COLLECTION_SCHEMAS = {
 
 
 def write_entity(df: DataFrame, root: str, name: str) -> None:
-    """Write the jobs in ``df``, replacing those jobs only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{root}/{name}")
+    """Write the jobs in ``df``, replacing those jobs only.
+
+    Rebalancing puts the rows of small jobs together and spreads those of a very large one.
+    """
+    df.hint("rebalance", "job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(f"{root}/{name}")
 
 
 def read_entity(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:

@@ -12,8 +12,11 @@ _WITH_CORRUPT = EVENT_SCHEMA + ", _corrupt_record string"
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Append events as JSON lines, one folder per job."""
-    events.write.mode("append").option("timestampFormat", TIMESTAMP_FORMAT).partitionBy("job_id").json(path)
+    """Append events as JSON lines, one folder per job.
+
+    Rebalancing puts the rows of small jobs together and spreads those of a very large one.
+    """
+    events.hint("rebalance", "job_id").write.mode("append").option("timestampFormat", TIMESTAMP_FORMAT).partitionBy("job_id").json(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

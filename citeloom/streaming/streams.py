@@ -27,8 +27,8 @@ BATCH_BYTES = 256 * 1024 * 1024
 
 def live_events(spark: SparkSession, path: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The NDJSON event log as a stream; lines that do not parse are left out."""
-    raw = (spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true")
-           .option("timestampFormat", TIMESTAMP_FORMAT).option("maxBytesPerTrigger", batch_bytes).json(path))
+    raw = (spark.readStream.schema(EVENT_SCHEMA).option("timestampFormat", TIMESTAMP_FORMAT)
+           .option("maxBytesPerTrigger", batch_bytes).json(path))
     return raw.filter(F.col("event_id").isNotNull() & F.col("ts").isNotNull())
 
 
@@ -92,30 +92,38 @@ class JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         status, last = self._job.get() if self._job.exists() else ("pending", -1)
+        before = {k[0]: tuple(v) for k, v in self._stages.iterator()}
+        stages, met = dict(before), set()
         frame = pd.concat(list(rows)).sort_values("seq")
-        for event in frame.itertuples(index=False):
+        for seq, kind, name, item, total in zip(*(frame[c] for c in ("seq", "event_type", "stage", "item_id", "total"))):
             if status in self._terminal.values():
                 break
-            last = int(event.seq)
-            stage = event.stage if isinstance(event.stage, str) else ""
-            if event.event_type in self._ends:
-                status = self._terminal.get(event.event_type, "completed")
-                self._items.clear()
-            elif event.event_type == "job_started":
+            last, stage = int(seq), name if isinstance(name, str) else ""
+            if kind in self._ends:
+                status = self._terminal.get(kind, "completed")
+            elif kind == "job_started":
                 status = "running"
-            elif event.event_type in ("stage_started", "stage_completed", "paper_processed"):
+            elif kind in ("stage_started", "stage_completed", "paper_processed"):
                 status = "running"
-                state, total, done = self._stages.getValue((stage,)) if self._stages.containsKey((stage,)) else ("pending", 0, 0)
-                if event.event_type == "stage_started":
-                    state, total = "running", 0 if pd.isna(event.total) else int(event.total)
-                elif event.event_type == "stage_completed":
+                state, expected, done = stages.get(stage, ("pending", 0, 0))
+                if kind == "stage_started":
+                    state, expected = "running", 0 if pd.isna(total) else int(total)
+                elif kind == "stage_completed":
                     state = "completed"
-                elif not self._items.containsKey((stage, str(event.item_id))):
-                    self._items.updateValue((stage, str(event.item_id)), (True,))
-                    done += 1
-                self._stages.updateValue((stage,), (state, total, done))
+                elif (stage, str(item)) not in met:
+                    # the state store is asked once per item and batch, not once per event
+                    met.add((stage, str(item)))
+                    if not self._items.containsKey((stage, str(item))):
+                        self._items.updateValue((stage, str(item)), (True,))
+                        done += 1
+                stages[stage] = (state, expected, done)
+        for stage, value in stages.items():
+            if before.get(stage) != value:
+                self._stages.updateValue((stage,), value)
+        if status in self._terminal.values():
+            self._items.clear()
         self._job.update((status, last))
-        stages = sorted((k[0], *v) for k, v in self._stages.iterator())
+        stages = sorted((name, *value) for name, value in stages.items())
         finished = sum(1 for s in stages if s[1] == "completed")
         yield pd.DataFrame({
             "job_id": [key[0]], "status": [status], "last_seq": [last],

@@ -185,6 +185,13 @@ def test_job_states_over_restart(spark, tmp_path):
     assert got == {"j": ("completed", "a:completed:1|b:running:0", 0.25), "k": ("running", "a:running:0", 0.0)}
 
 
+def test_written_log_streams_with_its_job_folders(spark, rows, tmp_path):
+    folder = str(tmp_path / "log")
+    event_log.write_events(log(spark, RUN), folder)
+    got = streams.run_to_table(streams.live_events(spark, folder).select("event_id", "job_id"), "log-stream")
+    assert rows(got, "event_id", "job_id") == sorted((r[0], r[3]) for r in RUN)
+
+
 def test_late_rows_go_to_the_side_table(spark, rows, tmp_path):
     folder = str(tmp_path / "in")
     paths = {n: str(tmp_path / n) for n in ("main", "side", "marks", "cp")}
