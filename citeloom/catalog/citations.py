@@ -45,7 +45,7 @@ select job_id, ref_number, claim_id, c.paper_id, coalesce(p.title, '') as paper_
 from citations c left join claims k using (job_id, claim_id)
 left join {SUPPLIER_PAPERS} p on p.paper_id = c.paper_id""")
 def _(t):
-    return ops.position_lookup(ops.merge_citations(t.section_citations), t.claims, supplier_papers(t))
+    return ops.position_lookup(t.citations, t.claims, supplier_papers(t))
 
 
 @query("orphan_refs", "sections", "citations", sql=r"""
@@ -55,7 +55,7 @@ select job_id, theme_id, string_agg(ref_number::varchar, ',' order by ref_number
 from found f where not exists (select 1 from citations c where c.job_id = f.job_id and c.ref_number = f.ref_number)
 group by job_id, theme_id""")
 def _(t):
-    found = ops.orphan_refs(sections(t), ops.merge_citations(t.section_citations))
+    found = ops.orphan_refs(sections(t), t.citations)
     return found.select("job_id", "theme_id", numbers("missing").alias("missing"))
 
 
@@ -71,7 +71,7 @@ select s.job_id, s.theme_id,
                 '') as citation_refs
 from sections s""")
 def _(t):
-    kept, _valid = ops.strip_invalid_citations(sections(t), ops.merge_citations(t.section_citations), t.claims)
+    kept, _valid = ops.strip_invalid_citations(sections(t), t.citations, t.claims)
     return kept.select("job_id", "theme_id", numbers("citation_refs").alias("citation_refs"))
 
 
@@ -86,7 +86,7 @@ select job_id, 'citations.' || ref_number || '.claim_id',
        'citation claim_id=''' || claim_id || ''' does not exist in the claim registry'
 from citations c where not exists (select 1 from claims k where k.job_id = c.job_id and k.claim_id = c.claim_id)""")
 def _(t):
-    return ops.citation_integrity(sections(t), ops.merge_citations(t.section_citations), t.claims)
+    return ops.citation_integrity(sections(t), t.citations, t.claims)
 
 
 RESOLVED = r"""
@@ -108,7 +108,7 @@ TIDY = r"regexp_replace(regexp_replace(content, '[ \t]{2,}', ' ', 'g'), '[ \t]+(
 @query("resolve_citations", "sections", "citations", "claims",
        sql=f"with {RESOLVED} select job_id, theme_id, {TIDY} as content from glued")
 def resolve(t):
-    done = ops.resolve_citations(sections(t), ops.merge_citations(t.section_citations), t.claims)
+    done = ops.resolve_citations(sections(t), t.citations, t.claims)
     return done.select("job_id", "theme_id", "content")
 
 
@@ -119,7 +119,7 @@ ids as (select r.job_id, r.review_pos, string_agg(c.claim_id, ',' order by r.k_a
         from cited r join citations c using (job_id, ref_number) group by 1, 2)
 select s.job_id, s.theme_id, coalesce(claim_ids, '') as claim_ids from sections s left join ids using (job_id, review_pos)""")
 def _(t):
-    got = ops.collect_claim_ids(sections(t), ops.merge_citations(t.section_citations))
+    got = ops.collect_claim_ids(sections(t), t.citations)
     return got.select("job_id", "theme_id", F.array_join("claim_ids", ",").alias("claim_ids"))
 
 
@@ -131,5 +131,5 @@ select c.job_id, c.paper_id, coalesce(p.title, '') as paper_title,
 from citations c left join claims k using (job_id, claim_id)
 left join {SUPPLIER_PAPERS} p on p.paper_id = c.paper_id""")
 def _(t):
-    refs = ops.build_references(ops.merge_citations(t.section_citations), t.claims, supplier_papers(t))
+    refs = ops.build_references(t.citations, t.claims, supplier_papers(t))
     return refs.withColumn("authors", F.array_join("authors", ","))

@@ -10,7 +10,7 @@ from citeloom.catalog.stand_ins import CTES
 from citeloom.catalog.themes import buckets
 from citeloom.catalog.layout import listed
 from citeloom.catalog.verification import reviews
-from citeloom.operators import checks, citations, corpus, messages, views
+from citeloom.operators import checks, corpus, messages, views
 
 # collections ---------------------------------------------------------------------------------------
 
@@ -160,7 +160,7 @@ def _(t):
 select c.job_id, c.ref_number, c.claim_id, s.review_pos as section_pos, s.label from citations c
 left join (select job_id, review_pos, label, unnest(list_distinct(citation_refs)) as ref_number from sections) s using (job_id, ref_number)""")
 def _(t):
-    return views.cited_in(citations.merge_citations(t.section_citations), sections(t))
+    return views.cited_in(t.citations, sections(t))
 
 
 @query("review_reader", "citations", "claims", sql=f"""
@@ -172,7 +172,7 @@ select c.job_id, c.ref_number as index, c.claim_id,
   coalesce(k.page, 0) as page, coalesce(k.paragraph, 0) as paragraph
 from citations c left join claims k using (job_id, claim_id) left join {SUPPLIER_PAPERS} p on p.paper_id = c.paper_id""")
 def _(t):
-    cited = citations.merge_citations(t.section_citations).withColumn(
+    cited = t.citations.withColumn(
         "paper_title", F.concat(F.lit("Paper "), "paper_id")).withColumn("page", F.lit(None).cast("int")).withColumn("paragraph", F.lit(None).cast("int"))
     odd = F.when(F.col("paper_id").cast("long") % 2 != 0, F.col("title"))
     papers = supplier_papers(t).withColumn("filename", F.lit("f.pdf")).withColumn("title", odd)
@@ -187,7 +187,7 @@ cites as (select job_id, label, unnest(citation_refs) as ref_number from section
 labels as (select distinct n.job_id, n.paper_id, r.label from needed n join cites r using (job_id, ref_number))
 select p.job_id, p.index, p.paper_id, 'Paper ' || p.paper_id as title, l.label from papers p left join labels l using (job_id, paper_id)""")
 def _(t):
-    merged = citations.merge_citations(t.section_citations)
+    merged = t.citations
     firsts = merged.groupBy("job_id", "paper_id").agg(F.min("ref_number").alias("first_ref"))
     references = merged.join(firsts, ["job_id", "paper_id"]).withColumn("paper_title", F.concat(F.lit("Paper "), "paper_id"))
     return views.reference_fallback(references, merged.filter("job_id = 'A'"), sections(t))

@@ -132,6 +132,12 @@ class Tables:
             F.when(F.col("ref_number") % 17 == 0, F.concat("claim_id", F.lit("x")))
             .otherwise(F.col("claim_id")).alias("claim_id"), "paper_id")
 
+    @cached_property
+    def citations(self) -> DataFrame:
+        from citeloom.operators.citations import merge_citations
+
+        return materialise(merge_citations(self.section_citations))
+
     @property
     def sections(self) -> DataFrame:
         refs = self.key_claims.join(self.refs, ["job_id", "claim_id"])

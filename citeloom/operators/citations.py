@@ -48,10 +48,13 @@ def merge_citations(section_citations: DataFrame) -> DataFrame:
     )
 
 
-def latest_claims(claims: DataFrame, *columns: str) -> DataFrame:
-    """Claim lookup: the last row per claim id wins."""
+def latest_claims(claims: DataFrame, *columns: str, cited: DataFrame) -> DataFrame:
+    """Lookup of the claims that ``cited(job_id, claim_id)`` names: the last row per claim id wins.
+
+    Filtering first matters: a corpus has far more claims than citations.
+    """
     return (
-        claims.groupBy("job_id", "claim_id")
+        claims.join(cited.select("job_id", "claim_id"), ["job_id", "claim_id"], "left_semi").groupBy("job_id", "claim_id")
         .agg(F.max_by(F.struct(*columns), "pos").alias("c"))
         .select("job_id", "claim_id", *[F.col(f"c.{name}").alias(name) for name in columns])
     )
@@ -59,7 +62,7 @@ def latest_claims(claims: DataFrame, *columns: str) -> DataFrame:
 
 def position_lookup(citations: DataFrame, claims: DataFrame, papers: DataFrame) -> DataFrame:
     """Citations with paper title and claim position; page 0, paragraph 0 and '' when unknown."""
-    looked_up = latest_claims(claims, "page", "paragraph")
+    looked_up = latest_claims(claims, "page", "paragraph", cited=citations)
     titles = papers.select("paper_id", F.col("title").alias("paper_title"))
     return (
         citations.join(looked_up, ["job_id", "claim_id"], "left").join(titles, "paper_id", "left")
@@ -136,7 +139,7 @@ def resolve_citations(sections: DataFrame, citations: DataFrame, claims: DataFra
     The text is split at its markers and put together again, so inserted text is never rescanned.
     """
     last = citations.groupBy("job_id", "ref_number").agg(F.max("claim_id").alias("claim_id"))
-    known = latest_claims(claims, "page", "paragraph").withColumn("known", F.lit(True))
+    known = latest_claims(claims, "page", "paragraph", cited=last).withColumn("known", F.lit(True))
 
     def shown(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("?"))
@@ -189,7 +192,7 @@ def build_references(citations: DataFrame, claims: DataFrame, papers: DataFrame)
     Long form on purpose: a paper may be cited by a large share of all citations, so its positions
     are rows ordered by (first_ref, ref_number), not one array.
     """
-    looked_up = latest_claims(claims, "page", "paragraph")
+    looked_up = latest_claims(claims, "page", "paragraph", cited=citations)
     first = citations.groupBy("job_id", "paper_id").agg(F.min("ref_number").alias("first_ref"))
     known = papers.select("paper_id", F.col("title").alias("paper_title"), "authors")
     return (

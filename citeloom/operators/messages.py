@@ -48,7 +48,7 @@ def section_message(reviews: DataFrame, key_claims: DataFrame, claims: DataFrame
     numbered = key_claims.filter("ref_number is not null")
     cited = key_claims.select("job_id", "batch", "at").distinct()
     kc_open = _lines(cited, 1, F.col("at"), F.lit(1), F.lit(0), F.lit("KEY CLAIMS:"))
-    known = latest_claims(claims, "page", "paragraph")
+    known = latest_claims(claims, "page", "paragraph", cited=numbered)
     placed = numbered.join(known, ["job_id", "claim_id"], "left")
 
     def shown(name: str) -> Column:

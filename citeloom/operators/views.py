@@ -22,7 +22,7 @@ def review_reader(citations: DataFrame, papers: DataFrame, claims: DataFrame) ->
     ``claims(job_id, claim_id, pos, summary, text, page, paragraph)``.
     """
     known = papers.select("paper_id", F.col("title").alias("p_title"), F.col("filename").alias("p_file"), F.col("authors").alias("p_authors"))
-    looked_up = latest_claims(claims, "summary", "text", "page", "paragraph").select(
+    looked_up = latest_claims(claims, "summary", "text", "page", "paragraph", cited=citations).select(
         "job_id", "claim_id", F.coalesce("summary", "text", F.lit("")).alias("claim_text"),
         F.col("page").alias("c_page"), F.col("paragraph").alias("c_paragraph"))
     page, paragraph = F.coalesce("page", "c_page", F.lit(0)), F.coalesce("paragraph", "c_paragraph", F.lit(0))
