@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
-from citeloom.llm import bpe, langid, mixing, pii
+from citeloom.llm import bpe, langid, mixing, neardup, pii
 from citeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each document and its number of links to other texts."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in each document: counts and a digest of the base kinds, and all spans."""
