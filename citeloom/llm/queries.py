@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
-from citeloom.llm import bpe, langid, mixing, neardup, pii
+from citeloom.llm import ann, bpe, langid, mixing, neardup, pii, topk, vectors
 from citeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "source", "copies")
 
 
+@query
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), vectors.every(50), 5)
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of each document; a third of the documents teaches nothing."""
@@ -55,6 +61,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours found for every 20th vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), vectors.every(20), 20)
+
+
 @query
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in each document: counts and a digest of the base kinds, and all spans."""
