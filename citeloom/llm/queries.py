@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
-from citeloom.llm import ann, bpe, langid, mixing, neardup, pii, topk, vectors
+from citeloom.llm import ann, bpe, html_text, langid, mixing, neardup, pii, sharding, topk, vectors, wordpiece
 from citeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VOCABULARIES = "/opt/tokenizers"
+OLD_SHARDS = 16
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -45,6 +46,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near equal bytes, from 16 shards by a hash of the text, with the fewest bytes moved."""
+    rows = sharding.measured(table(spark, sf_dir, "documents"))
+    old = F.pmod(F.xxhash64("content", F.lit(OLD_SHARDS)), F.lit(OLD_SHARDS))
+    plan = sharding.reshard(rows, old, OLD_SHARDS, shards=24)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document's ids and of the text decoded from them."""
@@ -55,12 +66,26 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of each page."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html")).drop("html")
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of each document and its number of links to other texts."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, greedy word-piece tokens and unknown words of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.count_tokens(docs, f"{VOCABULARIES}/piece_bpe_32k.model").drop("text")
+
+
 @query
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest neighbours found for every 20th vector."""
