@@ -175,12 +175,10 @@ class Codec:
             at = special.end()
         yield from self._part(text[at:] if at else text)
 
-    def decode(self, ids: list[int]) -> str:
-        try:
-            found = b"".join(map(self.strings.__getitem__, ids))
-        except (IndexError, TypeError):
-            found = b"".join(self.strings[i] for i in ids if i is not None and 0 <= i < len(self.strings))
-        return found.decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of the ids; those outside the vocabulary are skipped."""
+        known = ids[(ids >= 0) & (ids < len(self.strings))]
+        return b"".join(map(self.strings.__getitem__, known.tolist())).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -225,13 +223,13 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
 
     def run(lists: pa.Array) -> pa.Array:
         own = codec(spec.value)
-        return pa.array((own.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in lists), type=pa.string())
+        return pa.array((own.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in lists), type=pa.string())
 
     return docs.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))
 
 
 def _ids_digest(lists: pa.Array) -> pa.Array:
-    return pa.array((hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"").hexdigest()
+    return pa.array((hashlib.sha256(x.values.drop_null().to_numpy().astype("<u4").tobytes() if x.is_valid else b"").hexdigest()
                      for x in lists), type=pa.string())
 
 
