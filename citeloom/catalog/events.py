@@ -55,13 +55,15 @@ def _(t):
 
 
 def documents_by_item(t):
-    return t.papers.filter("paper_id < 40").select(F.col("paper_id").cast("string").alias("paper_id"),
+    """Papers by item id; every seventh has another key, so that its events find no paper."""
+    key = F.when(F.col("paper_id") % 7 == 3, F.concat(F.lit("p"), F.col("paper_id").cast("string"))).otherwise(F.col("paper_id").cast("string"))
+    return t.papers.select(key.alias("paper_id"),
                                                   F.when(F.col("paper_id") % 4 != 0, F.col("title")).otherwise("").alias("title"), "filename")
 
 
 CTES["titled"] = (("log", "papers"), """
 select l.*, case when p.paper_id % 4 <> 0 and p.title <> '' then p.title else p.filename end as title
-from log l left join papers p on p.paper_id::varchar = l.item_id and p.paper_id < 40""")
+from log l left join papers p on p.paper_id::varchar = l.item_id and p.paper_id % 7 <> 3""")
 
 
 @query("event_titles", "titled", sql="select event_id, title from titled")

@@ -233,7 +233,7 @@ select distinct job_id, review_pos // 5 as batch, review_pos % 5 as slot, review
 @query("section_message", "batched_kc", "batched_reviews", "reviews", "claims", sql="""
 with full_reviews as (select b.*, coalesce(r.review, '') as review, coalesce(r.consensus, []) as consensus, coalesce(r.gaps, []) as gaps
   from batched_reviews b left join reviews r on r.theme_id = b.review_pos::varchar),
-body as (select job_id, batch, slot, ['--- THEME ' || (slot + 1) || ': T' || review_pos || ' ---', '']
+body as (select job_id, batch, slot, ['--- THEME ' || (slot + 1) || ': ' || case when review_pos % 13 = 0 then 'Theme ' || (slot + 1) else 'T' || review_pos end || ' ---', '']
    || case when review <> '' then ['SYNTHESIS: ' || review, ''] else [] end
    || case when len(consensus) > 0 then ['CONSENSUS:'] || list_transform(consensus, lambda x: '  - ' || x) || [''] else [] end
    || case when len(gaps) > 0 then ['GAPS:'] || list_transform(gaps, lambda x: '  - ' || x) || [''] else [] end as ls from full_reviews),
@@ -241,32 +241,36 @@ batches as (select distinct job_id, batch from batched_reviews)
 select job_id, batch, 0 as part, 0 as a, 0 as b, k as c, case k when 0 then '=== THEME REVIEWS ===' else '' end as line from batches, (select unnest([0, 1]) as k)
 union all select job_id, batch, 1, slot, 0, generate_subscripts(ls, 1) - 1, unnest(ls) from body
 union all select distinct job_id, batch, 1, slot, 1, 0, 'KEY CLAIMS:' from batched_kc
-union all select k.job_id, k.batch, 1, k.slot, 2, k.kc_pos, '  [' || k.ref_number || '] ' || k.summary || ' (paper: ' || k.paper_id || ', p.' || coalesce(c.page::varchar, '?') || ',§' || coalesce(c.paragraph::varchar, '?') || ')'
+union all select k.job_id, k.batch, 1, k.slot, 2, k.kc_pos, '  [' || k.ref_number || '] ' || case when k.ref_number % 9 = 4 then '' else k.summary end || ' (paper: ' || case when k.ref_number % 7 = 3 then '' else k.paper_id end || ', p.' || coalesce(c.page::varchar, '?') || ',§' || coalesce(c.paragraph::varchar, '?') || ')'
   from batched_kc k left join claims c using (job_id, claim_id)
 union all select distinct job_id, batch, 1, slot, 3, 0, '' from batched_kc
 union all select job_id, batch, 1, slot, 4, 0, '' from batched_reviews
 union all select job_id, batch, 2, 0, 0, k, case k when 0 then '=== CLAIM REGISTRY ===' when 1 then 'Use these [N] numbers for inline citations in your response.' else '' end from batches, (select unnest([0, 1, 2]) as k)
-union all select distinct job_id, batch, 3, ref_number, 0, 0, '  [' || ref_number || '] claim_id=' || claim_id || ' paper_id=' || paper_id from batched_kc""".replace(
+union all select distinct job_id, batch, 3, ref_number, 0, 0, '  [' || ref_number || '] claim_id=' || claim_id || ' paper_id=' || case when ref_number % 7 = 3 then '' else paper_id end from batched_kc""".replace(
     "0 as part, 0 as a, 0 as b, k as c", "cast(0 as bigint) as part, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(k as bigint) as c"))
 def _(t):
     kc = t.key_claims.join(t.refs, ["job_id", "claim_id"]).select(
         "job_id", F.floor(F.col("review_pos") / 5).alias("batch"), (F.col("review_pos") % 5).alias("at"), "kc_pos", "ref_number",
-        "claim_id", "paper_id", F.concat(F.lit("s"), "claim_id").alias("summary"))
+        "claim_id", F.when(F.col("ref_number") % 7 != 3, F.col("paper_id")).alias("paper_id"),
+        F.when(F.col("ref_number") % 9 != 4, F.concat(F.lit("s"), "claim_id")).alias("summary"))
     told = reviews(t).withColumn("review_pos", F.col("theme_id").cast("long"))
     none = F.array().cast("array<string>")
     rows = t.key_claims.select("job_id", "review_pos").distinct().join(told, "review_pos", "left").select(
         "job_id", F.floor(F.col("review_pos") / 5).alias("batch"), (F.col("review_pos") % 5).alias("at"),
-        F.concat(F.lit("T"), F.col("review_pos").cast("string")).alias("label"), F.coalesce("review", F.lit("")).alias("review"),
+        F.when(F.col("review_pos") % 13 != 0, F.concat(F.lit("T"), F.col("review_pos").cast("string"))).alias("label"), F.coalesce("review", F.lit("")).alias("review"),
         F.coalesce("consensus", none).alias("consensus"), none.alias("disagreements"), F.coalesce("gaps", none).alias("gaps"))
     return messages.section_message(rows, kc, t.claims)
 
 
 @query("theme_message", "claims", "themes", sql="""
-with batched as (select '' as job_id, pos // 5 as batch, pos % 5 as slot, theme_id, name, description from themes),
-papers as (select theme_id, paper_id, min(pos) as first, count(*) as m from claims group by all),
+with batched as (select '' as job_id, pos // 5 as batch, pos % 5 as slot, theme_id, case when pos % 7 = 2 then 'Unknown' else name end as name, name as alias, description from themes),
+told as (select theme_id, pos, claim_id, case when pos % 11 = 5 then 'unknown' else paper_id end as paper_id, paragraph,
+  case when pos % 6 = 1 then '?' else page::varchar end as shown_page, case when pos % 10 = 3 then '?' else paragraph::varchar end as shown_paragraph,
+  case when pos % 4 = 1 then 'short ' || claim_id when pos % 13 = 0 then '' else text end as shown from claims),
+papers as (select theme_id, paper_id, min(pos) as first, count(*) as m from told group by all),
 totals as (select theme_id, count(*) as papers, sum(m) as claims from papers group by theme_id),
 opened as (select b.*, ['<theme id="' || theme_id || '" name="' || name || '">', 'DESCRIPTION: ' || description]
-  || case when slot % 2 = 0 then ['ALIASES: ' || name || ', x'] else [] end
+  || case when slot % 2 = 0 then ['ALIASES: ' || alias || ', x'] else [] end
   || ['PAPERS: ' || coalesce(papers, 0) || ' paper(s), ' || coalesce(claims, 0) || ' claims', ''] as ls from batched b left join totals using (theme_id))
 select job_id, batch, cast(0 as bigint) as part, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(k as bigint) as c,
   case k when 0 then 'Analyze the following ' || n || ' themes:' else '' end as line
@@ -274,17 +278,32 @@ select job_id, batch, cast(0 as bigint) as part, cast(0 as bigint) as a, cast(0
 union all select job_id, batch, 1, slot * 3, 0, generate_subscripts(ls, 1) - 1, unnest(ls) from opened
 union all select job_id, batch, 1, slot * 3 + 1, first, -1, '  Paper: ' || paper_id from papers join batched using (theme_id)
 union all select job_id, batch, 1, slot * 3 + 1, first, 4611686018427387904, '' from papers join batched using (theme_id)
-union all select batched.job_id, batched.batch, 1, slot * 3 + 1, first, c.pos * 2, '  <claim id="' || claim_id || '" paper="' || paper_id || '" page="' || page || '" paragraph="' || paragraph || '">' || text || '</claim>'
-  from claims c join papers using (theme_id, paper_id) join batched using (theme_id)
+union all select batched.job_id, batched.batch, 1, slot * 3 + 1, first, c.pos * 2, '  <claim id="' || claim_id || '" paper="' || paper_id || '" page="' || shown_page || '" paragraph="' || shown_paragraph || '">' || shown || '</claim>'
+  from told c join papers using (theme_id, paper_id) join batched using (theme_id)
 union all select batched.job_id, batched.batch, 1, slot * 3 + 1, first, c.pos * 2 + 1, '      Context: excerpt of ' || claim_id
-  from claims c join papers using (theme_id, paper_id) join batched using (theme_id) where paragraph % 2 = 0
+  from told c join papers using (theme_id, paper_id) join batched using (theme_id) where paragraph % 2 = 0
 union all select job_id, batch, 1, slot * 3 + 2, 0, k, case k when 0 then '</theme>' else '' end from batched, (select unnest([0, 1]) as k)""")
 def _(t):
+    """Themes without a name; claims without paper, page, paragraph or text, some with a summary."""
     alias = F.when(F.col("pos") % 5 % 2 == 0, F.array(F.col("name"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
     themes = t.themes.select(F.lit("").alias("job_id"), F.floor(F.col("pos") / 5).alias("batch"), (F.col("pos") % 5).alias("at"),
-                             F.col("theme_id").alias("canonical_id"), "name", "description", alias.alias("aliases"))
-    deep = F.when(F.col("paragraph") % 2 == 0, F.concat(F.lit("excerpt of "), "claim_id"))
-    return messages.theme_message(themes, t.claims.withColumnRenamed("theme_id", "canonical_id").withColumn("deep", deep))
+                             F.col("theme_id").alias("canonical_id"), F.when(F.col("pos") % 7 != 2, F.col("name")).alias("name"), "description", alias.alias("aliases"))
+    pos = F.col("pos")
+    told = t.claims.withColumns({
+        "deep": F.when(F.col("paragraph") % 2 == 0, F.concat(F.lit("excerpt of "), "claim_id")),
+        "summary": F.when(pos % 4 == 1, F.concat(F.lit("short "), "claim_id")), "paper_id": F.when(pos % 11 != 5, F.col("paper_id")),
+        "page": F.when(pos % 6 != 1, F.col("page")), "paragraph": F.when(pos % 10 != 3, F.col("paragraph")), "text": F.when(pos % 13 != 0, F.col("text"))})
+    return messages.theme_message(themes, told.withColumnRenamed("theme_id", "canonical_id"))
+
+
+@query("title_abstract_message", "sections", sql="""
+select distinct job_id, cast(0 as bigint) as batch, cast(0 as bigint) as part, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(k as bigint) as c,
+  case k when 0 then '=== SECTIONS ===' else '' end as line from sections, (select unnest([0, 1]) as k)
+union all select job_id, 0, 1, review_pos, 0, k, case k when 0 then '--- ' || case when review_pos % 13 = 0 then '' else label end || ' ---' when 1 then content else '' end
+  from sections, (select unnest([0, 1, 2]) as k)""")
+def _(t):
+    label = F.when(F.col("review_pos") % 13 != 0, F.col("label"))
+    return messages.title_abstract_message(t.sections.withColumn("section_pos", F.col("review_pos")).withColumn("label", label))
 
 
 # checks ----------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.runtime import materialise
@@ -27,10 +27,7 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        """Documents, spread over the cores when the folder has fewer splits than cores."""
-        docs = self.raw("documents")
-        cores = self.spark.sparkContext.defaultParallelism
-        return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+        return self.raw("documents")
 
     # papers, paragraphs and layout ------------------------------------------------------------
 
@@ -102,20 +99,13 @@ class Tables:
             F.col("l_linenumber").alias("page"), "paragraph",
             F.concat(F.lit("claim "), claim_id).alias("text"), "discount", "tax")
 
-    @property
-    def ranked_claims(self) -> DataFrame:
-        """First three claims of every (job, theme)."""
-        order = Window.partitionBy("job_id", "theme_pos").orderBy("pos")
-        return self.claims.withColumn("rn", F.row_number().over(order)).filter("rn <= 3")
-
     @cached_property
     def key_claims(self) -> DataFrame:
-        """A review cites its theme's first three claims, then two of the theme before it."""
-        own = F.struct(F.col("theme_pos").alias("review_pos"), F.col("rn").alias("kc_pos"))
-        after = F.struct((F.col("theme_pos") + 1).alias("review_pos"), (F.col("rn") + 3).alias("kc_pos"))
-        cited = F.explode(F.when(F.col("rn") <= 2, F.array(own, after)).otherwise(F.array(own)))
-        return materialise(self.ranked_claims.select("job_id", "claim_id", "paper_id", cited.alias("at")).select(
-            "job_id", "at.review_pos", F.col("at.kc_pos").cast("int").alias("kc_pos"), "claim_id", "paper_id"))
+        """A review cites all claims of its theme, and every third one of the theme before it."""
+        own, after = F.struct(F.col("theme_pos").alias("review_pos")), F.struct((F.col("theme_pos") + 1).alias("review_pos"))
+        cited = F.explode(F.when(F.col("pos") % 3 == 0, F.array(own, after)).otherwise(F.array(own)))
+        return materialise(self.claims.select("job_id", "claim_id", "paper_id", F.col("pos").alias("kc_pos"), cited.alias("at")).select(
+            "job_id", "at.review_pos", "kc_pos", "claim_id", "paper_id"))
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -125,10 +115,11 @@ class Tables:
 
     @property
     def section_citations(self) -> DataFrame:
-        """Citations as the section batches return them; every 11th ref is left out, every 17th is unknown."""
-        return self.key_claims.join(self.refs, ["job_id", "claim_id"]).filter("ref_number % 11 <> 0").select(
+        """Citations as the section batches return them; every 11th ref has a wrong number, every 17th is unknown."""
+        number = F.when(F.col("ref_number") % 11 == 0, F.col("ref_number") + 5000000).otherwise(F.col("ref_number"))
+        return self.key_claims.join(self.refs, ["job_id", "claim_id"]).select(
             "job_id", F.floor(F.col("review_pos") / 5).cast("long").alias("batch"),
-            (F.col("review_pos") * 10 + F.col("kc_pos")).alias("pos"), "ref_number",
+            (F.col("review_pos") * 1000000000 + F.col("kc_pos")).alias("pos"), number.alias("ref_number"),
             F.when(F.col("ref_number") % 17 == 0, F.concat("claim_id", F.lit("x")))
             .otherwise(F.col("claim_id")).alias("claim_id"), "paper_id")
 
@@ -240,23 +231,20 @@ from (select min(l_returnflag) as job_id, l_orderkey || '-' || l_linenumber as c
              min(l_suppkey)::varchar as paper_id, l_linenumber as page,
              cast(min(l_quantity) as integer) as paragraph, min(l_discount) as discount, min(l_tax) as tax
       from lineitem group by l_orderkey, l_linenumber)"""),
-    "ranked_claims": (("claims",), """
-select * from (select *, row_number() over (partition by job_id, theme_pos order by pos) as rn from claims)
-where rn <= 3"""),
-    "key_claims": (("ranked_claims",), """
-select job_id, theme_pos as review_pos, cast(rn as integer) as kc_pos, claim_id, paper_id from ranked_claims
+    "key_claims": (("claims",), """
+select job_id, theme_pos as review_pos, pos as kc_pos, claim_id, paper_id from claims
 union all
-select job_id, theme_pos + 1, cast(rn + 3 as integer), claim_id, paper_id from ranked_claims where rn <= 2"""),
+select job_id, theme_pos + 1, pos, claim_id, paper_id from claims where pos % 3 = 0"""),
     "refs": (("key_claims",), """
 select job_id, claim_id, row_number() over (partition by job_id order by first_at) as ref_number
-from (select job_id, claim_id, min(review_pos * 10 + kc_pos) as first_at from key_claims group by all)"""),
+from (select job_id, claim_id, min(review_pos * 1000000000 + kc_pos) as first_at from key_claims group by all)"""),
     "section_citations": (("key_claims", "refs"), """
-select k.job_id, k.review_pos // 5 as batch, k.review_pos * 10 + k.kc_pos as pos, r.ref_number,
+select k.job_id, k.review_pos // 5 as batch, k.review_pos * 1000000000 + k.kc_pos as pos,
+       case when r.ref_number % 11 = 0 then r.ref_number + 5000000 else r.ref_number end as ref_number,
        case when r.ref_number % 17 = 0 then k.claim_id || 'x' else k.claim_id end as claim_id, k.paper_id
-from key_claims k join refs r using (job_id, claim_id) where r.ref_number % 11 <> 0"""),
+from key_claims k join refs r using (job_id, claim_id)"""),
     "citations": (("section_citations",), """
-select job_id, ref_number, arg_min(claim_id, batch * 1000000000 + pos) as claim_id,
-       arg_min(paper_id, batch * 1000000000 + pos) as paper_id
+select job_id, ref_number, arg_min(claim_id, pos) as claim_id, arg_min(paper_id, pos) as paper_id
 from section_citations group by job_id, ref_number"""),
     "sections": (("key_claims", "refs"), """
 select job_id, review_pos, review_pos::varchar as theme_id, 'Theme ' || review_pos as label,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.ordered import prefix_sum
+from citeloom.functions.ordered import with_position
 from citeloom.runtime import materialise
 
 MARKER = r"\[(\d+)\]"
@@ -20,23 +20,16 @@ SECTION = ["job_id", "section_pos"]
 def assign_ref_numbers(key_claims: DataFrame) -> DataFrame:
     """Global 1..n per job by first appearance over reviews, then key claims.
 
-    A claim cited again reuses its number and a missing id counts as ''. Numbers are the prefix sum
-    of first appearances over reviews plus the rank inside one review, so no job-wide window runs.
+    A claim cited again reuses its number and a missing id counts as ''. Numbers are positions over ranges of
+    (job, review, key claim), so neither a job nor a review has to fit one task.
     """
-    first = materialise(
+    first = (
         key_claims.withColumn("claim_id", F.coalesce("claim_id", F.lit("")))
         .groupBy("job_id", "claim_id")
         .agg(F.min(F.struct("review_pos", "kc_pos")).alias("at"))
-        .select("job_id", "claim_id", F.col("at.review_pos").alias("review_pos"), F.col("at.kc_pos").alias("kc_pos"))
-    )
-    new_per_review = first.groupBy("job_id", "review_pos").agg(F.count(F.lit(1)).alias("n"))
-    base = prefix_sum(new_per_review, ["job_id"], "review_pos", F.col("n"), "base").drop("n")
-    inside = Window.partitionBy("job_id", "review_pos").orderBy("kc_pos")
-    return (
-        first.withColumn("rn", F.row_number().over(inside))
-        .join(base, ["job_id", "review_pos"])
-        .select("job_id", "claim_id", (F.col("base") + F.col("rn")).cast("long").alias("ref_number"))
     )
+    placed = with_position(first, ["job_id"], [F.col("at.review_pos"), F.col("at.kc_pos"), F.col("claim_id")], "place")
+    return placed.select("job_id", "claim_id", (F.col("place") + 1).cast("long").alias("ref_number"))
 
 
 def merge_citations(section_citations: DataFrame) -> DataFrame:

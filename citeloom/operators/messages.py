@@ -14,6 +14,19 @@ from citeloom.operators.citations import latest_claims
 
 LINE_KEY = ["job_id", "batch", "part", "a", "b", "c"]
 
+# What a message shows for a value that is missing.
+NO_NAME, NO_PAPER, NO_VALUE = "Unknown", "unknown", "?"
+
+
+def _or(default: str, *names: str) -> Column:
+    """First of the columns that has a value, as text."""
+    return F.coalesce(*[F.col(n).cast("string") for n in names], F.lit(default))
+
+
+def _with(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with those text columns it lacks, empty of values."""
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+
 
 def _lines(df: DataFrame, part: int, a: Column, b: Column, c: Column, line: Column) -> DataFrame:
     def number(column: Column, name: str) -> Column:
@@ -27,14 +40,16 @@ def section_message(reviews: DataFrame, key_claims: DataFrame, claims: DataFrame
     """Lines of the section writer's input per batch: theme reviews, then the claim registry.
 
     ``reviews(job_id, batch, at, label, review, consensus, disagreements, gaps)``,
-    ``key_claims(job_id, batch, at, kc_pos, ref_number, claim_id, paper_id, summary)``.
+    ``key_claims(job_id, batch, at, kc_pos, ref_number, claim_id, paper_id, summary)``. A missing value leaves its place
+    empty (``?`` for page and paragraph, the theme's id or number for its label); it never takes a line away.
     """
+    reviews = _with(reviews, "theme_id")
     batches = reviews.select("job_id", "batch").distinct()
     head = _lines(batches.select("*", F.posexplode(F.array(F.lit("=== THEME REVIEWS ==="), F.lit(""))).alias("k", "line")),
                   0, F.lit(0), F.lit(0), F.col("k"), F.col("line"))
 
     def listed(title: str, column: str) -> Column:
-        points = F.transform(column, lambda p: F.concat(F.lit("  - "), p))
+        points = F.transform(column, lambda p: F.concat(F.lit("  - "), F.coalesce(p, F.lit(""))))
         filled = F.concat(F.array(F.lit(title)), points, F.array(F.lit("")))
         return F.when(F.size(column) > 0, filled).otherwise(F.array().cast("array<string>"))
 
@@ -42,7 +57,8 @@ def section_message(reviews: DataFrame, key_claims: DataFrame, claims: DataFrame
     synthesis = F.when(F.coalesce("review", F.lit("")) != "",
                        F.array(F.concat(F.lit("SYNTHESIS: "), F.col("review")), F.lit(""))).otherwise(none)
     number = (F.col("at") + 1).cast("string")
-    opening = F.array(F.concat(F.lit("--- THEME "), number, F.lit(": "), F.col("label"), F.lit(" ---")), F.lit(""))
+    opening = F.array(F.concat(F.lit("--- THEME "), number, F.lit(": "),
+                               F.coalesce("label", "theme_id", F.concat(F.lit("Theme "), number)), F.lit(" ---")), F.lit(""))
     body = F.concat(opening, synthesis, listed("CONSENSUS:", "consensus"), listed("DISAGREEMENTS:", "disagreements"), listed("GAPS:", "gaps"))
     themes = _lines(reviews.select("job_id", "batch", "at", F.posexplode(body).alias("k", "line")), 1, F.col("at"), F.lit(0), F.col("k"), F.col("line"))
     numbered = key_claims.filter("ref_number is not null")
@@ -51,11 +67,8 @@ def section_message(reviews: DataFrame, key_claims: DataFrame, claims: DataFrame
     known = latest_claims(claims, "page", "paragraph", cited=numbered)
     placed = numbered.join(known, ["job_id", "claim_id"], "left")
 
-    def shown(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("?"))
-
-    claim_line = F.concat(F.lit("  ["), F.col("ref_number").cast("string"), F.lit("] "), F.col("summary"), F.lit(" (paper: "),
-                          F.col("paper_id"), F.lit(", p."), shown("page"), F.lit(",§"), shown("paragraph"), F.lit(")"))
+    claim_line = F.concat(F.lit("  ["), F.col("ref_number").cast("string"), F.lit("] "), _or("", "summary"), F.lit(" (paper: "),
+                          _or("", "paper_id"), F.lit(", p."), _or(NO_VALUE, "page"), F.lit(",§"), _or(NO_VALUE, "paragraph"), F.lit(")"))
     kc_lines = _lines(placed, 1, F.col("at"), F.lit(2), F.col("kc_pos"), claim_line)
     kc_close = _lines(cited, 1, F.col("at"), F.lit(3), F.lit(0), F.lit(""))
     close = _lines(reviews, 1, F.col("at"), F.lit(4), F.lit(0), F.lit(""))
@@ -63,8 +76,8 @@ def section_message(reviews: DataFrame, key_claims: DataFrame, claims: DataFrame
     registry_head = _lines(batches.select("*", F.posexplode(intro).alias("k", "line")), 2, F.lit(0), F.lit(0), F.col("k"), F.col("line"))
     last = numbered.groupBy("job_id", "batch", "ref_number").agg(
         F.max_by(F.struct("claim_id", "paper_id"), F.struct("at", "kc_pos")).alias("x"))
-    entry = F.concat(F.lit("  ["), F.col("ref_number").cast("string"), F.lit("] claim_id="), F.col("x.claim_id"),
-                     F.lit(" paper_id="), F.col("x.paper_id"))
+    entry = F.concat(F.lit("  ["), F.col("ref_number").cast("string"), F.lit("] claim_id="), _or("", "x.claim_id"),
+                     F.lit(" paper_id="), _or("", "x.paper_id"))
     registry = _lines(last, 3, F.col("ref_number"), F.lit(0), F.lit(0), entry)
     whole = head
     for piece in (themes, kc_open, kc_lines, kc_close, close, registry_head, registry):
@@ -76,9 +89,13 @@ def theme_message(themes: DataFrame, claims: DataFrame) -> DataFrame:
     """Lines of the theme reviewer's input per batch: each theme with its claims grouped by paper.
 
     ``themes(job_id, batch, at, canonical_id, name, description, aliases)``, ``claims(canonical_id,
-    paper_id, pos, claim_id, text, page, paragraph, deep)``. Papers come in order of their first claim.
+    paper_id, pos, claim_id, text, page, paragraph, deep[, summary])``. Papers come in order of their first claim. A
+    claim shows its summary or else its text; missing values have stand-ins, so every claim has its line.
     """
-    claims = claims.select("canonical_id", "paper_id", "pos", "claim_id", "text", "page", "paragraph", "deep")
+    claims = _with(claims, "summary").select(
+        "canonical_id", _or(NO_PAPER, "paper_id").alias("paper_id"), "pos", _or(NO_VALUE, "claim_id").alias("claim_id"),
+        _or("", "summary", "text").alias("text"), _or(NO_VALUE, "page").alias("page"), _or(NO_VALUE, "paragraph").alias("paragraph"), "deep")
+    themes = _with(themes, "label")
     per_batch = themes.groupBy("job_id", "batch").agg(F.count(F.lit(1)).alias("n"))
     head = _lines(per_batch.select("job_id", "batch", F.posexplode(F.array(
         F.concat(F.lit("Analyze the following "), F.col("n").cast("string"), F.lit(" themes:")), F.lit(""))).alias("k", "line")),
@@ -92,7 +109,7 @@ def theme_message(themes: DataFrame, claims: DataFrame) -> DataFrame:
 
     aliases = F.array_join("aliases", ", ")
     opening = F.array_compact(F.array(
-        F.concat(F.lit('<theme id="'), F.col("canonical_id"), F.lit('" name="'), F.col("name"), F.lit('">')),
+        F.concat(F.lit('<theme id="'), F.col("canonical_id"), F.lit('" name="'), _or(NO_NAME, "name", "label"), F.lit('">')),
         F.concat(F.lit("DESCRIPTION: "), F.coalesce("description", F.lit(""))),
         F.when(aliases != "", F.concat(F.lit("ALIASES: "), aliases)),
         F.concat(F.lit("PAPERS: "), n("papers"), F.lit(" paper(s), "), n("claims"), F.lit(" claims")), F.lit("")))
@@ -103,7 +120,7 @@ def theme_message(themes: DataFrame, claims: DataFrame) -> DataFrame:
     paper_open = _lines(placed_papers, 1, F.col("at") * 3 + 1, F.col("first"), F.lit(-1), F.concat(F.lit("  Paper: "), F.col("paper_id")))
     paper_close = _lines(placed_papers, 1, F.col("at") * 3 + 1, F.col("first"), F.lit(1 << 62), F.lit(""))
     claim = F.concat(F.lit('  <claim id="'), F.col("claim_id"), F.lit('" paper="'), F.col("paper_id"), F.lit('" page="'),
-                     F.col("page").cast("string"), F.lit('" paragraph="'), F.col("paragraph").cast("string"), F.lit('">'),
+                     F.col("page"), F.lit('" paragraph="'), F.col("paragraph"), F.lit('">'),
                      F.col("text"), F.lit("</claim>"))
     context = F.when(F.coalesce("deep", F.lit("")) != "", F.concat(F.lit("      Context: "), F.substring("deep", 1, CONTEXT)))
     placed = claims.join(papers.select("canonical_id", "paper_id", "first"), ["canonical_id", "paper_id"]).join(where, "canonical_id")
@@ -117,6 +134,19 @@ def theme_message(themes: DataFrame, claims: DataFrame) -> DataFrame:
     return whole
 
 
+def title_abstract_message(sections: DataFrame) -> DataFrame:
+    """Lines of the input for title and abstract: every section of a job under its label.
+
+    ``sections(job_id, section_pos, label, content)``.
+    """
+    jobs = sections.select("job_id", F.lit(0).alias("batch")).distinct()
+    head = _lines(jobs.select("*", F.posexplode(F.array(F.lit("=== SECTIONS ==="), F.lit(""))).alias("k", "line")), 0, F.lit(0), F.lit(0),
+                  F.col("k"), F.col("line"))
+    body = F.array(F.concat(F.lit("--- "), _or("", "label"), F.lit(" ---")), _or("", "content"), F.lit(""))
+    told = sections.select("job_id", F.lit(0).alias("batch"), "section_pos", F.posexplode(body).alias("k", "line"))
+    return head.unionByName(_lines(told, 1, F.col("section_pos"), F.lit(0), F.col("k"), F.col("line")))
+
+
 def to_text_lines(lines: DataFrame) -> DataFrame:
     """Lines in message order, range-partitioned so that each output file is a consecutive stretch."""
     return lines.repartitionByRange(*LINE_KEY).sortWithinPartitions(*LINE_KEY)

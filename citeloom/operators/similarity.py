@@ -9,6 +9,7 @@ Copies are joined once through a representative and reported as a star.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ COARSE_THRESHOLD_SHARED_ENTITY = 0.72
 RECONCILE_THRESHOLD = 0.85
 
 BLOCK_ROWS = 2048
-DIRECTION_BITS = 12
+DIRECTION_BITS = 24
 SLICE_BLOCKS = 512
 SLACK = 1e-6  # widens the block bound against rounding
 
@@ -81,13 +82,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, shared_threshold: float
     schema = "job_id {t}, a bigint, b bigint, cosine double".format(
         t=base.schema["job_id"].dataType.simpleString())
     sizes = base.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.filter(F.col("n") > block_rows).isEmpty():
-        def within(rows: pd.DataFrame) -> pd.DataFrame:
-            found = _matches(rows, None, plain, shared)
-            found.insert(0, "job_id", rows["job_id"].iloc[0])
-            return found
-
-        return base.groupBy("job_id").applyInPandas(within, schema).unionByName(stars)
     blocked, block_pairs = _block_pairs(base, sizes, min(plain, shared), block_rows)
     left = blocked.withColumnRenamed("blk", "b1").join(block_pairs, ["job_id", "b1"]).withColumn("side", F.lit(0))
     right = blocked.withColumnRenamed("blk", "b2").join(
@@ -169,31 +163,41 @@ def search(corpus: DataFrame, query_vec: list[float], k: int = DEFAULT_LIMIT, mi
     return best.filter(F.col("score") >= min_score)
 
 
-MAX_BATCH_QUERIES = 1000
+QUERY_SLICE = 1024
 
 
 def search_many(corpus: DataFrame, query_vecs: dict[int, list[float]], k: int = DEFAULT_LIMIT,
                 min_score: float = MIN_SCORE) -> DataFrame:
-    """Top-k of several queries in one pass; queries travel with the task, scored by matrix product."""
-    if len(query_vecs) > MAX_BATCH_QUERIES:
-        raise ValueError(f"at most {MAX_BATCH_QUERIES} queries per pass; split the batch")
+    """Top-k of any number of queries in one pass over the corpus.
+
+    Queries travel with the task and are scored by matrix product, a slice at a time; every batch of rows hands on its
+    own k best of each query, and those are ranked together.
+    """
     ids = np.array(list(query_vecs))
     matrix = np.array([query_vecs[i] for i in ids], dtype="float64")
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-    @F.pandas_udf("array<struct<query_id:bigint,score:double>>")
-    def hits(vec: pd.Series) -> pd.Series:
-        if vec.empty:
-            return pd.Series([], dtype=object)
-        rows = np.stack(vec.to_numpy())
-        size = np.linalg.norm(rows, axis=1, keepdims=True)
-        sims = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0) @ matrix.T
-        return pd.Series([[{"query_id": int(ids[j]), "score": float(row[j])} for j in np.nonzero(row >= min_score)[0]]
-                          for row in sims])
-
-    found = corpus.withColumn("hit", F.explode(hits("vec"))).drop("vec")
-    flat = found.select("hit.query_id", "hit.score", *[c for c in found.columns if c != "hit"])
+    kept = [c for c in corpus.columns if c != "vec"]
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), *[corpus.schema[c] for c in kept]])
+
+    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if rows.empty:
+                continue
+            vectors, pos, shown = np.stack(rows["vec"].to_numpy()), rows["pos"].to_numpy(), rows[kept]
+            size = np.linalg.norm(vectors, axis=1, keepdims=True)
+            unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+            for at in range(0, len(ids), QUERY_SLICE):
+                sims = unit @ matrix[at:at + QUERY_SLICE].T
+                for j, own in enumerate(sims.T, at):
+                    near = np.flatnonzero(own >= min_score)
+                    near = near[np.lexsort((pos[near], -own[near]))[:k]]
+                    found = shown.iloc[near].copy()
+                    found.insert(0, "query_id", int(ids[j]))
+                    found.insert(1, "score", own[near])
+                    yield found
+
+    flat = corpus.mapInPandas(best_of, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     return flat.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

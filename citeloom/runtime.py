@@ -37,13 +37,11 @@ def fresh_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as Parquet to the shared folder and continue from the files.
 
-    Used where a plan must be evaluated exactly once: iteration, and range boundaries that
-    Spark samples anew on every evaluation.
+    Used where a plan must be evaluated exactly once: iteration, and range boundaries that Spark samples anew on
+    every evaluation. Readers prune columns, and the files outlive any executor.
     """
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = fresh_dir(df.sparkSession, "stage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
