@@ -51,15 +51,15 @@ def _(t):
 
 # tables --------------------------------------------------------------------------------------------
 
-def log_rows(t):
-    return t.events.withColumn("total", F.when(F.col("event_type") == "stage_started", 1 + F.col("seq") % 9))
+def log_rows(log):
+    return log.withColumn("total", F.when(F.col("event_type") == "stage_started", 1 + F.col("seq") % 9))
 
 
 @query("event_log_round_trip", "log", sql="""
 select event_id, event_type, epoch_us(ts) as us, job_id, seq, stage, item_id, payload from log""")
 def _(t):
     path = fresh_dir(t.spark, "event-log")
-    event_log.write_events(log_rows(t), path)
+    event_log.write_events(log_rows(t.events), path)
     return event_log.read_events(t.spark, path).select("event_id", "event_type", F.unix_micros("ts").alias("us"), F.col("job_id").cast("string").alias("job_id"), "seq", "stage", "item_id", "payload")
 
 
@@ -148,12 +148,22 @@ def event_stream(t):
     schema = t.raw("events").schema
     raw = (t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
            .option("maxBytesPerTrigger", streams.BATCH_BYTES).parquet(t.folder))
-    batch = t.raw
-    t.raw = lambda name: raw if name == "events" else batch(name)
-    try:
-        return log_rows(t)
-    finally:
-        t.raw = batch
+    return log_rows(t.log_of(raw))
+
+
+def arrivals(t, start, parts, run):
+    """Events that arrive in ``parts`` batches: ``part`` says in which. ``run(folder)`` processes what has come so far.
+
+    Every batch is written to the folder and processed before the next one comes.
+    """
+    folder = fresh_dir(t.spark, "arrivals")
+    for k in range(parts):
+        start(t.raw("events")).filter(F.col("part") == k).drop("part").write.mode("append").parquet(folder)
+        run(folder)
+
+
+def arriving(t, folder):
+    return log_rows(t.log_of(t.spark.readStream.schema(t.raw("events").schema).parquet(folder)))
 
 
 @query("stream_drop_replayed", "log", sql="select event_id, job_id, seq from log")
@@ -170,16 +180,59 @@ def _(t):
     return counts.groupBy("job_id", "stage").agg(F.max_by("done", "batch").alias("done"))
 
 
-@query("stream_sessions", "log", sql="""
+SESSIONS_SQL = """
 with gaps as (select job_id, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by job_id order by ts) <= 3600000000 then 0 else 1 end as starts from log),
 numbered as (select *, sum(starts) over (partition by job_id order by us) as session_no from gaps)
 select job_id, count(*) as accesses, min(us) as first_us, max(us) as last_us from numbered group by job_id, session_no
-having max(us) + 3600000000 <= (select epoch_us(max(ts)) // 1000 * 1000 from log)""")
-def _(t):
-    closed = streams.run_to_table(streams.live_sessions(event_stream(t)), "sessions")
+having max(us) + 3600000000 <= (select epoch_us(max(ts)) // 1000 * 1000 - 7200000000 from log)"""
+
+
+def shown_sessions(closed):
     return closed.select("job_id", "accesses", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
+@query("stream_sessions", "log", sql=SESSIONS_SQL)
+def _(t):
+    return shown_sessions(streams.run_to_table(streams.live_sessions(event_stream(t), "2 hours"), "sessions"))
+
+
+@query("stream_sessions_in_batches", "log", sql=SESSIONS_SQL)
+def _(t):
+    """The same sessions, although the events come in four batches, each out of order by up to an hour."""
+    target, checkpoint = fresh_dir(t.spark, "sessions"), fresh_dir(t.spark, "checkpoint")
+    first, last = t.raw("events").agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.unix_seconds(F.max(F.col("ts").cast("timestamp")))).first()
+
+    def part(events):
+        shifted = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3600 - first
+        return events.withColumn("part", F.least(F.lit(3), F.floor(shifted * 4 / max(1, last - first)).cast("int")))
+
+    def run(folder):
+        closed = streams.live_sessions(arriving(t, folder), "2 hours")
+        closed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+
+    arrivals(t, part, 4, run)
+    return shown_sessions(t.spark.read.schema("job_id string, accesses bigint, first timestamp, last timestamp").parquet(target))
+
+
+@query("stream_late_rows", "log", sql="""
+with parts as (select event_id, job_id, ts, cast(event_id as bigint) % 3 as part from log),
+marks as (select part, max(ts) as newest from parts group by part)
+select event_id, job_id, case when part > 0 and epoch_us(ts) < (select max(epoch_us(newest)) from marks m where m.part < p.part) - 86400000000 then 'late' else 'on time' end as outcome
+from parts p""")
+def _(t):
+    """Events that come in three batches over the same days: rows over a day behind go to the side table, none is lost."""
+    paths = {name: fresh_dir(t.spark, name) for name in ("main", "side", "marks", "checkpoint")}
+
+    def run(folder):
+        streams.late_to_side_table(arriving(t, folder), paths["main"], paths["side"], paths["marks"], paths["checkpoint"], 86_400_000_000,
+                                   availableNow=True).awaitTermination()
+
+    arrivals(t, lambda events: events.withColumn("part", F.col("event_id") % 3), 3, run)
+    kept = [t.spark.read.schema("event_id string, job_id string").parquet(paths[name]).withColumn("outcome", F.lit(outcome))
+            for name, outcome in (("main", "on time"), ("side", "late"))]
+    return kept[0].unionByName(kept[1]).select("event_id", "job_id", "outcome")
+
+
 @query("stream_late_scores", "log", sql="""
 with r as (select event_id as review_id, job_id, ts from log where event_type = 'stage_completed'),
 s as (select job_id, ts, seq from log where event_type = 'paper_processed'),
@@ -191,7 +244,7 @@ def _(t):
     log = event_stream(t)
     made = log.filter("event_type = 'stage_completed'").select(F.col("event_id").alias("review_id"), "job_id", F.col("ts").alias("reviewed_at"))
     scored = event_stream(t).filter("event_type = 'paper_processed'").select("job_id", F.col("ts").alias("scored_at"), F.col("seq").cast("double").alias("score"))
-    return streams.run_to_table(streams.late_scores(made, scored, "24 hours"), "late-scores")
+    return streams.run_to_table(streams.late_scores(made, scored, "0 seconds", "24 hours"), "late-scores")
 
 
 @query("stream_job_states", "log", sql="""

@@ -174,8 +174,10 @@ class Tables:
 
     @property
     def events(self) -> DataFrame:
+        return self.log_of(self.raw("events"))
+
+    def log_of(self, raw: DataFrame) -> DataFrame:
         """Event log rows; ``seq`` is the log order (event ids are issued in time order)."""
-        raw = self.raw("events")
         kind = F.create_map(*[F.lit(x) for pair in self.EVENT_NAMES.items() for x in pair])
         stage = F.element_at(F.array(*[F.lit(s) for s in STAGES]), (F.floor(F.col("value")) % 4 + 1).cast("int"))
         return raw.select(

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import estimate_tokens, strip
+from citeloom.functions.text import estimate_tokens
 from citeloom.functions.vectors import cosine
 
 # Similarity below which a chunk starts, and the token size above which papers are chunked.
 SIMILARITY_SPLIT = 0.55
 TOKEN_THRESHOLD = 8000
+CHARS_PER_TOKEN = 4
 
 
 def _in_paper():
@@ -83,35 +85,35 @@ def to_markdown(paragraphs: DataFrame, *, annotated: bool = True, keys: tuple[st
     return paragraphs.groupBy(*keys).agg(text.alias("content"))
 
 
+def _packed(text: str | None, budget: int | None) -> list[str]:
+    """One pass over the blocks of a text; a block that no longer fits opens the next part."""
+    parts: list[list[str]] = []
+    used = 0
+    for block in (text or "").split("\n\n"):
+        if block.strip():
+            tokens = len(block) // CHARS_PER_TOKEN
+            if not parts or used + tokens > (budget or 0):
+                parts.append([])
+                used = 0
+            parts[-1].append(block)
+            used += tokens
+    return ["\n\n".join(p) for p in parts] or [text or ""]
+
+
+def _pack(texts: pa.Array, budgets: pa.Array) -> pa.Array:
+    return pa.array((_packed(t.as_py(), b.as_py()) for t, b in zip(texts, budgets, strict=True)), type=pa.list_(pa.string()))
+
+
 def pack_under_budget(contents: DataFrame, budget: Column, content: str = "content") -> DataFrame:
     """Greedy, order-keeping packing of blank-line-separated blocks into parts of at most ``budget`` tokens.
 
-    A block over the budget stands alone and is never cut. Works inside the row: adds ``part`` and
-    the part's text in place of the content.
+    A block over the budget stands alone and is never cut. Linear in the text: adds ``part`` and the part's text in
+    place of the content.
     """
-    blocks = F.filter(F.split(content, "\n\n"), lambda b: strip(b) != "")
-    start = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def place(state: Column, block: Column) -> Column:
-        tokens = estimate_tokens(block)
-        opens = (state["part"] < 0) | (state["used"] + tokens > F.col("__budget"))
-        part = F.when(opens, state["part"] + 1).otherwise(state["part"])
-        used = F.when(opens, tokens).otherwise(state["used"] + tokens)
-        return F.struct(used.alias("used"), part.alias("part"), F.concat(state["parts"], F.array(part)).alias("parts"))
-
-    staged = contents.withColumn("__budget", budget.cast("int")).withColumn("__blocks", blocks)
-    packed = staged.withColumn("__parts", F.aggregate("__blocks", start, place, lambda s: s["parts"]))
-    paired = F.zip_with("__parts", "__blocks", lambda p, b: F.struct(p.alias("part"), b.alias("block")))
-    count = F.greatest(F.coalesce(F.array_max("__parts"), F.lit(0)), F.lit(0))
-
-    def text_of(n: Column) -> Column:
-        own = F.filter(paired, lambda s: s["part"] == n)
-        return F.array_join(F.transform(own, lambda s: s["block"]), "\n\n")
-
-    texts = F.when(F.size("__blocks") == 0, F.array(F.col(content))).otherwise(
-        F.transform(F.sequence(F.lit(0), count), text_of))
+    texts = F.arrow_udf(_pack, "array<string>")(F.col(content), budget.cast("int"))
+    staged = contents.withColumn("__texts", texts)
     others = [c for c in contents.columns if c != content]
-    return packed.select(*others, F.posexplode(texts).alias("part", content))
+    return staged.select(*others, F.posexplode("__texts").alias("part", content))
 
 
 def size_trigger(contents: DataFrame, threshold: int = TOKEN_THRESHOLD, content: str = "content") -> tuple[DataFrame, DataFrame]:

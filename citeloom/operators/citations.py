@@ -126,12 +126,18 @@ def citation_integrity(sections: DataFrame, citations: DataFrame, claims: DataFr
     return unresolved.unionByName(unknown)
 
 
+def last_citations(citations: DataFrame) -> DataFrame:
+    """(job_id, ref_number, claim_id): the last citation of each number by ``pos``; without positions, by claim id."""
+    order = F.col("pos") if "pos" in citations.columns else F.col("claim_id")
+    return citations.groupBy("job_id", "ref_number").agg(F.max_by("claim_id", order).alias("claim_id"))
+
+
 def resolve_citations(sections: DataFrame, citations: DataFrame, claims: DataFrame) -> DataFrame:
     """Rewrite [N] to [N](cite:N "p.X,§Y"); '?' for an unknown claim, nothing for an orphan.
 
     The text is split at its markers and put together again, so inserted text is never rescanned.
     """
-    last = citations.groupBy("job_id", "ref_number").agg(F.max("claim_id").alias("claim_id"))
+    last = last_citations(citations)
     known = latest_claims(claims, "page", "paragraph", cited=last).withColumn("known", F.lit(True))
 
     def shown(name: str) -> Column:
@@ -167,7 +173,7 @@ def tidy_spaces(text: Column) -> Column:
 
 def collect_claim_ids(sections: DataFrame, citations: DataFrame) -> DataFrame:
     """Claim ids of a section's refs in ref order; unknown refs are skipped."""
-    last = citations.groupBy("job_id", "ref_number").agg(F.max("claim_id").alias("claim_id"))
+    last = last_citations(citations)
     refs = sections.select(*SECTION, F.posexplode("citation_refs").alias("at", "ref_number"))
     ids = (
         refs.join(last, ["job_id", "ref_number"])

@@ -32,8 +32,8 @@ def events_after(events: DataFrame, markers: DataFrame, limit: int = REPLAY_LIMI
     start = markers.filter("marker is null").select("job_id", F.lit(None).cast("long").alias("after"))
     wanted = events.join(named.unionByName(start), "job_id").filter(
         F.col("after").isNull() | (F.col("seq") > F.col("after"))).drop("after")
-    order = Window.partitionBy("job_id").orderBy("seq")
-    return wanted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    # positions by blocks of the log order: a job's tail is never sorted as a whole, whatever the page size
+    return prefix_sum(wanted, ["job_id"], "seq", F.lit(1), "rank", inclusive=True).withColumn("rank", F.col("rank").cast("int")).filter(F.col("rank") <= size)
 
 
 def agent_spans(events: DataFrame, keys: list[str], start: list[str], end: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ long form with a position column; arrays appear only where a group is bounded, a
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,8 @@ def cap_buckets(components: DataFrame, vectors: DataFrame, cap: int = MAX_BUCKET
     sized = components.join(components.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
     small = sized.filter(F.col("n") <= cap).select("job_id", "pos", "component", F.lit(0).cast("long").alias("sub"))
     large = sized.filter(F.col("n") > cap).join(vectors.select("job_id", "pos", "vec"), ["job_id", "pos"])
-    per_dim = large.select(*key, F.posexplode("vec").alias("dim", "x")).groupBy(*key, "dim").agg(F.avg("x").alias("x"))
-    centre = per_dim.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centre"))
+    # one vector sum per task and component, not a row per dimension
+    centre = large.groupBy(*key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("vec")))).alias("centre"))
     near = large.join(centre, key).select(*key, "pos", "n", cosine(F.col("vec"), F.col("centre")).alias("near"))
     dealt = with_position(near, key, [-F.col("near"), F.col("pos")], "rank")
     return small.unionByName(dealt.select(

@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on (UTC timestamps). Runtime settings only."""
+    """Pin the settings results depend on: UTC timestamps, and one state store for every stream."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

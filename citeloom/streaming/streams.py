@@ -16,11 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from citeloom.operators.events import JOB_ENDS, TOTAL_STAGES
-from citeloom.runtime import fresh_dir
+from citeloom.runtime import configure, fresh_dir
 from citeloom.sources.event_log import EVENT_SCHEMA, TIMESTAMP_FORMAT
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 # Log volume one micro-batch takes in; it bounds what one job can hold in a batch.
 BATCH_BYTES = 256 * 1024 * 1024
 
@@ -54,17 +52,22 @@ def stage_items(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return once.groupBy("job_id", "stage").agg(F.count(F.lit(1)).alias("done"))
 
 
-def live_sessions(stream: DataFrame, key: str = "job_id", minutes: int = 60, delay: str = "0 seconds") -> DataFrame:
-    """Closed sessions per key: accesses no more than ``minutes`` apart (append mode)."""
+def live_sessions(stream: DataFrame, delay: str, key: str = "job_id", minutes: int = 60) -> DataFrame:
+    """Closed sessions per key: accesses no more than ``minutes`` apart (append mode).
+
+    ``delay`` must cover how far rows arrive out of order; then the sessions do not depend on the batches. Rows
+    that come later still belong in the side table of ``late_to_side_table``.
+    """
     return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", f"{minutes} minutes"), key).agg(
         F.count(F.lit(1)).alias("accesses"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("session_window")
 
 
-def late_scores(reviews: DataFrame, scores: DataFrame, wait: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
+def late_scores(reviews: DataFrame, scores: DataFrame, delay: str, wait: str = "1 hour") -> DataFrame:
     """Reviews joined to the scores that arrive within ``wait``; those left without one are quarantined.
 
     ``reviews(review_id, job_id, reviewed_at)``, ``scores(job_id, scored_at, score)``. An unmatched
-    review comes out once the watermark has passed its waiting time.
+    review comes out once the watermark has passed its waiting time. ``delay`` must cover how far rows arrive
+    out of order.
     """
     left = reviews.withWatermark("reviewed_at", delay)
     right = scores.withColumnRenamed("job_id", "score_job").withWatermark("scored_at", delay)
@@ -138,8 +141,11 @@ JOB_STATE_SCHEMA = "job_id string, status string, last_seq bigint, stages string
 
 
 def job_states(stream: DataFrame, terminal: list[str] | None = None) -> DataFrame:
-    """State changes of every job (append mode); the latest ``last_seq`` per job is its current state."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """State changes of every job (append mode); the latest ``last_seq`` per job is its current state.
+
+    Needs the state store that ``runtime.configure`` sets.
+    """
+    configure(stream.sparkSession)
     return stream.select("job_id", "event_type", "seq", "stage", "item_id", "total").groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=JobState(terminal), outputStructType=JOB_STATE_SCHEMA, outputMode="Append", timeMode="None")
 

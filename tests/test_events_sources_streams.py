@@ -229,6 +229,6 @@ def test_late_score_is_quarantined(spark, rows, tmp_path):
     write_part(spark, scores, [("s1", "x", 0.5 * hour, "a", None, None, 7), ("s2", "x", 2 * hour, "b", None, None, 8), ("s3", "x", 50 * hour, "z", None, None, 9)])
     left = streams.live_events(spark, reviews).select(F.col("event_id").alias("review_id"), "job_id", F.col("ts").alias("reviewed_at"))
     right = streams.live_events(spark, scores).select("job_id", F.col("ts").alias("scored_at"), F.col("total").cast("double").alias("score"))
-    got = rows(streams.run_to_table(streams.late_scores(left, right), "scores"), "review_id", "score", "outcome")
+    got = rows(streams.run_to_table(streams.late_scores(left, right, "0 seconds"), "scores"), "review_id", "score", "outcome")
     assert got == [("r1", 7.0, "scored"), ("r2", None, "quarantine")]
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
