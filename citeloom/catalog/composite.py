@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citeloom.catalog import citations as cited
 from citeloom.catalog.citations import RESOLVED, SUPPLIER_PAPERS, TIDY, sections, supplier_papers
 from citeloom.catalog.layout import listed
-from citeloom.catalog.reading import heads
+from citeloom.catalog.reading import heads, job_papers
 from citeloom.catalog.registry import query
 from citeloom.catalog.stand_ins import CTES
 from citeloom.catalog.themes import LOW, LOWER, buckets, chunk_inputs, tagged, theme_scores
@@ -57,6 +57,60 @@ def aggregated_sections(t):
                        cited.numbers("citation_refs").alias("citation_refs"))
 
 
+def outputs(**frames):
+    """Several outputs of a stage as one table: (output, job_id, key, value)."""
+    whole = None
+    for name, (df, key, value) in frames.items():
+        rows = df.select(F.lit(name).alias("output"), "job_id", key.alias("key"), value.alias("value"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+def text(*columns):
+    return F.concat_ws("/", *[F.col(c).cast("string") for c in columns])
+
+
+@query("aggregate_outputs", "sections", "citations", "claims", sql=f"""
+with valid as (select c.* from citations c semi join claims k on c.job_id = k.job_id and c.claim_id = k.claim_id),
+found as (select distinct job_id, theme_id, unnest(regexp_extract_all(content, '\\[(\\d+)\\]', 1))::bigint as ref_number from sections),
+placed as (select c.job_id, c.paper_id, c.ref_number, c.claim_id, coalesce(p.title, '') as title, coalesce(k.page, 0) as page, coalesce(k.paragraph, 0) as paragraph,
+  min(c.ref_number) over (partition by c.job_id, c.paper_id) as first_ref
+  from valid c left join claims k using (job_id, claim_id) left join {SUPPLIER_PAPERS} p on p.paper_id = c.paper_id)
+select 'orphans' as output, f.job_id, theme_id as key, string_agg(ref_number::varchar, '/' order by ref_number) as value
+  from found f where not exists (select 1 from citations c where c.job_id = f.job_id and c.ref_number = f.ref_number) group by f.job_id, theme_id
+union all select 'citations', job_id, ref_number::varchar, concat_ws('/', claim_id, paper_id, title, page, paragraph) from placed
+union all select 'references', job_id, concat_ws('/', paper_id, ref_number), concat_ws('/', title, first_ref, page, paragraph) from placed""")
+def _(t):
+    """What aggregation returns besides the sections: orphaned numbers, placed citations, references."""
+    done = jobs.aggregate(sections(t), t.section_citations, t.claims, supplier_papers(t))
+    return outputs(
+        orphans=(done.orphans, F.col("theme_id"), F.array_join(F.transform("missing", lambda n: n.cast("string")), "/")),
+        citations=(done.citations, text("ref_number"), text("claim_id", "paper_id", "paper_title", "page", "paragraph")),
+        references=(done.references, text("paper_id", "ref_number"), text("paper_title", "first_ref", "page", "paragraph")))
+
+
+@query("reader_outputs", "sections", "citations", "claims", sql=f"""
+with {RESOLVED.replace('from citations c left join claims k using', 'from citations c join claims k using')},
+valid as (select c.job_id, c.ref_number, c.claim_id from citations c semi join claims k on c.job_id = k.job_id and c.claim_id = k.claim_id),
+cites as (select job_id, review_pos, unnest(list_distinct(citation_refs)) as ref_number from sections),
+texts as (select job_id, review_pos, {TIDY} as content from glued)
+select 'cited_in' as output, v.job_id, v.ref_number::varchar as key, coalesce(c.review_pos::varchar, '') as value from valid v left join cites c using (job_id, ref_number)
+union all select 'markdown', job_id, (review_pos // 1000)::varchar, md5(string_agg('## Theme ' || review_pos || chr(10) || chr(10) || content, chr(10) || chr(10) order by review_pos)) from texts group by job_id, review_pos // 1000
+union all select 'markdown', job_id, '-1', md5('*About ' || job_id || '*') from (select distinct job_id from claims)
+union all select 'stats', job_id, '', concat_ws('/', count(distinct paper_id), count(distinct theme_id), count(*)) from claims group by job_id
+union all select 'colours', job_id, theme_id, (row_number() over (partition by job_id order by min(pos)) - 1)::varchar from claims group by job_id, theme_id""")
+def _(t):
+    """The reader's tables from an aggregated review."""
+    papers = supplier_papers(t).withColumn("filename", F.lit(None).cast("string"))
+    done = jobs.aggregate(sections(t), t.section_citations, t.claims, papers)
+    view = jobs.reader_view(heads(t), done, job_papers(t).join(papers, "paper_id", "left"), t.claims.withColumn("summary", F.lit(None).cast("string")), t.claims)
+    return outputs(
+        cited_in=(view["cited_in"], text("ref_number"), text("section_pos")),
+        markdown=(view["markdown"], text("part"), F.md5("text")),
+        stats=(view["stats"], F.lit(""), text("papers", "themes", "claims")),
+        colours=(view["colours"], F.col("theme_id"), text("colour_index")))
+
+
 @query("bucket_themes", "vec_pairs", "jobs2", sql=f"""
 with recursive near as (select job_id, a, b from vec_pairs where cosine >= {LOW} or (shared and cosine >= {LOWER})),
 spread(job_id, pos, label) as (select job_id, pos, pos from jobs2 union
@@ -143,7 +197,7 @@ def _(t):
     papers = supplier_papers(t).withColumn("filename", F.lit(None).cast("string"))
     done = jobs.aggregate(sections(t), t.section_citations, t.claims, papers)
     claims = t.claims.withColumn("summary", F.lit(None).cast("string"))
-    entries = jobs.reader_view(heads(t), done, papers.withColumn("job_id", F.lit("A")), claims, t.claims)["entries"]
+    entries = jobs.reader_view(heads(t), done, job_papers(t).join(papers, "paper_id", "left"), claims, t.claims)["entries"]
     return entries.select("job_id", "index", "title", "position", "text")
 
 

@@ -18,16 +18,17 @@ def cited_in(citations: DataFrame, sections: DataFrame) -> DataFrame:
 def review_reader(citations: DataFrame, papers: DataFrame, claims: DataFrame) -> DataFrame:
     """Citation entries as readers see them: title and text with their fallbacks, position as shown.
 
-    ``citations(.., paper_title, page, paragraph)``, ``papers(paper_id, title, filename, authors)``,
+    ``citations(.., paper_title, page, paragraph)``, ``papers([job_id, ]paper_id, title, filename, authors)``,
     ``claims(job_id, claim_id, pos, summary, text, page, paragraph)``.
     """
-    known = papers.select("paper_id", F.col("title").alias("p_title"), F.col("filename").alias("p_file"), F.col("authors").alias("p_authors"))
+    keys = [k for k in ("job_id", "paper_id") if k in papers.columns]
+    known = papers.select(*keys, F.col("title").alias("p_title"), F.col("filename").alias("p_file"), F.col("authors").alias("p_authors"))
     looked_up = latest_claims(claims, "summary", "text", "page", "paragraph", cited=citations).select(
         "job_id", "claim_id", F.coalesce("summary", "text", F.lit("")).alias("claim_text"),
         F.col("page").alias("c_page"), F.col("paragraph").alias("c_paragraph"))
     page, paragraph = F.coalesce("page", "c_page", F.lit(0)), F.coalesce("paragraph", "c_paragraph", F.lit(0))
     shown = F.when(page > 0, F.concat(F.lit("p."), page.cast("string"), F.lit(", §"), paragraph.cast("string"))).otherwise("")
-    return citations.join(known, "paper_id", "left").join(looked_up, ["job_id", "claim_id"], "left").select(
+    return citations.join(known, keys, "left").join(looked_up, ["job_id", "claim_id"], "left").select(
         "job_id", F.col("ref_number").alias("index"), "claim_id",
         F.coalesce("p_title", "paper_title", "p_file", F.lit("Unknown paper")).alias("title"),
         F.coalesce(F.array_join("p_authors", ", "), F.lit("")).alias("authors"), shown.alias("position"),
