@@ -28,7 +28,8 @@ select paper_id, page_idx + 1, idx, text, record, bold_heading from word_rows wh
 
 
 def ingested(t):
-    return jobs.ingest(t.spans.filter("paper_id % 7 <> 0"), t.words, t.papers.select("paper_id", "page_count"), threshold=300)
+    blank = t.spans.withColumn("text", F.when(F.col("paper_id") % 7 != 0, F.col("text")).otherwise(""))
+    return jobs.ingest(blank, t.words, t.papers.select("paper_id", "page_count"), threshold=300)
 
 
 @query("ingest_contents", "kept_rows", sql=r"""

@@ -41,18 +41,21 @@ def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, locati
     ``page_counts(paper_id, page_count, ..)``; ``with_vec`` attaches a ``vec`` to paragraphs and is
     only run on papers that are too large and have no section headings to split at.
     """
-    # one shuffle by paper serves every aggregation, window and join of the stage
-    spans, words = spans.repartition("paper_id"), words.repartition("paper_id")
-    span_medians, word_medians = layout.median_font(spans), layout.median_font(words, skip_blank=False)
-    primary = layout.classify_blocks(layout.rollup_blocks(spans), span_medians)
-    fallback = layout.classify_blocks(layout.words_to_blocks(words, word_medians))
+    # one shuffle by paper serves every aggregation, window and join of the stage; words are only used of papers whose
+    # spans give too little text
+    spans = spans.repartition("paper_id")
+    primary = materialise(layout.classify_blocks(layout.rollup_blocks(spans), layout.median_font(spans)))
+    good = layout.quality_gate(primary, page_counts, minimum).select("paper_id")
+    left = page_counts.join(good, "paper_id", "left_anti")
+    words = words.join(left.select("paper_id"), "paper_id", "left_semi").repartition("paper_id")
+    fallback = materialise(layout.classify_blocks(layout.words_to_blocks(words, layout.median_font(words, skip_blank=False))))
     chosen, rejected = layout.select_extractor((primary, page_counts), (fallback, page_counts), minimum)
     chosen = materialise(chosen)
 
     def of(rows: DataFrame, extractor: str) -> DataFrame:
         return rows.join(chosen.filter(F.col("extractor") == extractor).select("paper_id"), "paper_id", "left_semi")
 
-    kept = materialise(of(primary, "primary").unionByName(of(fallback, "fallback")))
+    kept = of(primary, "primary").unionByName(of(fallback, "fallback"))
     papers = chosen.join(layout.paper_header(kept), "paper_id", "left")
     clean, _types = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=locations)
     paragraphs = kept.withColumn("text", clean).drop("sets_title", "may_be_authors")
