@@ -10,10 +10,11 @@ from citeloom.operators import citations as ops
 
 
 def supplier_papers(t):
-    """Suppliers as the cited papers; every third one is missing."""
+    """Suppliers as the cited papers; every third one has another key, so that its citations find no paper."""
+    key = F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")).otherwise(-F.col("s_suppkey") - 1)
     nations = t.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return t.raw("supplier").filter("s_suppkey % 3 <> 0").join(nations, "s_nationkey", "left").select(
-        F.col("s_suppkey").cast("string").alias("paper_id"), F.col("s_name").alias("title"),
+    return t.raw("supplier").join(nations, "s_nationkey", "left").select(
+        key.cast("string").alias("paper_id"), F.col("s_name").alias("title"),
         F.array("n_name").alias("authors"))
 
 

@@ -127,7 +127,8 @@ def _(t):
     from citeloom.catalog.citations import sections
     from citeloom.catalog.reading import heads
 
-    return entities.section_points(heads(t).filter("job_id = 'A'"), sections(t)).select("id", "job_id", "text", "title")
+    own = heads(t).withColumn("job_id", F.when(F.col("job_id") == "A", F.col("job_id")).otherwise(F.concat(F.lit("other "), "job_id")))
+    return entities.section_points(own, sections(t)).select("id", "job_id", "text", "title")
 
 
 @query("flag_misses", "judge", sql="""

@@ -149,8 +149,10 @@ select p.paper_id, coalesce(c.chunk, 0) as chunk, coalesce(c.content, '') as con
  union all select paper_id, 0, title from papers where paper_id % 2 = 1 and paper_id % 5 <> 0) c using (paper_id)""")
 def _(t):
     rows = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: s["text"])
-    chunks = t.paragraphs.filter("paper_id % 2 = 0").groupBy("paper_id", F.col("page").alias("chunk")).agg(F.array_join(rows, "/").alias("content"))
-    whole = t.papers.filter("paper_id % 5 <> 0 or paper_id % 2 = 0").select("paper_id", F.col("title").alias("content"))
+    even = F.when(F.col("paper_id") % 2 == 0, F.col("paper_id")).otherwise(-F.col("paper_id") - 1)
+    chunks = t.paragraphs.withColumn("paper_id", even).groupBy("paper_id", F.col("page").alias("chunk")).agg(F.array_join(rows, "/").alias("content"))
+    known = F.when((F.col("paper_id") % 5 != 0) | (F.col("paper_id") % 2 == 0), F.col("paper_id")).otherwise(-F.col("paper_id") - 1)
+    whole = t.papers.select(known.alias("paper_id"), F.col("title").alias("content"))
     return corpus.load_chunks(t.papers, chunks, whole)
 
 

@@ -114,8 +114,8 @@ def resolved(t):
         "sentence_pos", (F.col("sentence_pos") % 100).cast("string").alias("theme_id"),
         F.concat(F.lit("Sentence "), (F.col("sentence_pos") % 3000).cast("string")).alias("sentence"), "verdict", "resolved_by")
     status = F.when(F.col("o_orderstatus") == "F", "ENTAILED").when(F.col("o_orderstatus") == "O", "CONTRADICTED").otherwise("NEUTRAL")
-    labels = t.raw("orders").filter("o_orderkey % 2 = 0").select(
-        (F.col("o_orderkey") % 100).cast("string").alias("theme_id"),
+    labels = t.raw("orders").select(  # of every other order a label for a theme that is not there
+        F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_orderkey") % 100).cast("string")).otherwise("none").alias("theme_id"),
         F.concat(F.lit("Sentence "), (F.col("o_orderkey") % 3000).cast("string")).alias("sentence"), status.alias("label"))
     return grounding.resolve_borderline(judged, labels)
 
@@ -141,7 +141,8 @@ def _(t):
     both = rows.select("theme_id", F.posexplode(F.array(F.lit("CONSENSUS"), F.lit("DISAGREEMENT"))).alias("n", "kind"), "consensus", "disagreements")
     items = both.select("theme_id", "kind", F.posexplode(F.when(F.col("n") == 0, F.col("consensus")).otherwise(F.col("disagreements"))).alias("at", "entry"))
     labels = items.select("theme_id", "kind", "at", F.when((F.col("theme_id").cast("long") + F.col("at")) % 3 == 0, F.col("kind")).otherwise("NEITHER").alias("label"))
-    done = grounding.verify_sections(rows, labels, t.claims.filter("theme_pos % 5 <> 0"))
+    done = grounding.verify_sections(rows, labels, t.claims.withColumn(
+        "theme_id", F.when(F.col("theme_pos") % 5 != 0, F.col("theme_id")).otherwise(F.concat(F.lit("other "), "theme_id"))))
     return done.select("theme_id", *[listed(c).alias(c) for c in ("consensus", "disagreements", "gaps")])
 
 
