@@ -214,7 +214,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids
         ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
-    return docs.withColumn(out, F.arrow_udf(run, "array<int>")(F.col(text)))
+    # Not to be repeated by each expression that uses the ids.
+    return docs.withColumn(out, F.arrow_udf(run, "array<int>").asNondeterministic()(F.col(text)))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
