@@ -211,6 +211,39 @@ def _(t):
     return jobs.evaluate(scores, baseline, scores, scores, traces)["regressions"].select("metric", F.round("score", 9).alias("score"), "passed")
 
 
+@query("evaluate_outputs", sql="""
+with scores as (select doc_id::varchar as case_id, 'faithfulness' as metric, 0.4::double + quality * 0.5::double as score from labels
+  union all select doc_id::varchar, 'Citation Accuracy', 0.35::double + doc_id % 5 * 0.2::double from labels),
+cases as (select distinct case_id from scores),
+sampled as (select case_id from cases order by md5('0' || case_id), case_id limit (select greatest(1, cast(floor(count(*) * 0.1::double) as bigint)) from cases))
+select 'averages' as output, '' as case_id, replace(lower(metric), ' ', '_') as metric, round(avg(score), 9) as value from scores group by 3
+union all select 'regressions', '', replace(lower(metric), ' ', '_'), case when avg(score) >= 0.72::double * 0.95 then 1.0 else 0.0 end from scores group by 3
+union all select 'concordance', case_id, metric, round(abs(score - score * 0.5::double), 9) from scores
+union all select 'sampled', case_id, '', 1.0 from sampled
+union all select 'misses', case_id, metric, round(score, 9) from scores where metric = 'faithfulness' and score < 0.7""")
+def _(t):
+    """Everything an evaluation returns."""
+    scores = t.raw("labels").select(F.col("doc_id").cast("string").alias("case_id"), F.explode(F.array(
+        F.struct(F.lit("faithfulness").alias("metric"), (F.lit(0.4) + F.col("quality") * 0.5).alias("score")),
+        F.struct(F.lit("Citation Accuracy").alias("metric"), (F.lit(0.35) + F.col("doc_id") % 5 * 0.2).alias("score")))).alias("m")).select("case_id", "m.*")
+    baseline = scores.select(F.replace(F.lower("metric"), F.lit(" "), F.lit("_")).alias("metric")).distinct().withColumn("baseline", F.lit(0.72))
+    traces = scores.select(F.col("case_id").alias("trace_id")).distinct().select(
+        "trace_id", F.lit("q").alias("input"), F.lit("a").alias("output"), F.array(F.lit("c")).alias("retrieved_contexts"))
+    done = jobs.evaluate(scores, baseline, scores, scores.withColumn("score", F.col("score") * 0.5), traces)
+    nothing = F.lit("")
+
+    def rows(name, case, metric, value):
+        return done[name].select(F.lit(name).alias("output"), case.alias("case_id"), metric.alias("metric"), F.round(value, 9).alias("value"))
+
+    whole = rows("averages", nothing, F.col("metric"), F.col("score"))
+    for more in (rows("regressions", nothing, F.col("metric"), F.col("passed").cast("double")),
+                 rows("concordance", F.col("case_id"), F.col("metric"), F.col("abs_diff")),
+                 rows("sampled", F.col("trace_id"), nothing, F.lit(1.0)),
+                 rows("misses", F.col("case_id"), F.col("metric"), F.col("score"))):
+        whole = whole.unionByName(more)
+    return whole
+
+
 # hooks and set operations ------------------------------------------------------------------------------
 
 def _length_ratio(left, right):
