@@ -1,7 +1,8 @@
 """Per-job entity tables and the five searchable collections, kept as parquet.
 
-An upsert writes a complete new version of a collection and then switches a small pointer file, so
-readers see the old or the new version, never a mixture, and a failed write leaves the old one.
+A collection is a numbered manifest that names the folder of each bucket of ids. An upsert writes the touched buckets
+anew and then publishes the next manifest, so readers see the old or the new version, never a mixture, a failed write
+leaves the old one, and of two writers at the same time the second fails instead of undoing the first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import point_id, theme_text
+from citeloom.runtime import materialise
 
 SCHEMAS = {
     "papers": "paper_id string, filename string, title string, authors array<string>, page_count int, ingested_at timestamp, job_id string",
@@ -58,45 +60,54 @@ def read_entity(spark: SparkSession, root: str, name: str, schema: str | None =
 
 # collections -----------------------------------------------------------------------------------------
 
+BUCKETS = 64
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _current(spark: SparkSession, root: str, name: str) -> str | None:
-    pointer, fs = _path(spark, f"{root}/{name}/CURRENT")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.text(f"{root}/{name}/CURRENT").first()["value"]
+def _manifests(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of a collection's manifests, oldest first."""
+    folder, fs = _path(spark, f"{root}/{name}/manifests")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
-def _publish(spark: SparkSession, root: str, name: str, version: str) -> None:
-    pointer, fs = _path(spark, f"{root}/{name}/CURRENT")
-    out = fs.create(pointer, True)
-    out.write(bytearray(version.encode()))
-    out.close()
+def _read_manifest(spark: SparkSession, root: str, name: str, number: int) -> dict[int, str]:
+    """Folder of each bucket that has rows."""
+    lines = spark.read.text(f"{root}/{name}/manifests/{number}").collect()  # at most BUCKETS lines
+    return {int(k): v for k, v in (r["value"].split(" ", 1) for r in lines if r["value"])}
 
 
-def _write_version(df: DataFrame, root: str, name: str) -> None:
-    version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{name}/{version}")
-    _publish(df.sparkSession, root, name, version)
+def _publish(spark: SparkSession, root: str, name: str, number: int, buckets: dict[int, str]) -> None:
+    """Fails if another writer has published this number meanwhile."""
+    file, fs = _path(spark, f"{root}/{name}/manifests/{number}")
+    out = fs.create(file, False)
+    out.write(bytearray("".join(f"{k} {v}\n" for k, v in sorted(buckets.items())).encode()))
+    out.close()
 
 
 def ensure_collections(spark: SparkSession, root: str) -> list[str]:
     """Create the collections that do not exist yet, empty; returns their names."""
     created = []
-    for name, schema in COLLECTION_SCHEMAS.items():
-        if _current(spark, root, name) is None:
-            _write_version(spark.createDataFrame([], schema), root, name)
+    for name in COLLECTION_SCHEMAS:
+        if not _manifests(spark, root, name):
+            _publish(spark, root, name, 0, {})
             created.append(name)
     return created
 
 
+def _rows(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], COLLECTION_SCHEMAS[name])
+    return spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{name}/{f}" for f in folders])
+
+
 def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """The current version of a collection, or None when there is none."""
-    version = _current(spark, root, name)
-    return None if version is None else spark.read.parquet(f"{root}/{name}/{version}")
+    known = _manifests(spark, root, name)
+    return _rows(spark, root, name, list(_read_manifest(spark, root, name, known[-1]).values())) if known else None
 
 
 def merge_points(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
@@ -110,12 +121,40 @@ def last_per_key(updates: DataFrame, order: str, key: str = "id") -> DataFrame:
     return updates.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("r")).select(key, "r.*")
 
 
-def upsert(spark: SparkSession, root: str, name: str, updates: DataFrame, key: str = "id") -> None:
-    """Insert or replace points by id; the last write of a key wins."""
-    target = read_collection(spark, root, name)
-    if target is None:
-        target = spark.createDataFrame([], COLLECTION_SCHEMAS[name])
-    _write_version(merge_points(target, updates, key), root, name)
+def upsert(spark: SparkSession, root: str, name: str, updates: DataFrame, key: str = "id", order: str | None = None) -> None:
+    """Insert or replace points by id. Of an id that repeats within ``updates`` the row with the highest ``order`` is
+    kept; without an order, the greatest row.
+
+    Rows lie in ``BUCKETS`` buckets by a hash of the id. Only buckets that the updates touch are read and written again.
+    """
+    known = _manifests(spark, root, name)
+    held = _read_manifest(spark, root, name, known[-1]) if known else {}
+    others = [c for c in updates.columns if c != key]
+    single = last_per_key(updates, order, key) if order else updates.groupBy(key).agg(F.max(F.struct(*others)).alias("r")).select(key, "r.*")
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    new = materialise(single.withColumn("bucket", bucket))
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]
+    old = _rows(spark, root, name, [held[k] for k in touched if k in held]).withColumn("bucket", bucket)
+    version = f"version-{uuid.uuid4().hex}"
+    merge_points(old, new, key).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}/{version}")
+    _publish(spark, root, name, known[-1] + 1 if known else 0, held | {k: f"{version}/bucket={k}" for k in touched})
+
+
+def vacuum(spark: SparkSession, root: str, name: str, keep: int = 2) -> int:
+    """Delete bucket folders that none of the last ``keep`` manifests names, and older manifests; returns how many."""
+    known = _manifests(spark, root, name)
+    used = {folder for number in known[-keep:] for folder in _read_manifest(spark, root, name, number).values()}
+    base, fs = _path(spark, f"{root}/{name}")
+    gone = 0
+    for version in fs.listStatus(base):
+        if version.getPath().getName().startswith("version-"):
+            for part in fs.listStatus(version.getPath()):
+                own = f"{version.getPath().getName()}/{part.getPath().getName()}"
+                if own.split("/")[1].startswith("bucket=") and own not in used:
+                    gone += fs.delete(part.getPath(), True)
+    for number in known[:-keep]:
+        fs.delete(_path(spark, f"{root}/{name}/manifests/{number}")[0], False)
+    return gone
 
 
 # rows of the collections, before the vector is attached -------------------------------------------------

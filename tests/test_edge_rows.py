@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from citeloom.operators import chunking, citations, events, messages, similarity, themes, views
+from citeloom.sources import entities
 
 
 def text_of(lines):
@@ -92,3 +93,20 @@ def test_reader_papers_by_job(spark):
     papers = spark.createDataFrame([("a", "p", "A", None, ["x"]), ("b", "p", "B", None, ["y"])], "job_id string, paper_id string, title string, filename string, authors array<string>")
     claims = spark.createDataFrame([], "job_id string, claim_id string, pos long, summary string, text string, page int, paragraph int")
     assert sorted((r.job_id, r.title) for r in views.review_reader(cites, papers, claims).collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_upsert_touches_its_buckets_only_and_collapses_repeats(spark, tmp_path):
+    root, shape = str(tmp_path), "id string, job_id string, text string, vec array<double>, paper_id string, name string, description string"
+    entities.ensure_collections(spark, root)
+    entities.upsert(spark, root, "paper_themes", spark.createDataFrame([(str(i), "j", "old", [1.0], "p", "n", "") for i in range(300)], shape))
+    before = entities._read_manifest(spark, root, "paper_themes", 1)
+    entities.upsert(spark, root, "paper_themes", spark.createDataFrame([("7", "j", t, [1.0], "p", "n", "") for t in ("a", "b")], shape))
+    after = entities._read_manifest(spark, root, "paper_themes", 2)
+    assert sum(before[k] != after[k] for k in before) == 1 and before.keys() == after.keys()
+    rows = {r.id: r.text for r in entities.read_collection(spark, root, "paper_themes").collect()}
+    assert len(rows) == 300 and rows["7"] == "b" and rows["8"] == "old"
+    assert entities.vacuum(spark, root, "paper_themes", keep=1) == 1
+    assert entities.read_collection(spark, root, "paper_themes").count() == 300
+    import pytest
+    with pytest.raises(Exception, match="exist"):
+        entities._publish(spark, root, "paper_themes", 2, {})
