@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.catalog.layout import listed
-from citeloom.catalog.registry import query
+from citeloom.catalog.registry import ORACLES, QUERIES, query
 from citeloom.catalog.stand_ins import CTES
 from citeloom.catalog.verification import reviews
 from citeloom.functions.vectors import with_vectors
@@ -131,6 +131,42 @@ def _(t):
     return entities.section_points(own, sections(t)).select("id", "job_id", "text", "title")
 
 
+def indexed(t, name, points, order=None):
+    """Points embedded, written to their collection twice (the second time nothing may change), and read back."""
+    root = fresh_dir(t.spark, "collections")
+    entities.ensure_collections(t.spark, root)
+    with_vec = with_vectors(points, "text", length=8)
+    entities.upsert(t.spark, root, name, with_vec, order=order)
+    entities.upsert(t.spark, root, name, with_vec.filter("id < '8'"), order=order)
+    found = entities.read_collection(t.spark, root, name)
+    return found.select("id", "text", F.size("vec").alias("length"))
+
+
+def of_points(name):
+    return f"select id, text, 8 as length from ({ORACLES[name]})"
+
+
+@query("index_claims", sql=of_points("claim_points"))
+def _(t):
+    return indexed(t, "paper_claims", QUERIES["claim_points"](t.spark, t.folder))
+
+
+@query("index_theme_map", sql=of_points("theme_map_points"))
+def _(t):
+    return indexed(t, "theme_map", QUERIES["theme_map_points"](t.spark, t.folder))
+
+
+@query("index_theme_reviews", sql=of_points("theme_review_points"))
+def _(t):
+    return indexed(t, "theme_reviews", QUERIES["theme_review_points"](t.spark, t.folder))
+
+
+@query("index_sections", sql=f"select id, arg_max(text, job_id) as text, 8 as length from ({ORACLES['section_points']}) group by id")
+def _(t):
+    """A theme's section has one point, whichever job wrote it last."""
+    return indexed(t, "literature_review", QUERIES["section_points"](t.spark, t.folder), order="job_id")
+
+
 @query("flag_misses", "judge", sql="""
 select job_id, round(faithfulness, 9) as score from judge where not missing and faithfulness < 0.7""")
 def _(t):
