@@ -346,8 +346,8 @@ def _(t):
     return both.select("pos", F.round(V.cosine_batch("vec", "other"), 9).alias("cosine"))
 
 
-def vector_of(t, pos: int) -> list[float]:
-    return t.vectors.filter(F.col("pos") == pos).first()["vec"]
+def vectors_of(t, *pos: int) -> dict[int, list[float]]:
+    return {r["pos"]: r["vec"] for r in t.vectors.filter(F.col("pos").isin(*pos)).select("pos", "vec").collect()}
 
 
 @query("search_claims", "vectors", sql="""
@@ -356,7 +356,7 @@ select pos, job_id, round(score, 9) as score from (
   from vectors v, (select vec from vectors where pos = 7) q)
 where score >= 0.2 order by score desc, pos limit 10""")
 def _(t):
-    return similarity.search(t.vectors, vector_of(t, 7), 10, 0.2).withColumn("score", F.round("score", 9)).select(
+    return similarity.search(t.vectors, vectors_of(t, 7)[7], 10, 0.2).withColumn("score", F.round("score", 9)).select(
         "pos", "job_id", "score")
 
 
@@ -367,7 +367,7 @@ select query_id, pos, round(score, 9) as score, rank from (
   from vectors v, (select pos, vec from vectors where pos in (3, 5, 8, 13)) q
   where list_cosine_similarity(v.vec, q.vec) >= 0.1) where rank <= 20""")
 def _(t):
-    asked = {p: vector_of(t, p) for p in (3, 5, 8, 13)}
+    asked = vectors_of(t, 3, 5, 8, 13)
     found = similarity.search_many(t.vectors, asked, 20, 0.1)
     return found.select("query_id", "pos", F.round("score", 9).alias("score"), "rank")
 
