@@ -103,3 +103,28 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS],
                         F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("pii_spans")).alias("spans"))
+
+
+ORACLES["op2_exact_top_k"] = """
+with whole as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from whole q join whole c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify rank <= 5"""
+
+ORACLES["op7_near_duplicates"] = r"""
+with recursive worded as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+shingled as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from worded),
+sets as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as copy from shingled group by doc_id),
+classes as (select copy, min(doc_id) as rep, any_value(n) as n from sets group by copy),
+reps as (select c.rep, c.n, s.s from classes c join shingled s on s.doc_id = c.rep),
+common as (select a.rep as a, b.rep as b, count(*) as k, any_value(a.n) as m, any_value(b.n) as n from reps a join reps b on a.s = b.s and a.rep < b.rep group by 1, 2),
+links as (select a, b from common where k >= 0.8 * (m + n - k)),
+paired as (select a, b from links union all select b, a from links),
+reach(rep, other) as (select rep, rep from classes union select r.rep, l.b from reach r join paired l on l.a = r.other),
+named as (select rep, min(other) as class_id from reach group by rep),
+degree as (select a as rep, count(*) as n_links from paired group by a)
+select d.doc_id, coalesce(x.class_id, d.doc_id) as class_id, coalesce(c.rep, d.doc_id) as copy_id, coalesce(g.n_links, 0)::bigint as n_links
+from documents d left join sets s using (doc_id) left join classes c using (copy) left join named x on x.rep = c.rep left join degree g on g.rep = c.rep"""
