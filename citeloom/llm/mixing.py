@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
         count, fixed, free = placed.agg(
             F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("source_size") * most)), F.lit(0)),
             F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0))).first()
-        if count == full or free == 0:
+        if count <= full or free == 0:
             break
         level, full = (total - fixed) / free, count
     target = F.least(F.lit(level) * F.col("weight"), (F.col("source_size") * most).cast("double"))
