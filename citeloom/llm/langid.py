@@ -154,7 +154,8 @@ def predict(docs: DataFrame, learned: DataFrame, text: str = "text", size: int =
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                           names=["lang", "score"])
 
-    guess = F.arrow_udf(run, "struct<lang:string,score:double>")(F.col(text))
+    # Not to be repeated by each filter or expression that uses the guess.
+    guess = F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()(F.col(text))
     kept = [c for c in docs.columns if c not in (lang_pred, score, "__guess")]
     return docs.withColumn("__guess", guess).select(*[F.col(f"`{c}`") for c in kept],
                                                      F.col("__guess.lang").alias(lang_pred), F.col("__guess.score").alias(score))
