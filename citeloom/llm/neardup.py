@@ -263,7 +263,8 @@ def classes_of(rows: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     met = blocks.join(other, "component").filter(F.when(F.col("o") >= F.col("b"), F.col("o_low") * similarity <= F.col("high"))
                                                  .otherwise(F.col("low") * similarity <= F.col("o_high")))
     pairs = met.select("component", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    texts = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    # Always a merge join: members are a share of the documents, so at size their table is no side to broadcast.
+    texts = placed.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     units = texts.join(pairs, ["component", "b"]).select("component", "i", "j", "copy", "b", "text")
     dealt = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     found = stage(dealt.mapInArrow(_verified(similarity), "copy binary, links long, root binary"), "links")
