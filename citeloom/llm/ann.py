@@ -4,7 +4,7 @@ Vectors are scaled by the largest norm and get one more component that makes the
 inner product is the nearest direction. Each of ``TABLES`` tables turns them by a fast pseudo-rotation (random
 signs, then a Hadamard transform, three times) and files them under the nearest signed axis. A query looks up the
 ``PROBES`` signed axes that are nearest over all tables. Whatever lies there is scored exactly on the original
-vectors, in double precision.
+vectors, in double precision and in component order, so that a pair met in several buckets has one score.
 
 Every row is indexed; nothing is fitted but the largest norm. A bucket above ``CHUNK`` rows is cut into chunks, each
 of which the bucket's queries meet, so a bucket of any size is searched whole and by many tasks. A task keeps the k
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
 from citeloom.llm.common import stage
-from citeloom.llm.vectors import Best, matrix, ranked, units, usable
+from citeloom.llm.vectors import Best, matrix, products, ranked, units, usable
 
 TABLES = 4
 PROBES = 208
@@ -93,6 +93,19 @@ def _hashed(norm: float, tables: int, most: int | None) -> Callable:
     return run
 
 
+def may_be_best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Pairs that may be among a query's ``k`` best: a matrix product's score is within its rounding error of the kth.
+
+    The last bits of a matrix product depend on the shapes of its matrices, so it only selects and never is the score.
+    """
+    if len(rows) <= k:
+        return np.ones(own.shape, bool)
+    about = np.where(own, -np.inf, queries @ rows.T)
+    error = 4 * queries.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+    kth = np.partition(about, len(rows) - k, axis=1)[:, len(rows) - k]
+    return ~(about < (kth - error)[:, None])
+
+
 def _search(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
@@ -101,11 +114,15 @@ def _search(k: int) -> Callable:
             if asks.all() or not asks.any():
                 continue
             ids, hashes, all_rows = rows["id"].to_numpy(), rows["h"].to_numpy(), matrix(rows["vec"].combine_chunks())
-            c_ids, c_hashes, c_rows = ids[~asks], hashes[~asks], all_rows[~asks].T.copy()
+            c_ids, c_hashes, c_rows = ids[~asks], hashes[~asks], all_rows[~asks]
             asking = np.flatnonzero(asks)
             for some in np.array_split(asking, -(-len(asking) // 256)):
                 own = (ids[some][:, None] == c_ids) & (hashes[some][:, None] == c_hashes)
-                best.add(ids[some], hashes[some], c_ids, c_hashes, all_rows[some] @ c_rows, own)
+                keep = ~own & may_be_best(all_rows[some], c_rows, own, k)
+                row, column = np.nonzero(keep)
+                scores = np.full(keep.shape, -np.inf)
+                scores[row, column] = products(all_rows[some], c_rows, row, column)
+                best.add(ids[some], hashes[some], c_ids, c_hashes, scores, ~keep)
         yield from best.batches()
 
     return run

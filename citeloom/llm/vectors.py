@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HELD = 1 << 21
+PAIRS = 1 << 15
 
 
 def usable(table: DataFrame, vec_id: str, vec: str, nonzero: bool) -> DataFrame:
@@ -30,6 +31,13 @@ def matrix(lists: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def products(left: np.ndarray, right: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Inner products of the given pairs of rows, summed in component order: the same bits whatever else is scored."""
+    blocks = range(0, len(row), PAIRS)
+    found = [np.cumsum(left[row[a:a + PAIRS]] * right[column[a:a + PAIRS]], axis=1)[:, -1] for a in blocks]
+    return np.concatenate([np.empty(0), *found])
+
+
 def units(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) of one unit after another; rows come sorted by unit, whose columns are the first ``width``."""
     key, parts = None, []
@@ -75,10 +83,12 @@ class Best:
 
     def all(self) -> tuple[np.ndarray, ...]:
         q, qh, i, h, s = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.lexsort((h, i, -s, qh, q))
+        order = np.lexsort((-s, h, i, qh, q))
         q, qh, i, h, s = (c[order] for c in (q, qh, i, h, s))
         again = np.r_[False, (q[1:] == q[:-1]) & (qh[1:] == qh[:-1]) & (i[1:] == i[:-1]) & (h[1:] == h[:-1])]
         q, qh, i, h, s = (c[~again] for c in (q, qh, i, h, s))
+        order = np.lexsort((h, i, -s, qh, q))
+        q, qh, i, h, s = (c[order] for c in (q, qh, i, h, s))
         first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (qh[1:] != qh[:-1])])
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         return tuple(c[rank < self.k] for c in (q, qh, i, h, s))
@@ -91,7 +101,8 @@ class Best:
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the best of what the tasks found, each pair once."""
     best = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id", "h")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+    pairs = found.groupBy("query_id", "qh", "vec_id", "h").agg(F.max("score").alias("score"))
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 

@@ -140,6 +140,31 @@ def test_nearest_neighbours(spark):
     assert ann.search(table.limit(0), vectors.every(5), 3).count() == 0
 
 
+def test_a_pair_met_by_several_tasks_is_one_result(spark):
+    """Buckets spread over many tasks: no vector twice in a query's results, and the scores are sums in component order."""
+    some = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    by_id = {r.vec_id: np.array(r.embedding, float) for r in some.collect()}
+    before = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = ann.search(some, vectors.every(20), 20).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    pairs = [(r.query_id, r.vec_id) for r in found]
+    assert len(pairs) == len(set(pairs)) == 20 * len({q for q, _ in pairs})
+    assert all(r.score == np.cumsum(by_id[r.query_id] * by_id[r.vec_id])[-1] for r in found)
+
+
+def test_best_takes_one_of_several_scores_of_a_pair():
+    best = vectors.Best(3)
+    for score in (1.0, 1.0 + 2**-51):
+        best.add(np.array([7]), np.array([0]), np.array([1, 2, 3]), np.array([0, 0, 0]), np.array([[score, 1.0 + 2**-52, 0.5]]),
+                 np.zeros((1, 3), bool))
+    assert best.all()[2].tolist() == [1, 2, 3]
+
+
 def test_hot_bucket_is_searched_whole(spark, monkeypatch):
     """Two thirds of the rows are one vector; a bucket in many chunks gives the same as in one."""
     monkeypatch.setattr(ann, "CHUNK", 16)
