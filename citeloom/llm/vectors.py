@@ -16,13 +16,15 @@ PAIRS = 1 << 15
 def usable(table: DataFrame, vec_id: str, vec: str, nonzero: bool) -> DataFrame:
     """(id, h, vec) of the rows that take part: no null or non-finite component, not empty, not zero if ``nonzero``.
 
-    ``h`` is a hash of the vector: id and ``h`` tell rows apart, rows that repeat whole count once.
+    ``h`` is a hash of the vector: id and ``h`` tell rows apart. Rows that repeat whole are taken out here, before any
+    search cuts to its k best.
     """
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     keep = F.col(vec_id).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & finite
     if nonzero:
         keep = keep & F.exists(vec, lambda x: x != 0)
-    return table.filter(keep).select(F.col(vec_id).cast("long").alias("id"), F.xxhash64(vec).alias("h"), F.col(vec).alias("vec"))
+    rows = table.filter(keep).select(F.col(vec_id).cast("long").alias("id"), F.xxhash64(vec).alias("h"), F.col(vec).alias("vec"))
+    return rows.dropDuplicates(["id", "h"])
 
 
 def matrix(lists: pa.ListArray) -> np.ndarray:

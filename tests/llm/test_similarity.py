@@ -165,6 +165,15 @@ def test_best_takes_one_of_several_scores_of_a_pair():
     assert best.all()[2].tolist() == [1, 2, 3]
 
 
+@pytest.mark.parametrize("search", [ann.search, topk.search])
+def test_repeated_rows_take_one_place(spark, search):
+    """The best candidates are in the table several times; all k places still go to different rows."""
+    rows = [(0, [1.0, 0.0])] + [(i, [10.0 - i, 0.5]) for i in range(1, 8)] + [(1, [9.0, 0.5])] * 4 + [(3, [7.0, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = search(table, F.col("id") == 0, 4).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in found] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_hot_bucket_is_searched_whole(spark, monkeypatch):
     """Two thirds of the rows are one vector; a bucket in many chunks gives the same as in one."""
     monkeypatch.setattr(ann, "CHUNK", 16)
