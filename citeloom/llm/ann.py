@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by inner product: cross-polytope hashing with multiprobe and exact reranking.
 
-Vectors are scaled by the largest norm and get one more component that makes them unit vectors, so that the largest
-inner product is the nearest direction. Each of ``TABLES`` tables turns them by a fast pseudo-rotation (random
-signs, then a Hadamard transform, three times) and files them under the nearest signed axis. A query looks up the
-``PROBES`` signed axes that are nearest over all tables. Whatever lies there is scored exactly on the original
+Candidates are filed by bands of norm whose bounds are ``RATIO`` apart. In a band they are scaled by its upper bound
+and get one more component that makes them unit vectors; a query is scaled to a unit vector and gets a zero there, so
+that in each band the largest inner product is the nearest direction, whatever the norms in other bands. Each of
+``TABLES`` tables turns them by a fast pseudo-rotation (random signs, then a Hadamard transform, three times) and files
+them under the nearest signed axis. A query looks up in every band the signed axes that are nearest over all
+tables, until the buckets looked up hold ``SHARE`` of the band's rows and ``FACTOR`` x k rows (a row counts in each
+table, so this is the mean over the tables), or all axes are used: a band of up to ``FACTOR`` x k rows is searched
+whole. Whatever lies there is scored exactly on the original
 vectors, in double precision and in component order, so that a pair met in several buckets has one score.
 
-Every row is indexed; nothing is fitted but the largest norm. A bucket above ``CHUNK`` rows is cut into chunks, each
+Every row is indexed; nothing is fitted. A bucket above ``CHUNK`` rows is cut into chunks, each
 of which the bucket's queries meet, so a bucket of any size is searched whole and by many tasks. A task keeps the k
 best of each query, so results do not grow with the buckets.
 
@@ -29,8 +33,11 @@ from citeloom.llm.common import stage
 from citeloom.llm.vectors import Best, matrix, products, ranked, units, usable
 
 TABLES = 4
-PROBES = 208
+RATIO = 1.1
+SHARE = 0.25
+FACTOR = 10
 CHUNK = 16_384
+QUERY_CHUNK = 1_024
 ROUNDS = 3
 SEED = 11
 
@@ -46,13 +53,28 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(wide)
 
 
-def rotations(rows: np.ndarray, norm: float, tables: int) -> np.ndarray:
+def in_bands(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row scaled by the upper bound of its band, and the band: the logarithm of the norm to the base ``RATIO``, rounded."""
+    peak = np.abs(rows).max(1)
+    part = rows / peak[:, None]
+    band = np.rint((np.log(peak) + np.log((part**2).sum(1)) / 2) / np.log(RATIO))
+    return part * np.exp(np.log(peak) - (band + 0.5) * np.log(RATIO))[:, None], band.astype(np.int64)
+
+
+def directions(rows: np.ndarray) -> np.ndarray:
+    """Each row scaled to a unit vector."""
+    part = rows / np.abs(rows).max(1)[:, None]
+    return part / np.linalg.norm(part, axis=1)[:, None]
+
+
+def rotations(scaled: np.ndarray, query: bool, tables: int) -> np.ndarray:
     """Unit vectors turned by each table's rotation: (rows, tables, width)."""
-    n, length = rows.shape
+    n, length = scaled.shape
     wide = 1 << length.bit_length()
     unit = np.zeros((n, wide))
-    unit[:, :length] = rows / norm
-    unit[:, length] = np.sqrt(np.maximum(0.0, 1.0 - (unit[:, :length] ** 2).sum(1)))
+    unit[:, :length] = scaled
+    if not query:
+        unit[:, length] = np.sqrt(np.maximum(0.0, 1.0 - (scaled**2).sum(1)))
     random = np.random.default_rng(SEED)
     turned = np.empty((n, tables, wide))
     for t in range(tables):
@@ -71,24 +93,44 @@ def buckets(turned: np.ndarray) -> np.ndarray:
     return np.arange(tables) * 2 * wide + axis + wide * negative
 
 
-def probes(turned: np.ndarray, most: int) -> np.ndarray:
-    """The signed axes nearest to each row over all tables, numbered as in ``buckets``."""
+def probes(turned: np.ndarray, counts: np.ndarray, tables: int, share: float, least: int) -> list[np.ndarray]:
+    """The signed axes nearest to each row over all tables, numbered as in ``buckets``, down to where their buckets hold
+    ``share`` of the rows and ``least`` rows of each table on average, or all rows; buckets without rows are left out."""
     both = np.concatenate((turned, -turned), 2).reshape(len(turned), -1)
-    most = min(most, both.shape[1])
-    return np.argpartition(-both, most - 1, axis=1)[:, :most]
+    order = np.argsort(-both, axis=1, kind="stable")
+    enough = min(max(share * counts.sum(), tables * least), counts.sum())
+    used = (counts[order].cumsum(1) < enough).sum(1) + 1
+    return [own[:n][counts[own[:n]] > 0] for own, n in zip(order, used, strict=True)]
 
 
-def _hashed(norm: float, tables: int, most: int | None) -> Callable:
+def _filed(tables: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(3).to_numpy()
-            found: list = [None] * len(sizes)
+            bands, found = np.zeros(len(sizes), np.int64), np.zeros((len(sizes), tables), np.int64)
             for size in np.unique(sizes):
                 for own in np.array_split(at := np.flatnonzero(sizes == size), -(-len(at) // 1024)):
-                    turned = rotations(matrix(batch.column(2).take(pa.array(own))), norm, tables)
-                    for i, b in zip(own, buckets(turned) if most is None else probes(turned, most), strict=True):
-                        found[i] = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["id", "h", "vec", "size", "buckets"])
+                    scaled, bands[own] = in_bands(matrix(batch.column(2).take(pa.array(own))))
+                    found[own] = buckets(rotations(scaled, False, tables))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands), pa.array(list(found), pa.list_(pa.int64()))],
+                                             names=["id", "h", "vec", "size", "band", "buckets"])
+
+    return run
+
+
+def _probed(tables: int, share: float, least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (size, band, _), rows in units(batches, 3):
+            asks = rows["ask"].to_numpy()
+            asking, cut = rows.filter(pa.array(asks)).combine_chunks(), rows.filter(pa.array(~asks))
+            counts = np.zeros(tables * 2 * (1 << size.bit_length()), np.int64)
+            counts[cut["bucket"].to_numpy()] = cut["n"].to_numpy()
+            for a in range(0, len(asking), 256):
+                own = asking.slice(a, 256).combine_chunks()
+                found = probes(rotations(directions(matrix(own["vec"].combine_chunks())), True, tables), counts, tables, share, least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), size)), pa.array(np.full(len(own), band)), *(own[c].combine_chunks() for c in ("id", "h", "vec")),
+                     pa.array(found, pa.list_(pa.int64()))], names=["size", "band", "id", "h", "vec", "buckets"])
 
     return run
 
@@ -109,7 +151,7 @@ def may_be_best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int)
 def _search(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k)
-        for _, rows in units(batches, 3):
+        for _, rows in units(batches, 4):
             asks = rows["ask"].to_numpy()
             if asks.all() or not asks.any():
                 continue
@@ -129,24 +171,33 @@ def _search(k: int) -> Callable:
 
 
 def search(table: DataFrame, queries: Column, k: int, vec_id: str = "vec_id", vec: str = "embedding",
-           tables: int = TABLES, most: int = PROBES) -> DataFrame:
+           tables: int = TABLES, share: float = SHARE, factor: int = FACTOR) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which ``queries`` (over ``id``) holds."""
-    rows = stage(usable(table, vec_id, vec, nonzero=True).withColumn("size", F.size("vec")), "vectors")
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    norm = (rows.agg(F.max(length)).first()[0] or 1.0) * (1 + 1e-9)
-    kept = f"id long, h long, vec {dict(rows.dtypes)['vec']}, size int, buckets array<long>"
-    filed = rows.mapInArrow(_hashed(norm, tables, None), kept).withColumn("bucket", F.explode("buckets")).drop("buckets")
-    asked = rows.filter(queries).mapInArrow(_hashed(norm, tables, most), kept).withColumn("bucket", F.explode("buckets")).drop("buckets")
-    filed = stage(filed, "buckets")
-    # One row for each bucket: tables x twice the padded length, whatever the number of vectors.
-    cut = filed.groupBy("size", "bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    rows = stage(usable(table, vec_id, vec, nonzero=True).withColumn("size", F.size("vec").cast("long")), "vectors")
+    kind = dict(rows.dtypes)["vec"]
+    filed = rows.mapInArrow(_filed(tables), f"id long, h long, vec {kind}, size long, band long, buckets array<long>")
+    filed = stage(filed.withColumn("bucket", F.explode("buckets")).drop("buckets"), "buckets")
+    # One row for each bucket: tables x twice the padded length in each band, whatever the number of vectors.
+    cut = stage(filed.groupBy("size", "band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "cut")
+    parts = max(1, -(-rows.filter(queries).count() // QUERY_CHUNK))
+
+    # Queries meet the bucket counts of each band of their length in units of bounded size.
+    asked = join_null_safe(rows.filter(queries), cut.select("size", "band").distinct(), ["size"]).select(
+        "size", "band", F.pmod(F.xxhash64("id", "h"), F.lit(parts)).cast("long").alias("part"), F.lit(True).alias("ask"), "id", "h", "vec",
+        F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("n"))
+    counted = cut.select(
+        "size", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(False).alias("ask"),
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("h"), F.lit(None).cast(kind).alias("vec"), "bucket", "n")
+    asked = asked.unionByName(counted).repartition("size", "band", "part").sortWithinPartitions("size", "band", "part")
+    asked = asked.mapInArrow(_probed(tables, share, factor * k), f"size long, band long, id long, h long, vec {kind}, buckets array<long>")
+    asked = asked.withColumn("bucket", F.explode("buckets")).drop("buckets")
 
     def unit(own: DataFrame, chunk: Column, ask: bool) -> DataFrame:
-        met = join_null_safe(own, cut, ["size", "bucket"]).withColumn("chunk", chunk)
-        return met.select(F.col("size").cast("long").alias("size"), "bucket", F.col("chunk").cast("long").alias("chunk"), F.lit(ask).alias("ask"), "id", "h", "vec")
+        met = join_null_safe(own, cut.drop("n"), ["size", "band", "bucket"]).withColumn("chunk", chunk)
+        return met.select("size", "band", "bucket", F.col("chunk").cast("long").alias("chunk"), F.lit(ask).alias("ask"), "id", "h", "vec")
 
     both = unit(filed, F.pmod(F.xxhash64("id", "h"), "chunks"), False).unionByName(
         unit(asked, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)), True))
-    met = both.repartition("size", "bucket", "chunk").sortWithinPartitions("size", "bucket", "chunk")
+    met = both.repartition("size", "band", "bucket", "chunk").sortWithinPartitions("size", "band", "bucket", "chunk")
     found = met.mapInArrow(_search(k), "query_id long, qh long, vec_id long, h long, score double")
     return ranked(found, k)

@@ -174,6 +174,21 @@ def test_repeated_rows_take_one_place(spark, search):
     assert [(r.rank, r.vec_id) for r in found] == [(1, 1), (2, 2), (3, 3), (4, 4)]
 
 
+def recall(spark, rows, each, k):
+    want = {(q, i) for q, _, i, _ in plain_top(rows, each, k, lambda a, b: float(np.dot(a, b)), False)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in ann.search(table, vectors.every(each), k).collect()}
+    return len(want & found) / len(want), len(found) / len(want)
+
+
+def test_neighbours_of_mixed_norms(spark):
+    """Some vectors are ten times as long as the others: for most queries they are the neighbours."""
+    some = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    long = np.random.default_rng(5).random(len(some)) < 0.02
+    rows = [(r.vec_id, [float(x) * (10.0 if far else 1.0) for x in r.embedding]) for r, far in zip(some, long, strict=True)]
+    assert recall(spark, rows, 40, 20)[0] >= 0.9
+
+
 def test_hot_bucket_is_searched_whole(spark, monkeypatch):
     """Two thirds of the rows are one vector; a bucket in many chunks gives the same as in one."""
     monkeypatch.setattr(ann, "CHUNK", 16)
