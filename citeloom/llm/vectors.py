@@ -69,6 +69,8 @@ class Best:
             out: np.ndarray) -> None:
         """Results of a block: a row of ``scores`` for each query; those marked in ``out`` don't count."""
         keep = ~out
+        if not keep.any():
+            return
         if len(ids) > self.k:
             lowest = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
             scores = np.where(out, lowest, scores)

@@ -189,6 +189,28 @@ def test_neighbours_of_mixed_norms(spark):
     assert recall(spark, rows, 40, 20)[0] >= 0.9
 
 
+def test_few_rows_of_many_components_are_all_found(spark):
+    """Where there are fewer candidates than places, each is a result; 64 components have 1,024 signed axes."""
+    some = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(40).collect()
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in some]
+    for n in (1, 10, 40):
+        if n == 1:
+            assert ann.search(spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), vectors.every(1), 20).count() == 0
+        else:
+            assert recall(spark, rows[:n], 1, 20) == (1.0, 1.0)
+
+
+def test_probes_go_down_to_a_share_of_the_rows():
+    draw = np.random.default_rng(3)
+    filed = ann.buckets(ann.rotations(ann.in_bands(draw.normal(size=(3000, 8)))[0], False, 4))
+    turned = ann.rotations(ann.directions(draw.normal(size=(5, 8))), True, 4)
+    counts = np.bincount(filed.ravel(), minlength=4 * 2 * 16)
+    for share, least, held in ((0.25, 200, 3000), (0.25, 2000, 8000), (0.25, 3000, 12_000), (0.25, 9000, 12_000)):
+        for own in ann.probes(turned, counts, 4, share, least):
+            assert counts[own].sum() >= held and (counts[own] > 0).all()
+            assert held == 12_000 or counts[own[:-1]].sum() < held
+
+
 def test_hot_bucket_is_searched_whole(spark, monkeypatch):
     """Two thirds of the rows are one vector; a bucket in many chunks gives the same as in one."""
     monkeypatch.setattr(ann, "CHUNK", 16)
