@@ -3,7 +3,8 @@
 The tree builder closes what a start tag implies is closed (a paragraph before a block, a list item before the next,
 a cell before the next cell or row ...), ignores end tags without a start, and knows elements without content. The
 renderer leaves out what a reader does not see: head, scripts, styles, templates, comments, ``hidden``,
-``display: none`` and ``visibility: hidden`` (which a descendant may lift). It emits all other text: blanks collapse
+``display: none`` and ``visibility: hidden`` (which a descendant may lift). Formulas in MathML are read in their place (without
+annotations), and each label of an svg stands on a line of its own (without titles, descriptions and definitions). It emits all other text: blanks collapse
 (not in ``pre``), blocks stand on lines of their own, paragraphs, headings, lists and tables apart from their
 neighbours, list items carry their bullet or number and are indented by depth, and the cells of a table are aligned in
 columns (up to ``COLUMN`` characters; longer cells are written in full).
@@ -27,7 +28,13 @@ SPAN = 1000  # columns or rows that a cell may span
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math video audio canvas datalist title".split())
+UNSEEN = frozenset("head script style template noscript iframe object video audio canvas datalist title".split())
+# In svg and math: elements in which HTML begins again, and what is not seen. Text of an svg is drawn in two elements only.
+HTML_INSIDE = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+UNSEEN_INSIDE = {"svg": frozenset("title desc metadata defs symbol script style".split()), "math": frozenset("annotation annotation-xml".split())}
+SVG_TEXT = frozenset("text foreignobject".split())
+BREAKOUT = frozenset("""b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small
+    span strong strike sub sup table tt u ul var""".split())  # HTML elements that end svg and math around them
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 LINES = frozenset("""html body div section article aside nav header footer main address form li dt dd tr caption figcaption legend
     details summary dialog center option optgroup search hgroup""".split())
@@ -51,10 +58,19 @@ _BLANKS = re.compile(r"[\x20\t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    """``around`` and ``inside`` are svg, math or empty (HTML): what the element belongs to, and its children. ``drawn``: its own text is seen."""
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
+    __slots__ = ("around", "attributes", "children", "drawn", "inside", "tag")
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None) -> None:
         self.tag, self.attributes, self.children = tag, attributes, []
+        self.around = parent.inside if parent else ""
+        if tag in HTML_INSIDE:
+            self.inside, self.drawn = tag, tag == "math"
+        elif self.around and tag not in HTML_INSIDE[self.around]:
+            self.inside, self.drawn = self.around, parent.drawn or tag in SVG_TEXT
+        else:
+            self.inside, self.drawn = "", True
 
 
 class Builder(HTMLParser):
@@ -92,11 +108,14 @@ class Builder(HTMLParser):
                 return
         elif tag not in HEAD and self.count.get("head") and tag != "head":
             self._end({"head"}, set())
+        if tag in BREAKOUT:
+            while self.open[-1].inside:
+                self._pop()
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "caption", "button"})
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
-        node = Node(tag, attributes)
+        node = Node(tag, attributes, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -104,6 +123,8 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and (tag in HTML_INSIDE or self.open[-1].around):  # elsewhere HTML ignores the slash
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -224,11 +245,13 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol", "menu") and lists:
                 lists.pop()
                 flow.breaks(1 if lists else 2)
-            elif tag in APART or tag in LINES:
+            elif tag in APART or tag in LINES or (node.around == "svg" and tag in SVG_TEXT):
                 flow.breaks(2 if tag in APART else 1)
             continue
         style = node.attributes.get("style", "")
-        if tag in UNSEEN or "hidden" in node.attributes or _NONE.search(style):
+        if node.around == "svg":
+            style = ";".join([style, *(f"{name}:{node.attributes[name]}" for name in ("display", "visibility") if name in node.attributes)])
+        if tag in UNSEEN or (node.around and tag in UNSEEN_INSIDE[node.around]) or "hidden" in node.attributes or _NONE.search(style):
             continue
         if found := _VISIBILITY.search(style):
             seen = found[1].lower() == "visible"
@@ -257,10 +280,11 @@ def render(root: Node) -> str:
                 own[1] += 1
             else:
                 flow.prefix("- ")
-        elif tag in APART or tag in LINES:
+        elif tag in APART or tag in LINES or (node.around == "svg" and tag in SVG_TEXT):
             flow.breaks(2 if tag in APART else 1)
         work.append(("leave", node, seen, pre))
-        work += [("text", c, seen, pre) if isinstance(c, str) else ("enter", c, seen, pre) for c in reversed(node.children)]
+        work += [("text", c, seen, pre) if isinstance(c, str) else ("enter", c, seen, pre) for c in reversed(node.children)
+                 if node.drawn or not isinstance(c, str)]
     return flow.text().strip("\n")
 
 

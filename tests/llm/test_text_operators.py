@@ -202,3 +202,17 @@ def test_pages_deep_and_on_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert [r.text for r in html_text.extract(pages).orderBy("page_id").collect()] == ["a", ""]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<body><svg class="i"/><p>text</p></body>', "text"), ("<p>a <math/> b</p>", "a b"), ("<div/>inner", "inner"),
+    ('<p>see</p><svg><g><path d="M0"/><circle r="1"/></g>no<text>one <tspan>two</tspan></text><text x="1">three</text></svg><p>end</p>', "see\n\none two\nthree\n\nend"),
+    ("<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>f</text></defs><symbol><text>s</text></symbol><text display='none'>n</text></svg>after", "after"),
+    ("<svg><foreignObject><p>html <b>in</b> it</p><div/>still</foreignObject></svg>x", "html in it\n\nstill\nx"),
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow><annotation>tex</annotation></semantics></math> holds</p>", "so x=2 holds"),
+    ("<svg><path><p>broke out</p>", "broke out"),
+])
+def test_svg_and_math(html, text):
+    assert html_text.page_text(html) == text
+    deep = html_text.page_text("<svg>" + "<g>" * 50_000 + "<path/>" * 50_000 + "<text>x")
+    assert deep == "x"
