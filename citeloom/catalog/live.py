@@ -40,6 +40,41 @@ def _(t):
     return admission.admit_files(manifest(t)).select("job_id", "path", "length", "status", "reason")
 
 
+CTES["uploads"] = ((), """
+select (doc_id // 40 - case when doc_id // 40 % 8 = 7 then 1 else 0 end)::varchar as job_id,
+  case doc_id % 7 when 1 then '_' when 2 then '.' else '' end || doc_id || '.pdf' as name,
+  case when doc_id % 5 = 0 then '' when doc_id % 3 = 0 then 'other' else '%PDF-' || doc_id end as body
+from (select distinct doc_id from documents where doc_id is not null)""")
+
+
+def write_uploads(t):
+    """A folder of one small file for each document: some empty, some with hidden names, some jobs above the limit."""
+    root = fresh_dir(t.spark, "uploads")
+    doc = F.col("doc_id")
+    job = F.floor(doc / 40)
+    files = t.raw("documents").filter(doc.isNotNull()).select("doc_id").distinct().select(
+        (job - F.when(job % 8 == 7, 1).otherwise(0)).cast("string").alias("job_id"),
+        F.concat(F.when(doc % 7 == 1, "_").when(doc % 7 == 2, ".").otherwise(""), doc.cast("string"), F.lit(".pdf")).alias("name"),
+        F.when(doc % 5 == 0, "").when(doc % 3 == 0, "other").otherwise(F.concat(F.lit("%PDF-"), doc.cast("string"))).alias("body"))
+    folder = t.spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for r in files.toLocalIterator():
+        stream = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.job_id}/{r.name}"))
+        stream.write(bytearray(r.body.encode()))
+        stream.close()
+    return root
+
+
+@query("scan_uploads", "uploads", sql="""
+with j as (select job_id, case when count(*) > 50 then 'Too many files: ' || count(*) || ' exceeds limit of 50'
+  when not bool_or(starts_with(body, '%PDF-')) then 'No papers could be ingested' end as problem from uploads group by job_id)
+select u.job_id, u.name, length(body)::bigint as length, case when problem is not null then 'refused' when starts_with(body, '%PDF-') then 'accepted' else 'skipped' end as status,
+  coalesce(problem, case when not starts_with(body, '%PDF-') then 'invalid PDF magic bytes' end) as reason from uploads u join j using (job_id)""")
+def _(t):
+    files = admission.admit_files(admission.read_manifest(t.spark, write_uploads(t)))
+    return files.select("job_id", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "status", "reason")
+
+
 @query("dedup_filenames", sql="""
 select job_id, "at", lang || k || case when rn > 1 then '_' || (rn - 1) else '' end || '.pdf' as stored_name from (
   select (doc_id // 40)::varchar as job_id, doc_id as "at", lang, doc_id % 5 as k, row_number() over (partition by doc_id // 40, lang, doc_id % 5 order by doc_id) as rn from documents)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +14,38 @@ MAGIC = "%PDF-"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, path, length, magic) of the files below ``path/<job_id>/``.
+    """(job_id, path, length, magic) of all files below ``path/<job_id>/``, empty and hidden ones included.
 
-    Sizes are listed without reading; only files within the limit are opened, for their first bytes.
-    Files of no bytes are not listed.
+    Paths and lengths come from the file system, since Spark's readers leave out names that begin with '_' or '.', and
+    files of no bytes. Tasks open the other files within the limit for their first bytes, the driver the hidden ones.
     """
+    rows = [(str(job), str(name), int(length), magic) for job, name, length, magic in _listed(spark, path)]
+    listed = spark.createDataFrame(rows, "job_id string, path string, length long, hidden_magic string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    job = F.element_at(F.split("path", "/"), -2)
-    listed = files.select(job.alias("job_id"), "path", "length", "modificationTime")
     heads = files.filter(F.col("length") <= MAX_BYTES).select(
         "path", F.decode(F.substring("content", 1, len(MAGIC)), "ISO-8859-1").alias("magic"))
-    return listed.join(heads, "path", "left")
+    return listed.join(heads, "path", "left").select("job_id", "path", "length", F.coalesce("magic", "hidden_magic").alias("magic"))
+
+
+def _listed(spark: SparkSession, path: str) -> Iterator[tuple[str, str, int, str | None]]:
+    """Job, path and length of each file, and the first bytes of hidden ones."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for folder in fs.globStatus(root) or []:
+        base, files = folder.getPath(), fs.listFiles(folder.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            at, length = file.getPath(), file.getLen()
+            full, magic = at.toString(), None
+            inner = full[len(base.toString()):].split("/")
+            if any(part[:1] in ("_", ".") for part in inner) and 0 < length <= MAX_BYTES:
+                stream = fs.open(at)
+                try:
+                    magic = bytes(x for _ in range(min(length, len(MAGIC))) if (x := stream.read()) >= 0).decode("ISO-8859-1")
+                finally:
+                    stream.close()
+            yield full.split("/")[-2], full, length, magic
 
 
 def admit_files(manifest: DataFrame) -> DataFrame:

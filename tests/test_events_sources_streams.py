@@ -2,14 +2,17 @@ import json
 import os
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from citeloom.operators import events as ops
 from citeloom.operators import messages
 from citeloom.runtime import fresh_dir
 from citeloom.sources import admission, entities, event_log
 from citeloom.streaming import streams
+from tests.conftest import SF
 
 EVENTS = "event_id string, event_type string, ts timestamp, job_id string, seq long, stage string, item_id string, total long, payload string"
 
@@ -104,6 +107,27 @@ def test_manifest_and_admission(spark, rows, tmp_path):
     assert rows(admission.admit_files(many).select("reason").distinct()) == [("Too many files: 51 exceeds limit of 50",)]
 
 
+def test_scan_lists_empty_and_hidden_files(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    for name, body in (("a b.pdf", b"%PDF-1"), ("empty.pdf", b""), ("_u.pdf", b"%PDF-1"), (".h.pdf", b"no"), *((f"{i}.pdf", b"%PDF-") for i in range(46))):
+        (tmp_path / "j" / name).write_bytes(body)
+    found = admission.admit_files(admission.read_manifest(spark, str(tmp_path))).collect()
+    got = {os.path.basename(r.path): (r.status, r.length) for r in found}
+    assert len(found) == 50 and got["a b.pdf"] == ("accepted", 6) and got["empty.pdf"] == ("skipped", 0)
+    assert got["_u.pdf"] == ("accepted", 6) and got[".h.pdf"] == ("skipped", 2)
+    (tmp_path / "j" / "more.pdf").write_bytes(b"")
+    assert {r.reason for r in admission.admit_files(admission.read_manifest(spark, str(tmp_path))).collect()} == {"Too many files: 51 exceeds limit of 50"}
+
+
+@pytest.mark.parametrize("name", ["scan_uploads"])
+def test_scan_equals_sql(spark, name):
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = connection.execute(entry.oracle_sql()[name]).fetchall()
+    got = entry.queries()[name](spark, SF).select("job_id", "name", "length", "status", "reason").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) > 100
+
+
 def test_stored_names_skip_taken_ones(spark, rows):
     names = ["a.pdf", "x/a.pdf", "a_1.pdf", "a.pdf", ".pdf", ".pdf", "b.tar.pdf", "b.tar.pdf"]
     df = spark.createDataFrame([("j", i, n) for i, n in enumerate(names)], "job_id string, at int, filename string")
