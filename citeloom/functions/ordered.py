@@ -2,20 +2,18 @@
 
 A plain ``over (partition by key order by pos)`` sends a whole key to one task. The helpers here
 split every key into blocks of the order column, run the window inside a block, and carry the
-block totals forward: only the (much smaller) block table is windowed per key.
+block totals forward: only the block table, one row per range split and key, is windowed per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.runtime import materialise
 
-BLOCK = 1 << 16
-
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that also matches null keys; keeps the left key columns only."""
@@ -28,42 +26,57 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def _carry(df, keys, pos, value, combine, inclusive, block):
-    """Block-wise running ``combine`` of ``value`` by integer ``pos`` within ``keys``."""
-    cells = df.withColumn("__blk", F.floor(F.col(pos) / F.lit(block)).cast("long"))
+def _blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with ``__blk``: their range split by (keys, order), written once.
+
+    The splits are sampled from the rows, so that there are as many as shuffle partitions, however sparse the order
+    column is, and a hot key spreads over many of them.
+    """
+    split = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return materialise(split.withColumn("__blk", F.spark_partition_id()))
+
+
+def _running(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, Column], combine: Callable[[Column], Column],
+             merge: Callable[[Column, Column], Column], inclusive: bool) -> DataFrame:
+    """``values`` combined over the rows of the same keys up to each row: inside its block, then with what blocks before hold."""
+    cells = _blocks(df, keys, [F.col(pos)])
     group = [*keys, "__blk"]
+    names = {out: (f"__in{i}", f"__all{i}") for i, out in enumerate(values)}
     before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cells.groupBy(*group)
-        .agg(combine(value).alias("__tot"))
-        .select(*group, combine(F.col("__tot")).over(before).alias("__carry"))
-    )
+    totals = cells.groupBy(*group).agg(*[combine(values[out]).alias(whole) for out, (_, whole) in names.items()])
+    carried = totals.select(*group, *[combine(F.col(whole)).over(before).alias(whole) for _, whole in names.values()])
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, end)
-    local = cells.withColumn("__in", combine(value).over(inside))
-    return join_null_safe(local, carried, group)
+    local = cells.withColumns({own: combine(values[out]).over(inside) for out, (own, _) in names.items()})
+    joined = join_null_safe(local, carried, group)
+    found = joined.withColumns({out: merge(F.col(own), F.col(whole)) for out, (own, whole) in names.items()})
+    return found.drop("__blk", *[n for pair in names.values() for n in pair])
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *,
-               inclusive: bool = False, block: int = BLOCK) -> DataFrame:
-    """``out`` = sum of ``value`` over the rows of the same keys that come before by ``pos``.
+def prefix_sums(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, Column], *, inclusive: bool = False) -> DataFrame:
+    """Each name of ``values`` = sum of its column over the rows of the same keys that come before by ``pos``.
 
-    ``pos`` must be an integer column, unique inside a key.
+    ``pos`` must be unique inside a key.
     """
-    joined = _carry(df, keys, pos, value, F.sum, inclusive, block)
-    total = F.coalesce(F.col("__in"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0))
-    return joined.withColumn(out, total).drop("__blk", "__in", "__carry")
+    return _running(df, keys, pos, values, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), inclusive)
+
 
+def prefix_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *, inclusive: bool = False) -> DataFrame:
+    """One column of :func:`prefix_sums`."""
+    return prefix_sums(df, keys, pos, {out: value}, inclusive=inclusive)
 
-def running_max(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *,
-                inclusive: bool = True, block: int = BLOCK) -> DataFrame:
+
+def prefix_xors(df: DataFrame, keys: Sequence[str], pos: str, values: dict[str, Column], *, inclusive: bool = False) -> DataFrame:
+    """As :func:`prefix_sums`, with exclusive-or in place of the sum."""
+    return _running(df, keys, pos, values, F.bit_xor, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0))), inclusive)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: str, *, inclusive: bool = True) -> DataFrame:
     """``out`` = greatest ``value`` seen so far by ``pos``; nulls are skipped.
 
     With a struct ``(pos, x)`` as value this is "the last non-null x so far".
     """
-    joined = _carry(df, keys, pos, value, F.max, inclusive, block)
-    best = F.when(F.col("__in").isNull() | (F.col("__carry") > F.col("__in")), F.col("__carry"))
-    return joined.withColumn(out, best.otherwise(F.col("__in"))).drop("__blk", "__in", "__carry")
+    return _running(df, keys, pos, {out: value}, F.max, lambda a, b: F.when(a.isNull() | (b > a), b).otherwise(a), inclusive)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -78,17 +91,14 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column], o
     for name, column in zip(names, order, strict=True):
         staged = staged.withColumn(name, column)
         sort_cols.append(F.col(name).asc_nulls_first())
-    ranged = materialise(
-        staged.repartitionByRange(*[F.col(k) for k in keys], *sort_cols)
-        .withColumn("__part", F.spark_partition_id())
-    )
-    group = [*keys, "__part"]
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = _blocks(staged, keys, sort_cols)
+    group = [*keys, "__blk"]
+    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).select(
         *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     local = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy(*sort_cols)))
     return (
         join_null_safe(local, offsets, group)
         .withColumn(out, (F.col("__rn") - 1 + F.col("__off")).cast("long"))
-        .drop("__part", "__rn", "__off", *names)
+        .drop("__blk", "__rn", "__off", *names)
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.ordered import join_null_safe, prefix_sum, running_max
+from citeloom.functions.ordered import join_null_safe, prefix_sum, prefix_sums, running_max
 
 # Event kinds by role, stages of a job, internal tools, page size of a replay.
 STARTS = ["job_started", "stage_started", "agent_started"]
@@ -95,13 +95,13 @@ def progress(events: DataFrame) -> DataFrame:
     tracked = events.filter(F.col("event_type").isin(kinds))
     ended = (F.col("event_type") == "stage_completed").cast("int")
     borders = (F.col("event_type") != "paper_processed").cast("int")
-    counted = prefix_sum(tracked, ["job_id"], "seq", ended, "completed_stages", inclusive=True)
-    counted = prefix_sum(counted, ["job_id"], "seq", borders, "epoch", inclusive=True)
-    opened = counted.filter(F.col("event_type") == "stage_started").select(
-        "job_id", "epoch", F.col("total").alias("stage_total"))
-    done = prefix_sum(counted, ["job_id", "epoch"], "seq", 1 - borders, "done", inclusive=True)
-    joined = done.join(opened, ["job_id", "epoch"], "left").withColumn("stage_total", F.coalesce("stage_total", F.lit(0)))
-    return joined.withColumn("progress", overall_progress(F.col("completed_stages"), F.col("done"), F.col("stage_total"))).drop("epoch")
+    counted = prefix_sums(tracked, ["job_id"], "seq", {"completed_stages": ended, "epoch": borders, "done": 1 - borders}, inclusive=True)
+    # an epoch begins with the stage event that it is counted by; items before that event belong to earlier ones
+    opened = counted.filter(F.col("event_type") != "paper_processed").select(
+        "job_id", "epoch", F.col("done").alias("__before"), F.when(F.col("event_type") == "stage_started", F.col("total")).alias("stage_total"))
+    joined = counted.join(opened, ["job_id", "epoch"], "left").withColumns({
+        "done": F.col("done") - F.coalesce("__before", F.lit(0)), "stage_total": F.coalesce("stage_total", F.lit(0))})
+    return joined.withColumn("progress", overall_progress(F.col("completed_stages"), F.col("done"), F.col("stage_total"))).drop("epoch", "__before")
 
 
 def overall_progress(completed: Column, done: Column, total: Column) -> Column:

@@ -156,8 +156,8 @@ def test_reconcile_keeps_singletons_and_first_appearance(spark, rows):
 def test_order_helpers_across_block_borders(spark):
     data = [("hot" if i % 3 else None, i * 7, i) for i in range(200)]
     df = spark.createDataFrame(data, "k string, pos long, v long")
-    sums = {(r.k, r.pos): r.s for r in prefix_sum(df, ["k"], "pos", F.col("v"), "s", block=50).collect()}
-    latest = {(r.k, r.pos): r.m for r in running_max(df, ["k"], "pos", F.when(F.col("v") % 10 == 0, F.col("v")), "m", block=50).collect()}
+    sums = {(r.k, r.pos): r.s for r in prefix_sum(df, ["k"], "pos", F.col("v"), "s").collect()}
+    latest = {(r.k, r.pos): r.m for r in running_max(df, ["k"], "pos", F.when(F.col("v") % 10 == 0, F.col("v")), "m").collect()}
     places = {(r.k, r.pos): r.p for r in with_position(df, ["k"], [-F.col("v")], "p").collect()}
     for key in ("hot", None):
         own = [d for d in data if d[0] == key]
