@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
-from citeloom.llm import ann, bpe, html_text, langid, mixing, neardup, pii, sharding, topk, vectors, wordpiece
+from citeloom.llm import ann, bpe, html_text, langid, mixing, neardup, pii, prefix_trie, sharding, topk, vectors, wordpiece
 from citeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,14 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("pii_spans")).alias("spans"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations: heads of up to 8 turns come from the conversation of the next lower multiple of 5."""
+    rows = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.trie(*prefix_trie.grafted(rows, F.col("conv_id") - F.col("conv_id") % 5, heads, 8))
+
+
 ORACLES["op2_exact_top_k"] = """
 with whole as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
@@ -128,3 +136,30 @@ named as (select rep, min(other) as class_id from reach group by rep),
 degree as (select a as rep, count(*) as n_links from paired group by a)
 select d.doc_id, coalesce(x.class_id, d.doc_id) as class_id, coalesce(c.rep, d.doc_id) as copy_id, coalesce(g.n_links, 0)::bigint as n_links
 from documents d left join sets s using (doc_id) left join classes c using (copy) left join named x on x.rep = c.rep left join degree g on g.rep = c.rep"""
+
+ORACLES["op13_prefix_trie"] = """
+with said as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+convs as (select conv_id, count(*) as n, conv_id - conv_id % 5 as base, (xor(4294967295, list_reduce(
+    list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, b: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, b)),
+    4294967295::bigint))) % 9 as h from said group by conv_id),
+plan as (select c.*, least(c.h, coalesce(b.n, 0)) as taken from convs c left join convs b on b.conv_id = c.base),
+turned as (
+  select p.conv_id, s.pos, s.role, s.text from plan p join said s on s.conv_id = p.base and s.pos < p.taken
+  union all select p.conv_id, s.pos - p.h + p.taken, s.role, s.text from plan p join said s on s.conv_id = p.conv_id and s.pos >= p.h),
+listed as (select p.conv_id, coalesce(list(struct_pack(role := t.role, text := t.text) order by t.pos) filter (t.pos is not null), []) as seq
+  from plan p left join turned t on t.conv_id = p.conv_id group by p.conv_id),
+placed as (select conv_id as member, unnest(range(len(seq) + 1)) as depth, seq from listed),
+named as (select member, depth, len(seq) = depth as ends, min(member) over (partition by depth, seq[1:depth]) as conv_id,
+    case when depth = 0 then 0 else strlen(seq[depth].text) end as bytes from placed),
+nodes as (select n.conv_id, n.depth, count(*) as n_convs, any_value(n.bytes) as bytes,
+    sha256(coalesce(string_agg(n.member::varchar, ',' order by n.member) filter (n.ends), '')) as ends_sha256 from named n group by 1, 2),
+tree as (select n.*, p.conv_id as parent_conv_id from nodes n left join named p on p.member = n.conv_id and p.depth = n.depth - 1),
+kids as (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from tree where depth > 0 group by 1, 2),
+weighed as (select t.*, coalesce(k.n_children, 0) as n_children from tree t left join kids k using (conv_id, depth)),
+sums as (select a.conv_id, a.depth, sum((w.n_children = 0)::int) as n_leaves, sum((w.n_convs - 1) * w.bytes) as saved_tokens
+  from weighed w join named a on a.member = w.conv_id and a.depth <= w.depth group by 1, 2)
+select w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, w.ends_sha256
+from weighed w join sums s using (conv_id, depth)"""
