@@ -1,6 +1,6 @@
 """Prefix trie of conversations by vertical bitmaps.
 
-Conversations are dealt into shards of ``1 << SHARD`` neighbouring ids and cut every ``SEGMENT`` turns. A task holds one
+Conversations are dealt into shards of ``1 << SHARD`` neighbouring ids (``conv_id >> SHARD``) and cut every ``SEGMENT`` turns. A task holds one
 such unit: an index from (position, turn) to the bitset of the shard's conversations that have this turn there, and for each
 position the bitset of those that end. From the conversations that share all turns before the unit it goes depth
 first: the members of a node not yet assigned to a child name a posting by their lowest bit, the intersection of the node's
@@ -21,7 +21,7 @@ text is empty; rows without a conv_id take no part; other columns are ignored. N
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ SHARD = 12
 SEGMENT = 64
 HOT = 256
 NO_ENDS = hashlib.sha256(b"").hexdigest()
-FOUND = "depth long, k1 long, k2 long, p1 long, p2 long, n_convs long, conv_id long, bytes long, shard long, ends string"
+FOUND = "depth long, k1 long, k2 long, p1 long, p2 long, n_convs long, conv_id long, bytes long, ends string, shard long"
 
 
 def turns(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -70,7 +70,7 @@ def grafted(rows: DataFrame, base: Column, heads: Column, most: int) -> tuple[Da
     counted = stage(lengths(rows), "lengths")
     whose = counted.select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
     plan = counted.withColumns({"base": base.cast("long"), "h": heads.cast("long")}).join(whose, "base", "left")
-    plan = plan.withColumn("taken", F.coalesce(F.least("h", "there"), F.lit(0)))
+    plan = plan.withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
     plan = stage(plan.select("conv_id", "base", "h", "taken", (F.col("taken") + F.greatest(F.lit(0), F.col("n") - F.col("h"))).alias("n")), "plan")
     first = rows.filter(F.col("pos") < most).withColumnRenamed("conv_id", "base")
     lent = first.join(plan.select("conv_id", "base", "taken"), "base").filter(F.col("pos") < F.col("taken"))
@@ -80,13 +80,13 @@ def grafted(rows: DataFrame, base: Column, heads: Column, most: int) -> tuple[Da
     return lent.select(columns).unionByName(own.select(columns)), plan.select("conv_id", "n")
 
 
-def _units_of(rows: DataFrame, counted: DataFrame) -> DataFrame:
+def _units_of(rows: DataFrame, counted: DataFrame, shard: int, segment: int) -> DataFrame:
     """Turns, and one row where each conversation ends, by unit, with the key of all turns before the unit."""
     key = [F.xxhash64(F.lit(k), "pos", "digest").alias(f"k{k}") for k in (1, 2)]
     ends = counted.select("conv_id", F.col("n").alias("pos"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
                           F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("end"))
     placed = rows.select("conv_id", "pos", *key, "bytes", F.lit(False).alias("end")).unionByName(ends)
-    placed = stage(placed.withColumns({"shard": F.shiftright("conv_id", SHARD), "segment": F.floor(F.col("pos") / SEGMENT).cast("long")}), "placed")
+    placed = stage(placed.withColumns({"shard": F.shiftright("conv_id", shard), "segment": F.floor(F.col("pos") / segment).cast("long")}), "placed")
     # Only conversations of more than one segment have turns before a unit.
     sums = placed.groupBy("conv_id", "segment").agg(F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2"))
     long = sums.filter("segment > 0").select("conv_id").distinct()
@@ -103,14 +103,14 @@ def bitset(bits: np.ndarray) -> int:
     """Integer with the given bits set."""
     if len(bits) == 1:
         return 1 << int(bits[0])
-    flags = np.zeros(1 << SHARD, bool)
+    flags = np.zeros(int(bits.max()) + 1, bool)
     flags[bits] = True
     return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
 def members(bits: int) -> list[int]:
     """The bits set, ascending."""
-    flags = np.frombuffer(bits.to_bytes((1 << SHARD) // 8, "little"), np.uint8)
+    flags = np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), np.uint8)
     return np.flatnonzero(np.unpackbits(flags, bitorder="little")).tolist()
 
 
@@ -121,9 +121,9 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.r_[0, np.flatnonzero(new) + 1, len(order)] if len(order) else np.zeros(1, int)
 
 
-def grow(shard: int, segment: int, unit: dict[str, np.ndarray]) -> list[tuple]:
-    """Nodes of one unit, depth first, as rows of ``FOUND``."""
-    local = unit["conv_id"] & ((1 << SHARD) - 1)
+def grow(lowest: int, first: int, stop: int, unit: dict[str, np.ndarray]) -> list[tuple]:
+    """Nodes of one unit, depth first, as rows of ``FOUND`` without the shard: conversations from ``lowest`` on, turns ``first`` to ``stop``."""
+    local = unit["conv_id"] - lowest
     pos, k1, k2 = unit["pos"], unit["k1"], unit["k2"]
     postings, at, ending = [], {}, {}
     turn = np.flatnonzero(~unit["end"])
@@ -132,7 +132,7 @@ def grow(shard: int, segment: int, unit: dict[str, np.ndarray]) -> list[tuple]:
         own = turn[order[a:b]]
         depth = int(pos[own[0]])
         for bit in local[own].tolist():
-            at[depth << SHARD | bit] = len(postings)
+            at[depth, bit] = len(postings)
         postings.append((bitset(local[own]), int(k1[own[0]]), int(k2[own[0]]), int(unit["bytes"][own[0]])))
     over = np.flatnonzero(unit["end"])
     order, cuts = _groups(pos[over])
@@ -140,39 +140,44 @@ def grow(shard: int, segment: int, unit: dict[str, np.ndarray]) -> list[tuple]:
         own = over[order[a:b]]
         ending[int(pos[own[0]])] = bitset(local[own])
 
-    found, stack, first, stop = [], [], segment * SEGMENT, (segment + 1) * SEGMENT
+    found, stack = [], []
     order, cuts = _groups(unit["p1"], unit["p2"])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
-        bits = bitset(np.unique(local[own]))
-        one, two = int(unit["p1"][own[0]]), int(unit["p2"][own[0]])
+        bits, one, two = bitset(local[own]), int(unit["p1"][own[0]]), int(unit["p2"][own[0]])
         stack.append((bits, first, one, two))
-        if segment == 0:
-            found.append((0, one, two, None, None, bits.bit_count(), (shard << SHARD) + (bits & -bits).bit_length() - 1, 0, shard, None))
+        if first == 0:
+            found.append((0, one, two, None, None, bits.bit_count(), lowest + (bits & -bits).bit_length() - 1, 0, None))
     while stack:
         bits, depth, one, two = stack.pop()
-        ends = bits & ending.get(depth, 0) if depth < stop else 0
+        if depth == stop:
+            continue  # goes on in the next segment
+        ends = bits & ending.get(depth, 0)
         if ends:
-            listed = ",".join(str((shard << SHARD) + b) for b in members(ends))
-            found.append((depth, one, two, None, None, 0, None, None, shard, listed))
-        rest = bits ^ ends if depth < stop else 0
+            found.append((depth, one, two, None, None, 0, None, None, ",".join(str(lowest + b) for b in members(ends))))
+        rest = bits ^ ends
         while rest:
             low = (rest & -rest).bit_length() - 1
-            posting, a, b, size = postings[at[depth << SHARD | low]]
+            posting, a, b, size = postings[at[depth, low]]
             child = rest & posting
             rest ^= child
-            found.append((depth + 1, one ^ a, two ^ b, one, two, child.bit_count(), (shard << SHARD) + low, size, shard, None))
+            found.append((depth + 1, one ^ a, two ^ b, one, two, child.bit_count(), lowest + low, size, None))
             stack.append((child, depth + 1, one ^ a, two ^ b))
     return found
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grown(bits: int, length: int) -> Callable:
     names = [c.split()[0] for c in FOUND.split(", ")]
     kinds = [pa.string() if c.endswith("string") else pa.int64() for c in FOUND.split(", ")]
-    for (shard, segment), rows in units(batches, 2):
-        found = grow(shard, segment, {c: rows[c].to_numpy() for c in ("conv_id", "pos", "k1", "k2", "bytes", "end", "p1", "p2")})
-        columns = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, segment), rows in units(batches, 2):
+            unit = {c: rows[c].to_numpy() for c in ("conv_id", "pos", "k1", "k2", "bytes", "end", "p1", "p2")}
+            found = grow(shard << bits, segment * length, (segment + 1) * length, unit)
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds[:-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(found), shard))], names=names)
+
+    return run
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +239,12 @@ def _path_totals(tree: DataFrame) -> DataFrame:
     return paths.select("conv_id", "up", "at").join(jump.drop("far"), "conv_id")
 
 
-def trie(rows: DataFrame, counted: DataFrame) -> DataFrame:
+def trie(rows: DataFrame, counted: DataFrame, shard: int = SHARD, segment: int = SEGMENT) -> DataFrame:
     """One row for each node: (conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256).
 
     ``rows(conv_id, pos, digest, bytes)`` are turns, ``counted(conv_id, n)`` all conversations with their number of turns.
     """
-    found = stage(_units_of(rows, counted).mapInArrow(_grown, FOUND), "found")
+    found = stage(_units_of(rows, counted, shard, segment).mapInArrow(_grown(shard, segment), FOUND), "found")
     key = ["depth", "k1", "k2"]
     nodes = found.filter(F.col("conv_id").isNotNull()).groupBy(*key).agg(
         F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.max("bytes").alias("bytes"))
@@ -259,7 +264,8 @@ def trie(rows: DataFrame, counted: DataFrame) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"))
 
 
-def prefix_trie(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The trie of the conversations as they are."""
+def prefix_trie(table: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                shard: int = SHARD, segment: int = SEGMENT) -> DataFrame:
+    """The trie of the conversations as they are; ``shard`` is the binary logarithm of the conversations in a unit."""
     rows = turns(table, conv_id, turn, role, text)
-    return trie(rows, lengths(rows))
+    return trie(rows, lengths(rows), shard, segment)

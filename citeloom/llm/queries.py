@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import join_null_safe
-from citeloom.llm import ann, bpe, html_text, langid, mixing, neardup, pii, prefix_trie, sharding, topk, vectors, wordpiece
+from citeloom.llm import ann, bpe, hard_negatives, html_text, langid, mixing, neardup, pii, prefix_trie, sharding, topk, url_filter, vectors, wordpiece
 from citeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,24 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"), pii.span_list(F.col("pii_spans")).alias("spans"))
 
 
+RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+         url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url: the longest rule's, else that of trees trained on the urls that rules decide."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector; every 7th label is moved on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vectors.every(100), label=label)
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of the rebuilt conversations: heads of up to 8 turns come from the conversation of the next lower multiple of 5."""
@@ -137,6 +155,19 @@ degree as (select a as rep, count(*) as n_links from paired group by a)
 select d.doc_id, coalesce(x.class_id, d.doc_id) as class_id, coalesce(c.rep, d.doc_id) as copy_id, coalesce(g.n_links, 0)::bigint as n_links
 from documents d left join sets s using (doc_id) left join classes c using (copy) left join named x on x.rep = c.rep left join degree g on g.rep = c.rep"""
 
+ORACLES["op12_hard_negatives"] = """
+with whole as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_dot_product(a.e, c.e) as bigint) as score
+  from whole a join whole c on c.vec_id <> a.vec_id and len(c.e) = len(a.e) where a.vec_id % 100 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.vec_id) as integer) as rank,
+  n.vec_id as negative_id, p.positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same and 80 * p.positive_score <= 100 * n.score and n.score <= p.positive_score
+qualify rank <= 5"""
+
 ORACLES["op13_prefix_trie"] = """
 with said as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
     row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 HELD = 1 << 21
 PAIRS = 1 << 15
+SCALE = 256
+EXACT = float(1 << 53)
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def usable(table: DataFrame, vec_id: str, vec: str, nonzero: bool) -> DataFrame:
-    """(id, h, vec) of the rows that take part: no null or non-finite component, not empty, not zero if ``nonzero``.
+def usable(table: DataFrame, vec_id: str, vec: str, nonzero: bool, **also: Column) -> DataFrame:
+    """(id, h, vec) of the rows that take part, and the columns ``also``: no null or non-finite component, not empty, not zero if ``nonzero``.
 
-    ``h`` is a hash of the vector: id and ``h`` tell rows apart. Rows that repeat whole are taken out here, before any
+    ``h`` is a hash of the vector (and ``also``): id and ``h`` tell rows apart. Rows that repeat whole are taken out here, before any
     search cuts to its k best.
     """
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     keep = F.col(vec_id).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0) & finite
     if nonzero:
         keep = keep & F.exists(vec, lambda x: x != 0)
-    rows = table.filter(keep).select(F.col(vec_id).cast("long").alias("id"), F.xxhash64(vec).alias("h"), F.col(vec).alias("vec"))
+    rows = table.filter(keep).select(F.col(vec_id).cast("long").alias("id"), F.xxhash64(vec, *also.values()).alias("h"), F.col(vec).alias("vec"),
+                                     *[c.alias(name) for name, c in also.items()])
     return rows.dropDuplicates(["id", "h"])
 
 
@@ -33,6 +37,31 @@ def matrix(lists: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
+def whole(rows: np.ndarray) -> np.ndarray:
+    """floor(256 x) of every component, cut to the range of a double."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(rows * SCALE), np.finfo(float).min, np.finfo(float).max)
+
+
+def dot_exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, each row of ``left`` with each of ``right``, as longs (cut to their range).
+
+    A matrix product of doubles is exact while no sum can reach 2^53; the rest is summed in Python's integers.
+    """
+    height, width = np.abs(right).max(1, initial=0.0), left.shape[1]
+    with np.errstate(over="ignore"):
+        if height.max(initial=0.0) * np.abs(left).max(initial=0.0) * width < EXACT:
+            return (left @ right.T).astype(np.int64)
+        found = np.empty((len(left), len(right)), np.int64)
+        for i, own in enumerate(left):
+            fits = height * np.abs(own).max(initial=0.0) * width < EXACT
+            found[i, fits] = right[fits] @ own
+            exact = [int(x) for x in own]
+            for j in np.flatnonzero(~fits):
+                found[i, j] = min(max(sum(int(a) * b for a, b in zip(right[j], exact, strict=True)), LONG[0]), LONG[1])
+    return found
+
+
 def products(left: np.ndarray, right: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Inner products of the given pairs of rows, summed in component order: the same bits whatever else is scored."""
     blocks = range(0, len(row), PAIRS)
