@@ -32,7 +32,7 @@ from citeloom.functions.ordered import join_null_safe, prefix_sums, prefix_xors,
 from citeloom.llm.common import stage
 from citeloom.llm.vectors import units
 
-SHARD = 12
+SHARD = 10
 SEGMENT = 64
 HOT = 256
 NO_ENDS = hashlib.sha256(b"").hexdigest()
