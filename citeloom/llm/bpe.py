@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 PIECE_CHARS = 1 << 20
 PIECE_WORDS = 1 << 17
-CACHED_WORDS = 600_000
-CACHED_RUNS = 300_000
+CACHE_BYTES = 64 << 20  # of each of the three tables of words seen
+ENTRY_BYTES = 100  # of a table's entry, besides its letters and ids
 PAIR = 24  # bits of an id
 
 # How a text is cut into words before merging.
@@ -64,30 +64,50 @@ def _byte_letters() -> dict[str, int]:
 
 
 class _Words(dict):
-    """Ids of words seen, as little-endian bytes; forgets all when full."""
+    """Ids of words seen, as little-endian bytes. At ``most`` / 2 bytes the table becomes the older one, whose words move over when they are
+    met again, and the one before is forgotten: frequent words stay."""
 
-    def __init__(self, ids_of: Callable[[str], bytes], most: int) -> None:
+    def __init__(self, ids_of: Callable[[str], bytes], most: int = CACHE_BYTES) -> None:
         super().__init__()
-        self.ids_of, self.most = ids_of, most
+        self.ids_of, self.most, self.held, self.older = ids_of, most, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.ids_of(word)
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.ids_of(word)
         if len(word) < 64:
-            if len(self) >= self.most:
+            self.held += ENTRY_BYTES + len(word) + len(ids)
+            if self.held > self.most // 2:
+                self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[word] = ids
         return ids
 
 
-class Codec:
+class Decoder:
+    """Decodes one list of ids at a time."""
+
+    def __init__(self, spec: str) -> None:
+        model, letters = json.loads(spec), _byte_letters()
+        strings = {i: bytes(letters[c] for c in token) for token, i in model["model"]["vocab"].items()}
+        strings |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of the ids; those outside the vocabulary are skipped."""
+        known = ids[(ids >= 0) & (ids < len(self.strings))]
+        return b"".join(map(self.strings.__getitem__, known.tolist())).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
     """Encodes and decodes one text at a time."""
 
     def __init__(self, spec: str) -> None:
+        super().__init__(spec)
         model = json.loads(spec)
         vocab = model["model"]["vocab"]
-        letters = _byte_letters()
-        strings = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
-        self.of_byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
+        self.of_byte = [vocab[c] for c, _ in sorted(_byte_letters().items(), key=lambda x: x[1])]
         self.ranks: dict[int, int] = {}
         self.made: list[int] = []
         for rank, merge in enumerate(model["model"]["merges"]):
@@ -97,8 +117,6 @@ class Codec:
         added = {t["content"]: t["id"] for t in model["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
             raise ValueError("added tokens that strip or need word ends are not supported")
-        strings |= {i: s.encode() for s, i in added.items()}
-        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.pattern = regex.compile(WORDS)
@@ -107,9 +125,9 @@ class Codec:
         low = "".join(re.escape(chr(c)) for c in sorted(self.stand_ins) if c <= 0xFFFF)
         self.odd = [re.compile(f"[{c}]") for c in (low, "\U00010000-\U0010ffff") if c]
         self.loose = re.compile(r" (?=\s|\Z)")
-        self.words = _Words(lambda word: np.array(self.merged(word.encode()), "<u4").tobytes(), CACHED_WORDS)
-        self.first = _Words(self._of_run, CACHED_RUNS)
-        self.later = _Words(lambda run: self._of_run(" " + run), CACHED_RUNS)
+        self.words = _Words(self._of_word)
+        self.first = _Words(self._of_run)
+        self.later = _Words(lambda run: self._of_run(" " + run))
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: always the lowest rank, leftmost first, until no neighbours merge."""
@@ -146,8 +164,13 @@ class Codec:
                 push(heap, r << place | k)
         return [i for i in ids if i >= 0]
 
+    def _of_word(self, word: str) -> bytes:
+        return np.array(self.merged(word.encode()), "<u4").tobytes()
+
     def _of_run(self, run: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(run)))
+        """Ids of what lies between blanks; one that is a single word is kept once, as a run."""
+        found = self.pattern.findall(run)
+        return self._of_word(run) if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
     def _part(self, text: str) -> Iterator[bytes]:
         """Ids of a text without added tokens. A blank before a word always begins a word, so that a text can be
@@ -175,22 +198,16 @@ class Codec:
             at = special.end()
         yield from self._part(text[at:] if at else text)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of the ids; those outside the vocabulary are skipped."""
-        known = ids[(ids >= 0) & (ids < len(self.strings))]
-        return b"".join(map(self.strings.__getitem__, known.tolist())).decode("utf-8", "replace")
-
 
-_codecs: dict[str, Codec] = {}
+_kept: dict[type, tuple[str, Decoder]] = {}
 
 
-def codec(spec: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
+def codec(spec: str, kind: type[Decoder] = Codec) -> Decoder:
+    """One codec and one decoder per Python worker: those of the last vocabulary asked for."""
     key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    if _kept.get(kind, ("",))[0] != key:
+        _kept[kind] = key, kind(spec)
+    return _kept[kind][1]
 
 
 def read_vocabulary(path: str) -> str:
@@ -198,24 +215,36 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with ``out``: array<int>, the ids of each whole text. ``vocabulary``: path of a tokenizer file."""
+def _encoded(own: Codec, texts: pa.Array, checked: bool) -> pa.Array:
+    """Ids of a batch; if ``checked``, with a flag whether they decode to the text again."""
+    parts, ends, same = [], [0], []
+    for t in texts:
+        text = t.as_py() or ""
+        ids = b"".join(own.encode(text))
+        parts.append(ids)
+        ends.append(ends[-1] + len(ids) // 4)
+        if checked:
+            same.append(own.decode(np.frombuffer(ids, "<u4")) == text)
+    ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "same"]) if checked else lists
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", checked: str | None = None) -> DataFrame:
+    """``docs`` with ``out``: array<int>, the ids of each whole text. ``vocabulary``: path of a tokenizer file.
+
+    ``checked`` names a column that tells whether the ids, decoded in the same task, are the text again.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    kind = "struct<ids: array<int>, same: boolean>" if checked else "array<int>"
+    flagged = checked is not None
 
     def run(texts: pa.Array) -> pa.Array:
-        own = codec(spec.value)
-        parts, ends = [], [0]
-        for t in texts:
-            n = 0
-            for piece in own.encode(t.as_py() or ""):
-                parts.append(piece)
-                n += len(piece) // 4
-            ends.append(ends[-1] + n)
-        ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        return _encoded(codec(spec.value), texts, flagged)
 
     # Not to be repeated by each expression that uses the ids.
-    return docs.withColumn(out, F.arrow_udf(run, "array<int>").asNondeterministic()(F.col(text)))
+    coded = docs.withColumn(out, F.arrow_udf(run, kind).asNondeterministic()(F.col(text)))
+    return coded.withColumn(checked, F.col(f"{out}.same")).withColumn(out, F.col(f"{out}.ids")) if checked else coded
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -223,7 +252,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(lists: pa.Array) -> pa.Array:
-        own = codec(spec.value)
+        own = codec(spec.value, Decoder)
         return pa.array((own.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in lists), type=pa.string())
 
     return docs.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ from citeloom.llm.common import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-VOCABULARIES = "/opt/tokenizers"
 OLD_SHARDS = 16
 
 
@@ -59,7 +59,7 @@ def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document's ids and of the text decoded from them."""
-    path = f"{VOCABULARIES}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
     both = bpe.with_ids_digest(bpe.decode(coded, path))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
@@ -83,7 +83,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, greedy word-piece tokens and unknown words of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return wordpiece.count_tokens(docs, f"{VOCABULARIES}/piece_bpe_32k.model").drop("text")
+    return wordpiece.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
 @query
