@@ -6,18 +6,20 @@ renderer leaves out what a reader does not see: head, scripts, styles, templates
 ``display: none`` and ``visibility: hidden`` (which a descendant may lift). Formulas in MathML are read in their place (without
 annotations), and each label of an svg stands on a line of its own (without titles, descriptions and definitions). It emits all other text: blanks collapse
 (not in ``pre``), blocks stand on lines of their own, paragraphs, headings, lists and tables apart from their
-neighbours, list items carry their bullet or number and are indented by depth, and the cells of a table are aligned in
-columns (up to ``COLUMN`` characters; longer cells are written in full).
+neighbours, list items carry their bullet or number and are indented by depth (up to ``DEEPEST`` levels), and the cells of a table are laid out
+like pages of their own, line beside line in columns (up to ``COLUMN`` wide; longer lines are written in full). Style sheets are not read: only
+``style`` and ``hidden`` attributes hide.
 
-Defined results: null and empty pages give an empty text; unclosed, stray and wrongly nested tags never fail. Pages of any
-length and depth are read whole, without recursion. Repeated rows each get their text; other columns pass
+Defined results: null and empty pages give an empty text; unclosed, stray and wrongly nested tags, malformed declarations, comments and
+references never fail. Pages of any length and depth are read whole, in linear time, without recursion. Repeated rows each get their text; other columns pass
 through, and one named like the output column is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+import unicodedata
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 COLUMN = 60
 SPAN = 1000  # columns or rows that a cell may span
+DEEPEST = 40  # levels of lists that are indented; text below is indented like those
 
 # Element names of HTML by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +58,17 @@ IMPLIED = {
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 _BLANKS = re.compile(r"[\x20\t\n\f\r]+")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_BETWEEN = re.compile(r"[\s/]*")
+_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_SHORT_COMMENT = re.compile(r"<!---?>")
+_COMMENT_END = re.compile(r"--!?>")
+_LONG_REFERENCE = re.compile(r"&#([xX])?([0-9a-fA-F]{9,})(;?)")
+# Elements whose text holds no tags, with what ends them; two of them read character references.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in "script style textarea title iframe xmp noembed noframes".split()}
+REFERENCES = frozenset(("textarea", "title"))
 
 
 class Node:
@@ -73,40 +87,115 @@ class Node:
             self.inside, self.drawn = "", True
 
 
-class Builder(HTMLParser):
-    """Builds the tree; ``open`` are the elements that have begun and not ended."""
+def plain(text: str) -> str:
+    """Text with its character references read."""
+    return unescape(_LONG_REFERENCE.sub(lambda m: f"&#{m[1] or ''}{m[2].lstrip('0')[:8] or 0}{m[3]}", text)) if "&" in text else text
+
+
+def attributes_at(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, closed by a slash, place after the tag) of a tag whose name ends at ``at``; -1 if the page ends in it."""
+    found: dict[str, str] = {}
+    while True:
+        start, at = at, _BETWEEN.match(html, at).end()
+        if at >= len(html):
+            return found, False, -1
+        if html[at] == ">":
+            return found, at > start and html[at - 1] == "/", at + 1
+        name = _NAME.match(html, at)
+        at, value = name.end(), ""
+        if given := _EQUALS.match(html, at):
+            at = given.end()
+            if html[at:at + 1] in ('"', "'"):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1:end], end + 1
+            else:
+                value = _UNQUOTED.match(html, at)[0]
+                at += len(value)
+        found.setdefault(name[0].lower(), plain(value))
+
+
+class Builder:
+    """Reads a page from left to right and builds the tree; ``open`` are the elements that have begun and not ended.
+
+    Every step either moves on in the page or ends elements, so time is linear in the page whatever is malformed.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.count: dict[str, int] = {"html": 1}
+        self.places: dict[str, list[int]] = {"html": [0]}  # where each tag's open elements stand in ``open``
 
     def _pop(self) -> None:
-        self.count[self.open.pop().tag] -= 1
+        self.places[self.open.pop().tag].pop()
+
+    def _is_open(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
 
     def _end(self, tags: set[str], limits: set[str]) -> None:
         """End the innermost open element of ``tags`` and all within it, unless a limit comes first."""
-        if not any(self.count.get(t) for t in tags):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i].tag in limits:
-                return
+        last, limit = (max((own[-1] for t in some if (own := self.places.get(t))), default=-1) for some in (tags, limits))
+        if last > 0 and last >= limit:
+            while len(self.open) > last:
+                self._pop()
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        attributes = {k: v or "" for k, v in attrs}
+    def feed(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            start = html.find("<", at)
+            if start < 0:
+                start = len(html)
+            if start > at:
+                self.handle_data(plain(html[at:start]))
+            at = self._markup(html, start) if start < len(html) else start
+
+    def _markup(self, html: str, at: int) -> int:
+        """Read what begins with ``<``; returns the place after it."""
+        tag = _TAG.match(html, at)
+        if tag:
+            name = tag[2].lower()
+            attributes, slash, after = attributes_at(html, tag.end())
+            if after < 0:
+                return len(html)  # the page ends within a tag, which is dropped
+            if tag[1]:
+                self.handle_endtag(name)
+                return after
+            html_here = not self.open[-1].inside
+            (self.handle_startendtag if slash else self.handle_starttag)(name, attributes)
+            return self._raw(html, name, after) if name in RAW and html_here else after
+        if html.startswith("<!--", at):
+            if short := _SHORT_COMMENT.match(html, at):
+                return short.end()
+            end = _COMMENT_END.search(html, at + 4)
+            return end.end() if end else len(html)
+        if html.startswith("<![CDATA[", at) and self.open[-1].inside:
+            end = html.find("]]>", at)
+            self.handle_data(html[at + 9:end if end >= 0 else len(html)])
+            return end + 3 if end >= 0 else len(html)
+        if html[at + 1:at + 2] in ("!", "?", "/") and len(html) > at + 2:
+            end = html.find(">", at + 2)
+            return end + 1 if end >= 0 else len(html)
+        self.handle_data("<")
+        return at + 1
+
+    def _raw(self, html: str, name: str, at: int) -> int:
+        """Text of an element that holds no tags, up to its end tag."""
+        end = RAW[name].search(html, at)
+        stop = end.start() if end else len(html)
+        if stop > at:
+            self.handle_data(plain(html[at:stop]) if name in REFERENCES else html[at:stop])
+        return stop
+
+    def handle_starttag(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
             self._end({"head"}, set())
             if tag == "html":
                 self.root.attributes |= attributes
                 return
-            if self.count.get("body"):
+            if self._is_open("body"):
                 return
-        elif tag not in HEAD and self.count.get("head") and tag != "head":
+        elif tag not in HEAD and self._is_open("head") and tag != "head":
             self._end({"head"}, set())
         if tag in BREAKOUT:
             while self.open[-1].inside:
@@ -118,17 +207,17 @@ class Builder(HTMLParser):
         node = Node(tag, attributes, self.open[-1])
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.count[tag] = self.count.get(tag, 0) + 1
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+    def handle_startendtag(self, tag: str, attributes: dict[str, str]) -> None:
+        self.handle_starttag(tag, attributes)
         if self.open[-1].tag == tag and (tag in HTML_INSIDE or self.open[-1].around):  # elsewhere HTML ignores the slash
             self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.handle_starttag("br", [])
+            self.handle_starttag("br", {})
         elif tag in ("html", "body") or tag in VOID:
             return
         else:
@@ -183,38 +272,49 @@ def _number(text: str, least: int, most: int, default: int) -> int:
     return min(max(int(found[1]), least), most) if found else default
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table whose cells are (text, columns, rows spanned)."""
-    placed: list[dict[int, str]] = []
+def wide(text: str) -> int:
+    """Columns that a text takes: two for characters of double width."""
+    return len(text) if text.isascii() else len(text) + sum(unicodedata.east_asian_width(c) in "WF" for c in text)
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table whose cells are (lines, columns, rows spanned): as many for each row as its highest cell has."""
+    placed: list[dict[int, list[str]]] = []
     widths: dict[int, int] = {}
     below: dict[int, int] = {}
     for row in rows:
-        cells: dict[int, str] = {}
+        cells: dict[int, list[str]] = {}
         held, below, at = below, {c: n - 1 for c, n in below.items() if n > 1}, 0
-        for text, wide, high in row:
+        for lines, across, high in row:
             while at in held:
                 at += 1
-            cells[at] = text
-            if wide == 1 and len(text) <= COLUMN:
-                widths[at] = max(widths.get(at, 0), len(text))
+            cells[at] = lines
+            if across == 1:
+                widths[at] = max([widths.get(at, 0), *(n for own in lines if (n := wide(own)) <= COLUMN)])
             if high > 1:
-                below |= dict.fromkeys(range(at, at + wide), high - 1)
-            at += wide
+                below |= dict.fromkeys(range(at, at + across), high - 1)
+            at += across
         placed.append(cells)
-    used = sorted({c for cells in placed for c, t in cells.items() if t})
-    return [line for cells in placed if (line := "  ".join(cells.get(c, "").ljust(widths.get(c, 0)) for c in used).rstrip())]
+    used = sorted({c for cells in placed for c, lines in cells.items() if lines})
+    out = []
+    for cells in placed:
+        shown = [c for c in used if c <= max((c for c, lines in cells.items() if lines), default=-1)]
+        for i in range(max((len(lines) for lines in cells.values()), default=0)):
+            own = [lines[i] if i < len(lines := cells.get(c, [])) else "" for c in shown]
+            out.append("  ".join(t + " " * (widths.get(c, 0) - wide(t)) for c, t in zip(shown, own, strict=True)).rstrip())
+    return out
 
 
 def render(root: Node) -> str:
     """Visible text of a tree. Tables are laid out when they end; ``frames`` holds the flows around them."""
     flow = Flow()
-    frames: list[tuple[Flow, list | None]] = []
-    rows: list[list[tuple[str, int, int]]] | None = None
+    frames: list[tuple[Flow, list | None, list]] = []
+    rows: list[list[tuple[list[str], int, int]]] | None = None
     lists: list[list] = []  # [ordered, next number]
     work: list[tuple] = [("enter", root, True, False)]
     while work:
         what, node, seen, pre = work.pop()
-        indent = "  " * len(lists)
+        indent = "  " * min(len(lists), DEEPEST)
         if what == "text":
             if not seen:
                 continue
@@ -231,17 +331,21 @@ def render(root: Node) -> str:
         if what == "leave":
             if tag == "table":
                 lines = [*filter(None, flow.text().split("\n")), *aligned(rows)]  # a caption, or text between cells, comes first
-                flow, rows = frames.pop()
-                for line in lines:
-                    flow.breaks(1)
-                    flow.raw(line, indent)
+                flow, rows, lists = frames.pop()
+                indent = "  " * min(len(lists), DEEPEST)
+                flow.breaks(1)
+                for i, line in enumerate(lines):
+                    if i:
+                        flow.line()
+                    if line:
+                        flow.raw(line, indent)
                 flow.breaks(2)
             elif tag in ("td", "th") and rows is not None and frames and frames[-1][1] is rows:
-                text = " ".join(flow.text().split())
-                flow, rows = frames.pop()
+                lines = [line.rstrip() for line in flow.text().strip("\n").split("\n")]
+                flow, rows, lists = frames.pop()
                 if not rows:
                     rows.append([])
-                rows[-1].append((text, _number(node.attributes.get("colspan", ""), 1, SPAN, 1), _number(node.attributes.get("rowspan", ""), 1, SPAN, 1)))
+                rows[-1].append((lines if any(lines) else [], _number(node.attributes.get("colspan", ""), 1, SPAN, 1), _number(node.attributes.get("rowspan", ""), 1, SPAN, 1)))
             elif tag in ("ul", "ol", "menu") and lists:
                 lists.pop()
                 flow.breaks(1 if lists else 2)
@@ -261,13 +365,13 @@ def render(root: Node) -> str:
             continue
         if tag == "table":
             flow.breaks(2)
-            frames.append((flow, rows))
-            flow, rows = Flow(), []
+            frames.append((flow, rows, lists))
+            flow, rows, lists = Flow(), [], []
         elif tag == "tr" and rows is not None:
             rows.append([])
         elif tag in ("td", "th") and rows is not None:
-            frames.append((flow, rows))
-            flow = Flow()
+            frames.append((flow, rows, lists))
+            flow, lists = Flow(), []
         elif tag in ("ul", "ol", "menu"):
             flow.breaks(1 if lists else 2)
             lists.append([tag == "ol", _number(node.attributes.get("start", ""), -(10**9), 10**9, 1)])
@@ -276,7 +380,7 @@ def render(root: Node) -> str:
             if lists:
                 own = lists[-1]
                 own[1] = _number(node.attributes.get("value", ""), -(10**9), 10**9, own[1])
-                flow.prefix("  " * (len(lists) - 1) + (f"{own[1]}. " if own[0] else "- "))
+                flow.prefix("  " * min(len(lists) - 1, DEEPEST) + (f"{own[1]}. " if own[0] else "- "))
                 own[1] += 1
             else:
                 flow.prefix("- ")
@@ -292,7 +396,6 @@ def page_text(html: str | None) -> str:
     """Visible text of a page."""
     builder = Builder()
     builder.feed(html or "")
-    builder.close()
     return render(builder.root)
 
 
