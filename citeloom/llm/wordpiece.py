@@ -1,7 +1,7 @@
 """Token counts by greedy longest match: a vocabulary trie with failure links and popped-token counts.
 
 A word is cut into the longest piece of the vocabulary that begins it, then the longest piece that goes on, and so
-forth; a word that cannot be cut this way counts as one unknown token. The pieces are never built: every
+forth. A word begins with the word mark, which may be a piece alone; a word that cannot be cut this way counts as one unknown token. The pieces are never built: every
 node of the trie knows how many tokens are complete once its text cannot be extended, and the node of what remains of it
 (the failure link), so a word is read once, letter by letter.
 
@@ -39,6 +39,7 @@ class Automaton(dict):
         super().__init__()
         self.child: list[dict[str, int]] = [{}, {}]  # node 0: begin of a word, node 1: within a word
         ends = [False, False]
+        alone = MARK in pieces
         for piece in pieces:
             begins = piece.startswith(MARK)
             node = 0 if begins else 1
@@ -51,11 +52,13 @@ class Automaton(dict):
                 node = after
             if node > 1:
                 ends[node] = True
-        self.fail, self.pops = self._links(ends)
+        self.fail, self.pops = self._links(ends, alone)
 
-    def _links(self, ends: list[bool]) -> tuple[list[int], list[int]]:
+    def _links(self, ends: list[bool], alone: bool) -> tuple[list[int], list[int]]:
         """Failure link of each node (-1: none) and the tokens that are complete when it is followed, in order of depth."""
         fail, pops = [-1] * len(ends), [0] * len(ends)
+        if alone:  # where no longer piece begins the word, the mark alone does
+            fail[0], pops[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             parent = queue.popleft()
