@@ -12,7 +12,8 @@ meets every candidate chunk: that is the stated query set against all rows, in b
 Defined results: vectors null, empty, or with null or non-finite components take no part; neither do null ids. Rows
 that repeat whole count once; rows with one id and different vectors are different rows, and a query with such an
 id gets results for each. Vectors of different lengths have no inner product and never meet. Ties go to the smaller
-id. Scores that do not fit a long are cut to its range. No candidates, no rows.
+id. Components that leave the range of a double by the factor 256 are cut to it, scores that do not fit a
+long to its range. No candidates, no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import stage
-from citeloom.llm.vectors import Best, matrix, ranked, units, usable
+from citeloom.llm.vectors import EXACT, LONG, Best, matrix, ranked, units, usable, whole
 
-SCALE = 256
 CHUNK = 16_384
 QUERY_CHUNK = 1_024
 GROWTH = 4
-EXACT = float(1 << 53)
-LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class Lists:
@@ -51,6 +49,7 @@ class Lists:
         found = [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in self.rows[which]]
         return np.array([min(max(s, LONG[0]), LONG[1]) for s in found], np.int64)
 
+    @np.errstate(over="ignore", invalid="ignore")
     def best(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes and scores of the candidates seen until the bound fell below the kth score."""
         n = len(self.rows)
@@ -84,13 +83,13 @@ def _search(k: int) -> Callable:
         for _, rows in units(batches, 3):
             asks = rows["ask"].to_numpy()
             ids, hashes = rows["id"].to_numpy(), rows["h"].to_numpy()
-            whole = np.floor(matrix(rows["vec"].combine_chunks()) * SCALE)
+            scaled = whole(matrix(rows["vec"].combine_chunks()))
             there = ~asks
             if not there.any() or not asks.any():
                 continue
-            lists, c_ids, c_hashes = Lists(whole[there]), ids[there], hashes[there]
+            lists, c_ids, c_hashes = Lists(scaled[there]), ids[there], hashes[there]
             for i in np.flatnonzero(asks):
-                which, scores = lists.best(whole[i], (c_ids == ids[i]) & (c_hashes == hashes[i]), k)
+                which, scores = lists.best(scaled[i], (c_ids == ids[i]) & (c_hashes == hashes[i]), k)
                 best.add(ids[[i]], hashes[[i]], c_ids[which], c_hashes[which], scores[None], np.zeros((1, len(which)), bool))
         yield from best.batches()
 
