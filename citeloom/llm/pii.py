@@ -74,6 +74,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each run that may be an IBAN, the longest part from its start that ends before a blank (or the run's end) and passes the check."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        run, at = m[0], m.start() + 1
+        ends = [len(run), *(i for i in range(len(run) - 1, 0, -1) if run[i] == " ")]
+        for end in ends:
+            if len(bare := run[:end].replace(" ", "")) >= 15 and mod97(bare):
+                at = m.start() + end
+                yield m.start(), at
+                break
+
+
 def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -96,7 +109,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the added kinds, leftmost first, clear of the base spans and of each other."""
     taken = [(a, b) for _, a, b in base]
-    proposed = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    proposed = [("iban", *span) for span in _ibans(text)]
     proposed += [(kind, *m.span()) for kind, p in (("ssn", _SSN), ("tel", _TEL)) for m in p.finditer(text)]
     found: list[tuple[str, int, int]] = []
     edges = iter([*sorted(taken), (len(text) + 1, len(text) + 1)])

@@ -119,6 +119,11 @@ def test_threshold_stops_early_and_huge_components_do_not_overflow():
     lists = topk.Lists(rows)
     which, scores = lists.best(np.array([300.0, 10.0]), np.zeros(len(rows), bool), 5)
     assert len(which) < 5_000 and sorted(scores)[-5:] == sorted((rows @ [300, 10]).astype(int))[-5:]
+    limits = vectors.whole(np.array([[1.7e308, -1.7e308], [-1e308, 1.0], [1.0, 0.5], [1e308, 1e308]]))
+    for query in limits:
+        which, scores = topk.Lists(limits).best(query, np.zeros(4, bool), 4)
+        exact = [min(max(sum(int(a) * int(b) for a, b in zip(limits[i], query, strict=True)), topk.LONG[0]), topk.LONG[1]) for i in which]
+        assert len(which) == 4 and scores.tolist() == exact
     which, scores = topk.Lists(np.array([[1e300], [-1e300], [2.0]])).best(np.array([1e10]), np.zeros(3, bool), 3)
     assert sorted(scores) == [-(1 << 63), 2 * 10**10, (1 << 63) - 1]
 

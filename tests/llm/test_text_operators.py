@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -62,15 +63,17 @@ def test_token_counts_equal_greedy_longest_match():
     known, own = set(pieces), wordpiece.Automaton(pieces)
 
     def greedy(word):
-        at = n = 0
-        while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if (wordpiece.MARK + word[:e] if at == 0 else word[at:e]) in known
-                        and not (at and word[at:e].startswith(wordpiece.MARK))), None)
+        """Longest piece from the left of the mark and the word."""
+        whole, at, n = wordpiece.MARK + word, 0, 0
+        while at < len(whole):
+            end = next((e for e in range(len(whole), at, -1) if whole[at:e] in known and not (at and whole[at] == wordpiece.MARK)), None)
             if end is None:
                 return -1
             at, n = end, n + 1
         return n
 
+    for word in ("çtre", "êré", "日本語", "1234", "the", "zzzz"):
+        assert own.count(word) == greedy(word) > 0, word
     draw = random.Random(1)
     for _ in range(5000):
         word = "".join(draw.choice("abtheing▁中é#") for _ in range(draw.randint(1, 12)))
@@ -164,6 +167,8 @@ def test_added_spans_need_checksum_or_context():
 
     assert kinds("IBAN DE89 3704 0044 0532 0130 00.") == [("iban", "DE89 3704 0044 0532 0130 00")]
     assert kinds("IBAN DE88 3704 0044 0532 0130 00.") == []
+    assert kinds("GB29 NWBK 6016 1331 9268 19 OK") == [("iban", "GB29 NWBK 6016 1331 9268 19")]
+    assert kinds("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 EUR 50") == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB29 NWBK 6016 1331 9268 19")]
     assert kinds("ssn 123-45-6789") == [("ssn", "123-45-6789")] and kinds("part 123-45-6789") == []
     assert kinds("call (743) 555-3824") == [("tel", "(743) 555-3824")] and kinds("sum (743) 555-3824") == []
     assert pii.spans_of("mail a@b.cd")[0]["score"] > pii.spans_of("see a@b.cd")[0]["score"]
@@ -191,12 +196,33 @@ def test_pii_long_and_odd_texts(spark):
     ("x<br>y<br><br>z", "x\ny\n\nz"),
     ("</p></table><b><i>w</b></i>  v", "w v"),
     ("", ""), (None, ""), ("<td>loose<li>", "loose"),
-    ("<table><tr><td>a<table><tr><td>n<td>m</table><td>b</table>", "a n m  b"),
+    ("<table><tr><td>a<table><tr><td>n<td>m</table><td>b</table>", "a     b\n\nn  m"),
+    ("<table><tr><td><h1>T</h1><p>one<p>two<ul><li>x<li>y</ul><td>side<br>bar</table>end", "T    side\n     bar\none\n\ntwo\n\n- x\n- y\n\nend"),
+    ("<table><tr><td>日本<td>a<tr><td>xxxxx<td>b</table>", "日本   a\nxxxxx  b"),
+    ("<![ endif]>a<![<p>b<![*] c>d<!-->e<!--->f<?php x ?>g</ >h", "abdefgh"), ("a<![%x", "a"), ("1 < 2 &#99999999999; &#x41;", "1 < 2 \ufffd A"),
+    ("a<b", "a"), ("<a href='x", ""), ("<p a=1 a=\"hidden\" / >x", "x"), ("<textarea><b>&amp;</textarea>x<title>no", "<b>&x"), ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"),
 ])
 def test_page_text(html, text):
     assert html_text.page_text(html) == text
 
 
+@pytest.mark.parametrize("html", [
+    "<a " * 300_000, "<x><table><td>" + "<span>" * 80_000 + "</x>" * 100_000, "<!--" * 250_000, "<![ " * 250_000, "<ul><li>" * 100_000 + "x", "<" * 1_000_000,
+    "<a b=\"" * 150_000, "&#" * 500_000, "&#" + "9" * 1_000_000, "<script>" * 120_000, "<table><tr><td>" * 50_000 + "x", "<td>" * 200_000, "<svg><p>" * 100_000])
+def test_malformed_pages_take_linear_time(html):
+    """A megabyte each; quadratic work would take minutes."""
+    start = time.process_time()
+    assert len(html_text.page_text(html)) <= len(html) + 200
+    assert time.process_time() - start < 20
+
+
+def test_any_mix_of_markup_gives_a_text():
+    draw = random.Random(12)
+    pieces = ["<", ">", "/", "!", "--", "[", "]", "'", '"', "=", "&", "#", ";", " ", "a", "p", "td", "table", "svg", "script", "<p>", "</p>", "<li>", "<![CDATA[", "]]>", "\0", "é"]
+    for _ in range(4000):
+        html_text.page_text("".join(draw.choice(pieces) for _ in range(draw.randint(1, 40))))
+
+
 def test_pages_deep_and_on_rows(spark):
     assert html_text.page_text("<div>" * 100_000 + "x") == "x"
     pages = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")
