@@ -1,8 +1,9 @@
 """Exact similarity join and top-k search over vector tables.
 
-``vectors(job_id, pos, vec[, entities])``. The join is exact at any size: vectors are gathered in
-bounded blocks of similar direction, block pairs that cannot hold a match are discarded by an angle
-bound, and each surviving block pair is one matrix product in one task that emits matches only.
+``vectors(job_id, pos, vec[, entities])``. The join is exact at any size: a tree of centres fitted to the
+vectors deals them into cells, each vector also visits the cells that may hold a match for it (by its angle to
+the cell's centre and radius, and by the plane between two centres), and every cell is met by its guests in matrix
+products over rows of about the same angle, in tasks that emit matches only.
 Copies are joined once through a representative and reported as a star.
 """
 
@@ -26,8 +27,12 @@ COARSE_THRESHOLD_SHARED_ENTITY = 0.72
 RECONCILE_THRESHOLD = 0.85
 
 BLOCK_ROWS = 2048
-DIRECTION_BITS = 24
-SLICE_BLOCKS = 512
+GUEST_BLOCKS = 8  # a task meets so many blocks of guests
+SLICE_ROWS = 256
+FAN = 32
+ROUNDS = 6
+SAMPLE = 4096
+PART_ROWS = 65_536
 SLACK = 1e-6  # widens the block bound against rounding
 
 
@@ -44,27 +49,46 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct.drop("copies"), copies.select("job_id", "a", "b", F.lit(1.0).alias("cosine"))
 
 
+def _scaled(rows: pd.DataFrame) -> np.ndarray:
+    matrix = np.stack(rows["vec"].to_numpy())
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
 def _matches(left: pd.DataFrame, right: pd.DataFrame | None, plain: float, shared: float) -> pd.DataFrame:
-    """Matching position pairs between two blocks, or inside one block when ``right`` is None."""
-
-    def scaled(rows: pd.DataFrame) -> np.ndarray:
-        matrix = np.stack(rows["vec"].to_numpy())
-        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    unit_left = scaled(left)
-    sims = unit_left @ (unit_left if right is None else scaled(right)).T
-    if right is None:
-        right = left
-        sims[np.tril_indices(len(left))] = -2.0
-    rows, cols = np.nonzero(sims >= min(plain, shared))
-    scores = sims[rows, cols]
-    keep = scores >= plain
-    if shared < plain:
-        words_left, words_right = left["entities"].to_numpy(), right["entities"].to_numpy()
-        for k in np.nonzero(~keep)[0]:
-            keep[k] = bool(set(words_left[rows[k]]) & set(words_right[cols[k]]))
-    first, second = left["pos"].to_numpy()[rows[keep]], right["pos"].to_numpy()[cols[keep]]
-    return pd.DataFrame({"a": np.minimum(first, second), "b": np.maximum(first, second), "cosine": scores[keep]})
+    """Matching position pairs of the rows ``left`` and ``right``, or among ``left`` when ``right`` is None.
+
+    Two vectors can only match if their angles to the centre of the cell differ by no more than the angle of the threshold, so both sides
+    are taken in order of that angle and every slice of ``right`` meets a stretch of ``left``.
+    """
+    reach = math.acos(min(1.0, min(plain, shared))) + SLACK
+    inside = right is None
+    left = left.sort_values("angle", kind="stable", ignore_index=True)
+    right = left if inside else right.sort_values("angle", kind="stable", ignore_index=True)
+    unit_left, unit_right = _scaled(left), _scaled(right)
+    angles, others = left["angle"].to_numpy(), right["angle"].to_numpy()
+    found = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]]
+    for at in range(0, len(right), SLICE_ROWS):
+        own = others[at:at + SLICE_ROWS]
+        first, last = np.searchsorted(angles, own[0] - reach), np.searchsorted(angles, own[-1] + reach, "right")
+        if inside:
+            first = at  # pairs with rows before are found from there
+        sims = unit_left[first:last] @ unit_right[at:at + SLICE_ROWS].T
+        rows, cols = np.nonzero(sims >= min(plain, shared))
+        rows, cols, scores = rows + first, cols + at, sims[rows, cols]
+        if inside:
+            later = rows > cols
+            rows, cols, scores = rows[later], cols[later], scores[later]
+        keep = scores >= plain
+        if shared < plain:
+            words_left, words_right = left["entities"].to_numpy(), right["entities"].to_numpy()
+            for k in np.nonzero(~keep)[0]:
+                keep[k] = bool(set(words_left[rows[k]]) & set(words_right[cols[k]]))
+        found.append([left["pos"].to_numpy()[rows[keep]], right["pos"].to_numpy()[cols[keep]], scores[keep]])
+    one, other, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other), "cosine": scores})
+
+
+NO_PAIRS = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, shared_threshold: float | None = None, *,
@@ -81,68 +105,127 @@ def similar_pairs(vectors: DataFrame, threshold: float, shared_threshold: float
     base, stars = representatives(vectors)
     schema = "job_id {t}, a bigint, b bigint, cosine double".format(
         t=base.schema["job_id"].dataType.simpleString())
-    sizes = base.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    blocked, block_pairs = _block_pairs(base, sizes, min(plain, shared), block_rows)
-    left = blocked.withColumnRenamed("blk", "b1").join(block_pairs, ["job_id", "b1"]).withColumn("side", F.lit(0))
-    right = blocked.withColumnRenamed("blk", "b2").join(
-        block_pairs.filter("b1 <> b2"), ["job_id", "b2"]).withColumn("side", F.lit(1))
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        one, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        same_block = rows["b1"].iloc[0] == rows["b2"].iloc[0]
-        found = _matches(one.reset_index(drop=True), None if same_block else other.reset_index(drop=True), plain, shared)
-        found.insert(0, "job_id", rows["job_id"].iloc[0])
-        return found
-
-    routed = left.unionByName(right)
-    return routed.groupBy("job_id", "b1", "b2").applyInPandas(across, schema).unionByName(stars)
-
-
-@F.pandas_udf(T.LongType())
-def _direction(vec: pd.Series) -> pd.Series:
-    """Sign pattern of a vector against fixed random planes: similar vectors share it more often."""
-    if vec.empty:
-        return pd.Series([], dtype="int64")
-    matrix = np.stack(vec.to_numpy())
-    planes = np.random.default_rng(20).normal(size=(matrix.shape[1], DIRECTION_BITS))
-    return pd.Series(((matrix @ planes) > 0) @ (1 << np.arange(DIRECTION_BITS)))
-
-
-def _block_pairs(base: DataFrame, sizes: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block id, and the block pairs the angle bound cannot rule out."""
-    # as many direction bits as it takes for cells of about one block, none for a job that fits one
-    bits = F.greatest(F.lit(0), F.least(F.lit(DIRECTION_BITS), F.ceil(F.log2(F.col("n") / F.lit(block_rows))))).cast("int")
-    cell = _direction("vec").bitwiseAND(F.element_at(F.array(*[F.lit((1 << b) - 1) for b in range(DIRECTION_BITS + 1)]), bits + 1))
-    celled = materialise(base.join(sizes, "job_id").withColumn("cell", cell.cast("long")).drop("n"))
-    parts = celled.groupBy("job_id", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("parts"))
-    blocked = celled.join(parts, ["job_id", "cell"]).withColumn(
-        "blk", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("pos"), "parts")).drop("cell", "parts")
-
-    def extent(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(rows["vec"].to_numpy())
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        centre = matrix.mean(axis=0)
-        length = np.linalg.norm(centre)
-        centre = centre / length if length > 0 else matrix[0]
-        radius = float(np.arccos(np.clip(matrix @ centre, -1, 1)).max())
-        return pd.DataFrame({"job_id": [rows["job_id"].iloc[0]], "blk": [rows["blk"].iloc[0]],
-                             "centre": [centre], "radius": [radius]})
-
-    job_type = base.schema["job_id"].dataType.simpleString()
-    extents = materialise(blocked.groupBy("job_id", "blk").applyInPandas(
-        extent, f"job_id {job_type}, blk bigint, centre array<double>, radius double"))
-    # a job with very many blocks is compared in slices: every block meets each slice of the others
-    slices = extents.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_BLOCKS)).alias("slices"))
-    placed = extents.join(slices, "job_id")
-    one = placed.select("job_id", F.col("blk").alias("b1"), F.col("centre").alias("c1"), F.col("radius").alias("r1"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-    two = placed.select("job_id", F.col("blk").alias("b2"), F.col("centre").alias("c2"), F.col("radius").alias("r2"),
-                        F.pmod(F.xxhash64("blk"), "slices").alias("slice"))
-    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("c1"), F.col("c2")))))
-    reach = F.lit(math.acos(min(1.0, threshold)) + SLACK) + F.col("r1") + F.col("r2")
-    near = one.join(two, ["job_id", "slice"]).filter(F.col("b1") <= F.col("b2")).filter(gap <= reach)
-    return blocked, near.select("job_id", "b1", "b2")
+        home, guests = rows[rows["home"]], rows[~rows["home"]]
+        found = [NO_PAIRS]
+        if len(home) and rows["part"].iloc[0] == 0:
+            found.append(_matches(home, None, plain, shared))
+        if len(home) and len(guests):
+            found.append(_matches(home, guests, plain, shared))
+        pairs = pd.concat(found)
+        pairs.insert(0, "job_id", rows["job_id"].iloc[0])
+        return pairs
+
+    met = units(placed(base, min(plain, shared), block_rows), block_rows)
+    return met.groupBy("job_id", "cell", "chunk", "part").applyInPandas(across, schema).unionByName(stars)
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Up to ``FAN`` centres of the sampled vectors of a cell: means of directions, improved ``ROUNDS`` times."""
+    unit = _scaled(rows.sort_values("pos"))
+    centres = unit[np.random.default_rng(20).permutation(len(unit))[:FAN]]
+    for _ in range(ROUNDS):
+        nearest = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, unit)
+        length = np.linalg.norm(sums, axis=1)
+        centres = sums[length > 0] / length[length > 0, None]
+    return pd.DataFrame({"cell": rows["cell"].iloc[0], "child": np.arange(len(centres)), "centre": list(centres)})
+
+
+def _angles(rows: pd.DataFrame, centres: pd.DataFrame) -> np.ndarray:
+    return np.arccos(np.clip(_scaled(rows) @ np.stack(centres["centre"].to_numpy()).T, -1, 1))
+
+
+def _to_nearest(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Each row in the cell of its nearest centre."""
+    centres = centres.sort_values("child")
+    angles = _angles(rows, centres)
+    nearest = angles.argmin(1)
+    return rows.assign(child=centres["child"].to_numpy()[nearest], angle=angles[np.arange(len(rows)), nearest])
+
+
+def _to_others(reach: float):
+    """Rows as guests of each other cell that may hold a match: its radius is near enough, and so is the plane halfway to it.
+
+    A row visits cells before its own only, so that a pair is met once; a guest visits all cells within the one it is in.
+    """
+    chord = 2 * math.sin(min(math.pi, reach) / 2)
+
+    def visit(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        centres = centres.sort_values("child")
+        angles, means = _angles(rows, centres), np.stack(centres["centre"].to_numpy())
+        nearest = angles.argmin(1)
+        lead = np.cos(angles[np.arange(len(rows)), nearest])[:, None] - np.cos(angles)
+        between = np.sqrt(np.maximum(2 - 2 * means @ means.T, 0))[nearest]
+        child, home = centres["child"].to_numpy(), rows["home"].to_numpy()[:, None]
+        may = (angles <= reach + centres["radius"].to_numpy()) & (lead <= chord * between + SLACK)
+        may &= ~home | (child[None] < rows["child"].to_numpy()[:, None])
+        row, column = np.nonzero(may)
+        return rows.iloc[row].assign(child=child[column], angle=angles[row, column], home=False)
+
+    return visit
+
+
+def _with_centres(rows: DataFrame, centres: DataFrame, work) -> DataFrame:
+    """``work`` on the rows of a cell and its centres, in parts of a bounded number of rows."""
+    parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("parts"))
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("pos", "job_id"), "parts")).drop("parts")
+    every = centres.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    names = [c for c in dealt.columns if c != "part"]
+    schema = T.StructType([dealt.schema[c] for c in names])
+
+    def run(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        return work(mine, theirs)[names] if len(mine) else mine[names]
+
+    return dealt.groupBy("cell", "part").cogroup(every.groupBy("cell", "part")).applyInPandas(run, schema)
+
+
+def placed(base: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Rows in their cell (``home``) and as guests in every other cell that may hold a match: (..., cell, home, angle to the cell's centre).
+
+    Cells are a tree of centres fitted to the data, ``FAN`` to a cell, with as many levels for a job as its cells need to come down to about
+    ``block_rows``; a job of that size is one cell. Centres are fitted on a bounded sample of each cell, every row is placed.
+    """
+    reach = math.acos(min(1.0, threshold)) + SLACK
+    sizes = base.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / F.lit(block_rows)) / F.lit(math.log(FAN)))).cast("int")
+    sizes = sizes.select("job_id", levels.alias("levels"))
+    deepest = sizes.agg(F.coalesce(F.max("levels"), F.lit(0))).first()[0]
+    start = {"cell": F.lit(0).cast("long"), "home": F.lit(True), "angle": F.lit(0.0), "child": F.lit(0).cast("long")}
+    if deepest == 0:
+        return base.withColumns(start)
+    rows = materialise(base.join(sizes, "job_id").withColumns(start))
+    for level in range(deepest):
+        going = rows.filter(F.col("levels") > level)
+        here = going.filter("home")
+        counts = here.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        share = F.pmod(F.xxhash64("pos", "job_id", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = here.join(counts, "cell").filter(share * F.col("n") < SAMPLE).select("cell", "pos", "vec")
+        centres = materialise(sample.groupBy("cell").applyInPandas(_fitted, "cell long, child long, centre array<double>"))
+        homes = materialise(_with_centres(here, centres, _to_nearest))
+        radii = homes.groupBy("cell", "child").agg(F.max("angle").alias("radius"))
+        guests = _with_centres(homes.unionByName(going.filter("not home")), centres.join(radii, ["cell", "child"]), _to_others(reach))
+        down = homes.unionByName(guests).withColumn("cell", F.col("cell") * FAN + F.col("child"))
+        rows = materialise(rows.filter(F.col("levels") <= level).unionByName(down))
+    return rows.drop("levels")
+
+
+def units(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows by unit (job_id, cell, chunk, part): a chunk of a cell's own rows, and a part of its guests. Rows of the chunks after it are guests too."""
+    rows = rows.drop("child")
+    cells = rows.groupBy("job_id", "cell").agg(
+        F.ceil(F.count_if("home") / F.lit(block_rows)).alias("chunks"),
+        F.ceil(F.count(F.lit(1)) / F.lit(GUEST_BLOCKS * block_rows)).alias("parts")).filter("chunks > 0")
+    dealt = rows.join(cells, ["job_id", "cell"])
+    own, last = F.pmod(F.xxhash64("pos"), "chunks"), F.col("chunks") - 1
+    dealt = dealt.withColumn("own", F.when(F.col("home"), own).otherwise(F.col("chunks")))
+    met = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.least("own", last))))
+    home = F.col("chunk") == F.col("own")
+    part = F.pmod(F.xxhash64("pos", F.lit(1)), "parts")
+    whole = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    return met.withColumn("home", home).withColumn("part", F.explode(F.when(F.col("home"), whole).otherwise(F.array(part)))).drop("own", "chunks", "parts")
 
 
 # Search bounds and defaults.

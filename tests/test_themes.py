@@ -181,3 +181,35 @@ def test_query_bounds(spark, rows):
     asked = spark.createDataFrame([("a", 0), ("b", None), ("c", 500), ("x" * 10001, 5)], "query string, limit int")
     got = rows(similarity.query_bounds(asked), "limit", "accepted")
     assert got == [(1, True), (10, True), (100, True), (5, False)] or sorted(got) == sorted([(1, True), (10, True), (100, True), (5, False)])
+
+
+def test_clustered_vectors_are_mostly_not_compared(spark):
+    """A job of 60 clusters, most of it copies and near copies, and a small job: all pairs are found, few are looked at."""
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(60, 32))
+    near = [centres[i % 60] + draw.normal(size=32) * 0.2 for i in range(2400)]
+    data = [("big", i, v.tolist()) for i, v in enumerate(near)] + [("big", 2400 + i, near[7].tolist()) for i in range(50)]
+    data += [("small", i, v.tolist()) for i, v in enumerate(near[:40])]
+    df = spark.createDataFrame(data, "job_id string, pos long, vec array<double>")
+    base, _ = similarity.representatives(df)
+    met = similarity.units(similarity.placed(base, 0.8, 64), 64).groupBy("job_id", "cell", "chunk", "part").agg(
+        F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    compared = met.agg(F.sum(F.col("h") * F.col("g") + F.when(F.col("part") == 0, F.col("h") * F.col("h") / 2).otherwise(0))).first()[0]
+    assert compared < 0.1 * 2400**2 / 2
+    got = {(r.job_id, r.a, r.b) for r in similarity.similar_pairs(df, 0.8, block_rows=64).collect()}
+    unit = np.array(near) / np.linalg.norm(near, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    want = {("big", int(a), int(b)) for a, b in np.argwhere(np.triu(sims >= 0.8, 1))} | {("big", 7, 2400 + i) for i in range(50)}
+    want |= {("small", int(a), int(b)) for a, b in np.argwhere(np.triu(sims[:40, :40] >= 0.8, 1))}
+    assert got == want
+
+
+def test_vectors_without_clusters_are_joined_whole(spark):
+    draw = np.random.default_rng(9)
+    data = [("j", i, draw.normal(size=6).tolist()) for i in range(500)]
+    df = spark.createDataFrame(data, "job_id string, pos long, vec array<double>")
+    vec = np.array([d[2] for d in data])
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    for threshold, block in ((0.7, 8), (0.2, 16), (0.95, 4)):
+        got = {(r.a, r.b) for r in similarity.similar_pairs(df, threshold, block_rows=block).collect()}
+        assert got == {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T >= threshold, 1))}
