@@ -1,5 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
+Before that, edges are dealt by ranges of their nodes and every task replaces its edges by a forest: each node linked to the smallest
+it is connected to there. What lies between neighbouring ids, chains above all, is done after that, and no task emits more edges than nodes.
+
 Each round is two aggregations (map-side combined minima) and two equi joins, so a hub with very
 many neighbours is never gathered in one place. Every round is written to the shared checkpoint
 folder, which keeps the plan short and lets a lost executor resume from files.
@@ -7,12 +10,58 @@ folder, which keeps the plan short and lets a lost executor resume from files.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.runtime import materialise
 
 
+FOREST_EDGES = 1 << 20  # edges that a task holds at once
+
+log = logging.getLogger(__name__)
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges that is not the smallest of its component there, and that smallest node."""
+    nodes, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for a, b in zip(codes[:len(u)].tolist(), codes[len(u):].tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a < b:
+            parent[b] = a
+        elif b < a:
+            parent[a] = b
+    for i, p in enumerate(parent):  # a parent is smaller than its child, so it is done before
+        parent[i] = parent[p]
+    root = np.array(parent, dtype=np.int64)
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forest(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for job, own in pd.concat(parts).groupby("job_id", sort=False):
+            node, root = _roots(own["u"].to_numpy(), own["v"].to_numpy())
+            yield pd.DataFrame({"job_id": [job] * len(node), "u": node, "v": root})
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= FOREST_EDGES:
+            yield from forest(held)
+            held = []
+    if held:
+        yield from forest(held)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.select("job_id", "u", "v").unionByName(
@@ -32,16 +81,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(job_id, pos, component) for ``nodes(job_id, pos)``; a component is named by its smallest member."""
+    """(job_id, pos, component) for ``nodes(job_id, pos)``; a component is named by its smallest member. A node without a job is alone."""
     current = materialise(
-        edges.filter("a <> b")
+        edges.filter("a <> b and job_id is not null")
         .select("job_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    current = materialise(current.repartitionByRange("job_id", "u").mapInPandas(_forests, current.schema))
+    seen, rounds = None, 0
     while True:
         mark = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("job_id", "u", "v"))).first()
+        log.info("edges before round %d: %d", rounds, mark[0])
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
+        seen, rounds = mark, rounds + 1
         contracted = _small_star(_large_star(current).distinct())
         current = materialise(contracted.filter("u <> v").distinct())
     labels = current.groupBy("job_id", F.col("u").alias("pos")).agg(F.min("v").alias("component"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import prefix_sum, running_max, with_position
@@ -213,3 +214,25 @@ def test_vectors_without_clusters_are_joined_whole(spark):
     for threshold, block in ((0.7, 8), (0.2, 16), (0.95, 4)):
         got = {(r.a, r.b) for r in similarity.similar_pairs(df, threshold, block_rows=block).collect()}
         assert got == {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T >= threshold, 1))}
+
+
+def test_long_chains_take_few_rounds(spark, caplog):
+    """A chain in order of ids shrinks to a link per task before the first round; one in random order still ends."""
+    for seed, most in ((None, 4), (5, 12)):
+        order = np.arange(100_000)
+        if seed:
+            np.random.default_rng(seed).shuffle(order)
+        edges = spark.createDataFrame(pd.DataFrame({"job_id": "j", "a": order[:-1], "b": order[1:]}), "job_id string, a long, b long")
+        caplog.clear()
+        with caplog.at_level("INFO", logger="citeloom.operators.graph"):
+            got = graph.connected_components(edges.select("job_id", F.col("a").alias("pos")), edges)
+            assert got.agg(F.min("component"), F.max("component"), F.count("*")).first() == (0, 0, 99_999)
+        assert len(caplog.records) <= most + 1
+
+
+def test_components_of_null_jobs_and_forests_in_parts(spark, monkeypatch):
+    edges = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("x", 3, 2), ("x", 9, 9), ("x", 5, 4)], "job_id string, a long, b long")
+    nodes = spark.createDataFrame([("x", i) for i in (2, 3, 4, 5, 9)], "job_id string, pos long")
+    assert {(r.pos, r.component) for r in graph.connected_components(nodes, edges).collect()} == {(2, 2), (3, 2), (4, 4), (5, 4), (9, 9)}
+    node, root = graph._roots(np.array([5, 9, 7, 3]), np.array([3, 7, 5, 1]))
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {3: 1, 5: 1, 7: 1, 9: 1}
