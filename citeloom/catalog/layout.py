@@ -106,11 +106,9 @@ def placed_texts(t):
     return docs.join(nations, "k").select("doc_id", F.concat("text", F.lit(" Seen in "), "n_name", F.lit(".")).alias("text"))
 
 
-def place_names(t) -> list[str]:
-    """The location term list: a handful of nation names, checked to be a short list."""
-    names = [r["n_name"] for r in t.raw("nation").select("n_name").limit(pii.MAX_TERMS + 1).collect()]
-    pii.term_pattern(names)
-    return names
+def place_terms(t):
+    """The term table: nation names."""
+    return t.raw("nation").select(F.lit("LOCATION").alias("kind"), F.col("n_name").alias("term"))
 
 
 @query("scrub_pii", "placed_texts", sql=f"""
@@ -120,14 +118,17 @@ select doc_id, md5(regexp_replace(text, {PLACES}, '[LOCATION]', 'g')) as clean,
   concat_ws('|', case when mail then 'EMAIL_ADDRESS' end, case when phone then 'PHONE_NUMBER' end,
             case when regexp_matches(text, {PLACES}) then 'LOCATION' end) as found from one""")
 def _(t):
-    clean, found = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=place_names(t))
-    return placed_texts(t).select("doc_id", F.md5(clean).alias("clean"), listed(found).alias("found"))
+    held = pii.with_terms(placed_texts(t), ["doc_id"], F.col("text"), place_terms(t), places="LOCATION")
+    clean, found = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=F.col("places"))
+    return held.select("doc_id", F.md5(clean).alias("clean"), listed(found).alias("found"))
 
 
 @query("tag_entities", "placed_texts", sql=r"""
 select doc_id, array_to_string(list_distinct(regexp_extract_all(lower(text), '\bnation_\d+\b')), '|') as entities from placed_texts""")
 def _(t):
-    return placed_texts(t).select("doc_id", listed(pii.entities(F.col("text"), place_names(t))).alias("entities"))
+    names = place_terms(t).withColumn("term", F.lower(F.trim("term")))
+    held = pii.with_terms(placed_texts(t), ["doc_id"], F.lower("text"), names, names="LOCATION")
+    return held.select("doc_id", listed(pii.entities(F.col("text"), F.col("names"))).alias("entities"))
 
 
 # blocks, headings, title, authors --------------------------------------------------------------------

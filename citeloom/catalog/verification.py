@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citeloom.catalog.layout import EMAIL, PHONE, PLACES, contents, listed, place_names, placed_texts
+from citeloom.catalog.layout import EMAIL, PHONE, PLACES, contents, listed, place_terms, placed_texts
 from citeloom.catalog.registry import query
 from citeloom.catalog.stand_ins import CTES
 from citeloom.operators import evals, gates, grounding
@@ -406,7 +406,7 @@ def _(t):
 select doc_id::varchar as theme_id, md5(regexp_replace(regexp_replace({mail('text')}, '{PHONE}', '[PHONE]', 'g'), {PLACES}, '[LOCATION]', 'g')) as content from placed_texts""")
 def _(t):
     sections = placed_texts(t).select(F.col("doc_id").cast("string").alias("theme_id"), F.col("text").alias("content"))
-    return gates.scrub_sections(sections, locations=place_names(t))[0].withColumn("content", F.md5("content"))
+    return gates.scrub_sections(sections, terms=place_terms(t))[0].withColumn("content", F.md5("content"))
 
 
 @query("scrub_title_abstract_audit", "placed_texts", sql=f"""
@@ -417,6 +417,6 @@ select 'aggregation_reduce' as stage, key, entity_type, count(*) as n from (
   union all select 'title', 'PHONE_NUMBER' from cleaned where regexp_matches(title, '{PHONE}') union all select 'abstract', 'PHONE_NUMBER' from cleaned where regexp_matches(abstract, '{PHONE}')
   union all select 'title', 'LOCATION' from cleaned where regexp_matches(title, {PLACES}) union all select 'abstract', 'LOCATION' from cleaned where regexp_matches(abstract, {PLACES})) group by all""")
 def _(t):
-    headed = placed_texts(t).select(F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"))
-    audit = gates.scrub_title_abstract(headed, locations=place_names(t))[1]
+    headed = placed_texts(t).select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"))
+    audit = gates.scrub_title_abstract(headed, terms=place_terms(t), keys=["doc_id"])[1]
     return audit.groupBy("stage", "key", "entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -118,28 +118,36 @@ def _audit(found: DataFrame, stage: str, key: Column, types: str) -> DataFrame:
                         F.explode(F.array_distinct(types)).alias("entity_type"))
 
 
-def scrub_reviews(reviews: DataFrame, *, locations: Sequence[str] = (), persons: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Redact synthesis and consensus only; audit rows say which type was found where, never the value."""
-    terms = {"locations": locations, "persons": persons}
-    review, in_review = pii.scrub(F.col("review"), pii.OUTPUT_SCOPE, **terms)
-    consensus, in_consensus = pii.scrub_list(F.col("consensus"), pii.OUTPUT_SCOPE, **terms)
-    found = reviews.withColumn("__types", F.concat(in_review, in_consensus)).withColumn("review", review).withColumn(
-        "consensus", consensus)
+def _with_terms(df: DataFrame, keys: Sequence[str], text: Column, terms: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the listed places and people that its texts may hold, and these as arguments of a redaction."""
+    if terms is None:
+        return df, {}
+    held = pii.with_terms(df, keys, text, terms, __locations="LOCATION", __persons="PERSON")
+    return held, {"locations": F.col("__locations"), "persons": F.col("__persons")}
+
+
+def scrub_reviews(reviews: DataFrame, *, terms: DataFrame | None = None, keys: Sequence[str] = ("theme_id",)) -> tuple[DataFrame, DataFrame]:
+    """Redact synthesis and consensus only; audit rows say which type was found where, never the value. ``terms(kind, term)``."""
+    held, lists = _with_terms(reviews, keys, F.array_append(F.coalesce("consensus", F.array().cast("array<string>")), F.col("review")), terms)
+    review, in_review = pii.scrub(F.col("review"), pii.OUTPUT_SCOPE, **lists)
+    consensus, in_consensus = pii.scrub_list(F.col("consensus"), pii.OUTPUT_SCOPE, **lists)
+    found = held.withColumns({"__types": F.concat(in_review, in_consensus), "review": review, "consensus": consensus}).drop("__locations", "__persons")
     return found.drop("__types"), _audit(found, "theme_review", F.col("theme_id"), "__types")
 
 
-def scrub_sections(sections: DataFrame, *, locations: Sequence[str] = (), persons: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Redact section content, after citations were resolved."""
-    content, types = pii.scrub(F.col("content"), pii.OUTPUT_SCOPE, locations=locations, persons=persons)
-    found = sections.withColumn("__types", types).withColumn("content", content)
+def scrub_sections(sections: DataFrame, *, terms: DataFrame | None = None, keys: Sequence[str] = ("theme_id",)) -> tuple[DataFrame, DataFrame]:
+    """Redact section content, after citations were resolved. ``terms(kind, term)``."""
+    held, lists = _with_terms(sections, keys, F.col("content"), terms)
+    content, types = pii.scrub(F.col("content"), pii.OUTPUT_SCOPE, **lists)
+    found = held.withColumns({"__types": types, "content": content}).drop("__locations", "__persons")
     return found.drop("__types"), _audit(found, "aggregation", F.col("theme_id"), "__types")
 
 
-def scrub_title_abstract(reviews: DataFrame, *, locations: Sequence[str] = (), persons: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Redact title and abstract of the assembled review; the audit key is the field."""
-    audits, cleaned = [], reviews
-    for field in ("title", "abstract"):
-        text, types = pii.scrub(F.col(field), pii.OUTPUT_SCOPE, locations=locations, persons=persons)
-        audits.append(_audit(reviews.withColumn("__types", types), "aggregation_reduce", F.lit(field), "__types"))
-        cleaned = cleaned.withColumn(field, text)
-    return cleaned, audits[0].unionByName(audits[1])
+def scrub_title_abstract(reviews: DataFrame, *, terms: DataFrame | None = None, keys: Sequence[str] = ("job_id",)) -> tuple[DataFrame, DataFrame]:
+    """Redact title and abstract of the assembled review; the audit key is the field. ``terms(kind, term)``."""
+    held, lists = _with_terms(reviews, keys, F.array("title", "abstract"), terms)
+    title, in_title = pii.scrub(F.col("title"), pii.OUTPUT_SCOPE, **lists)
+    abstract, in_abstract = pii.scrub(F.col("abstract"), pii.OUTPUT_SCOPE, **lists)
+    found = held.withColumns({"__title": in_title, "__abstract": in_abstract, "title": title, "abstract": abstract})
+    audit = _audit(found, "aggregation_reduce", F.lit("title"), "__title").unionByName(_audit(found, "aggregation_reduce", F.lit("abstract"), "__abstract"))
+    return found.drop("__title", "__abstract", "__locations", "__persons"), audit

@@ -7,7 +7,7 @@ computing it again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ class Ingested:
     contents: DataFrame
 
 
-def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, locations: Sequence[str] = (),
+def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, terms: DataFrame | None = None,
            with_vec: Callable[[DataFrame], DataFrame] | None = None, minimum: float = layout.MIN_CHARS_PER_PAGE,
            threshold: int = chunking.TOKEN_THRESHOLD) -> Ingested:
     """Layout to admitted papers, redacted paragraphs and whole or chunked annotated texts.
@@ -57,8 +57,11 @@ def ingest(spans: DataFrame, words: DataFrame, page_counts: DataFrame, *, locati
 
     kept = of(primary, "primary").unionByName(of(fallback, "fallback"))
     papers = chosen.join(layout.paper_header(kept), "paper_id", "left")
-    clean, _types = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=locations)
-    paragraphs = kept.withColumn("text", clean).drop("sets_title", "may_be_authors")
+    kept = kept.drop("sets_title", "may_be_authors")
+    if terms is not None:
+        kept = pii.with_terms(kept, ["paper_id", "page", "idx"], F.col("text"), terms, __locations="LOCATION")
+    clean, _types = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=() if terms is None else F.col("__locations"))
+    paragraphs = kept.withColumn("text", clean).drop("__locations")
     placed = chunking.chunk_large(paragraphs, threshold, with_vec)
     contents = chunking.to_markdown(placed, keys=("paper_id", "chunk"))
     return Ingested(papers, rejected, paragraphs, contents)
@@ -101,12 +104,11 @@ class Reviewed:
 
 
 def review_themes(reviews: DataFrame, batch_themes: DataFrame, key_claims: DataFrame, batch_claims: DataFrame, claims: DataFrame,
-                  labels: DataFrame, pair_scores: DataFrame, sentence_labels: DataFrame, *,
-                  locations: Sequence[str] = (), persons: Sequence[str] = ()) -> Reviewed:
+                  labels: DataFrame, pair_scores: DataFrame, sentence_labels: DataFrame, *, terms: DataFrame | None = None) -> Reviewed:
     """Reviewer output to verified theme reviews: names, claim ids, redaction, verification, grounding."""
     named = themes.match_theme_name(reviews.select("batch", "review_no", "theme_name"), batch_themes)
     placed = reviews.join(named.select("batch", "review_no", "theme_id", "label"), ["batch", "review_no"])
-    clean, audit = gates.scrub_reviews(placed, locations=locations, persons=persons)
+    clean, audit = gates.scrub_reviews(placed, terms=terms, keys=("batch", "review_no"))
     verified = grounding.verify_sections(clean, labels, claims)
     kept, invalid = grounding.valid_claims(key_claims, batch_claims)
     verdicts = grounding.grounding_verdict(pair_scores, ["theme_id", "sentence_pos", "sentence"])
@@ -123,14 +125,14 @@ class Aggregated:
 
 
 def aggregate(sections: DataFrame, section_citations: DataFrame, claims: DataFrame, papers: DataFrame, *,
-              locations: Sequence[str] = (), persons: Sequence[str] = ()) -> Aggregated:
+              terms: DataFrame | None = None) -> Aggregated:
     """Merged, integrity-checked, resolved and redacted review sections with their references."""
     merged = materialise(citations.merge_citations(section_citations))
     orphans = citations.orphan_refs(sections, merged)
     stripped, valid = citations.strip_invalid_citations(sections, merged, claims)
     valid = materialise(valid)
     resolved = citations.resolve_citations(stripped, valid, claims)
-    clean, audit = gates.scrub_sections(resolved, locations=locations, persons=persons)
+    clean, audit = gates.scrub_sections(resolved, terms=terms, keys=("job_id", "review_pos"))
     with_ids = citations.collect_claim_ids(clean, valid)
     return Aggregated(with_ids, citations.position_lookup(valid, claims, papers),
                       citations.build_references(valid, claims, papers), orphans, audit)

@@ -186,3 +186,28 @@ def test_large_papers_are_chunked_by_the_cheapest_tier(spark, rows):
     got = rows(chunking.chunk_large(df, 20, with_vec), "paper_id", "index", "chunk")
     assert got == [(1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 1), (2, 4, 1), (3, 1, 0), (3, 2, 0), (3, 3, 1)]
     assert rows(chunking.chunk_large(df, 20).filter("paper_id = 3"), "chunk") == [(0,)] * 3
+
+
+def test_terms_come_from_a_table(spark):
+    """Each text meets the few terms that its words may begin; the longest whole term wins, wherever it stands."""
+    listed = [("LOCATION", "New York"), ("LOCATION", "New York City"), ("LOCATION", "York"), ("LOCATION", "a.b*c"), ("PERSON", "O'Neil"), ("PERSON", "New"), ("LOCATION", r"\\E(x"), ("OTHER", "in"),
+              ("LOCATION", "--"), ("LOCATION", "New York")]
+    terms = spark.createDataFrame(listed, "kind string, term string")
+    texts = [(1, "From New York City to York, New Yorker."), (2, "a.b*c aXbYc O'Neil in"), (3, None), (4, ""), (5, "nothing"), (5, "York"), (None, "York and New.")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    held = pii.with_terms(df, ["id"], F.col("text"), terms, places="LOCATION", people="PERSON")
+    clean, found = pii.scrub(F.col("text"), pii.OUTPUT_SCOPE, locations=F.col("places"), persons=F.col("people"))
+    got = {(r.id, r.text): (r.clean, r.found) for r in held.select("id", "text", clean.alias("clean"), found.alias("found")).collect()}
+    assert got == {
+        (1, texts[0][1]): ("From [LOCATION] to [LOCATION], [PERSON] Yorker.", ["LOCATION", "PERSON"]), (2, texts[1][1]): ("[LOCATION] aXbYc [PERSON] in", ["LOCATION", "PERSON"]),
+        (3, None): (None, []), (4, ""): ("", []), (5, "nothing"): ("nothing", []), (5, "York"): ("[LOCATION]", ["LOCATION"]), (None, "York and New."): ("[LOCATION] and [PERSON].", ["LOCATION", "PERSON"])}
+
+
+def test_a_hundred_thousand_terms(spark):
+    terms = spark.range(100_000).select(F.lit("LOCATION").alias("kind"), F.concat(F.lit("Place "), F.col("id").cast("string")).alias("term"))
+    terms = terms.unionByName(spark.range(100_000).select(F.lit("LOCATION").alias("kind"), F.concat(F.lit("T"), F.col("id").cast("string"), F.lit("x town")).alias("term")))
+    df = spark.range(200).select("id", F.concat(F.lit("From T"), (F.col("id") * 400).cast("string"), F.lit("x town to T0x village, not Place x.")).alias("text"))
+    held = pii.with_terms(df, ["id"], F.col("text"), terms, places="LOCATION")
+    clean, _ = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=F.col("places"))
+    assert {r[0] for r in held.select(clean).collect()} == {"From [LOCATION] to T0x village, not Place x."}
+    assert held.agg(F.max(F.size("places"))).first()[0] <= 2
