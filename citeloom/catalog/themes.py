@@ -367,7 +367,7 @@ select query_id, pos, round(score, 9) as score, rank from (
   from vectors v, (select pos, vec from vectors where pos in (3, 5, 8, 13)) q
   where list_cosine_similarity(v.vec, q.vec) >= 0.1) where rank <= 20""")
 def _(t):
-    asked = vectors_of(t, 3, 5, 8, 13)
+    asked = t.vectors.filter(F.col("pos").isin(3, 5, 8, 13)).select(F.col("pos").alias("query_id"), "vec")
     found = similarity.search_many(t.vectors, asked, 20, 0.1)
     return found.select("query_id", "pos", F.round("score", 9).alias("score"), "rank")
 

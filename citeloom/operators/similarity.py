@@ -10,8 +10,6 @@ Copies are joined once through a representative and reported as a star.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -246,43 +244,49 @@ def search(corpus: DataFrame, query_vec: list[float], k: int = DEFAULT_LIMIT, mi
     return best.filter(F.col("score") >= min_score)
 
 
-QUERY_SLICE = 1024
+CORPUS_BLOCK = 8192
+QUERY_BLOCK = 1024
+
+
+def _directions(vecs: pd.Series) -> np.ndarray:
+    """Vectors scaled to length one; zero vectors stay zero."""
+    matrix = np.stack(vecs.to_numpy())
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-def search_many(corpus: DataFrame, query_vecs: dict[int, list[float]], k: int = DEFAULT_LIMIT,
-                min_score: float = MIN_SCORE) -> DataFrame:
-    """Top-k of any number of queries in one pass over the corpus.
+def search_many(corpus: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, min_score: float = MIN_SCORE) -> DataFrame:
+    """Top-k of every row of ``queries(query_id, vec)`` over the corpus: its columns without ``vec``, with query_id, score and rank.
 
-    Queries travel with the task and are scored by matrix product, a slice at a time; every batch of rows hands on its
-    own k best of each query, and those are ranked together.
+    Blocks of queries meet blocks of the corpus as matrix products in tasks of bounded size; each hands on its ``k`` best of a query, which
+    are cut again before they are shuffled and ranked together. Rows without a vector take no part; query ids are unique.
     """
-    ids = np.array(list(query_vecs))
-    matrix = np.array([query_vecs[i] for i in ids], dtype="float64")
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
     kept = [c for c in corpus.columns if c != "vec"]
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType()), *[corpus.schema[c] for c in kept]])
-
-    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if rows.empty:
-                continue
-            vectors, pos, shown = np.stack(rows["vec"].to_numpy()), rows["pos"].to_numpy(), rows[kept]
-            size = np.linalg.norm(vectors, axis=1, keepdims=True)
-            unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
-            for at in range(0, len(ids), QUERY_SLICE):
-                sims = unit @ matrix[at:at + QUERY_SLICE].T
-                for j, own in enumerate(sims.T, at):
-                    near = np.flatnonzero(own >= min_score)
-                    near = near[np.lexsort((pos[near], -own[near]))[:k]]
-                    found = shown.iloc[near].copy()
-                    found.insert(0, "query_id", int(ids[j]))
-                    found.insert(1, "score", own[near])
-                    yield found
-
-    flat = corpus.mapInPandas(best_of, schema)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType()), *[corpus.schema[c] for c in kept]])
+    rows, asked = corpus.filter("vec is not null"), queries.filter("vec is not null").select("query_id", "vec")
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((rows, CORPUS_BLOCK), (asked, QUERY_BLOCK)))
+
+    def spread(df: DataFrame, key: str, mine: str, of: int, other: str, others: int) -> DataFrame:
+        dealt = df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(of)))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("__c", "__q")
+
+    def best_of(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame(columns=[f.name for f in schema])
+        sims, pos = _directions(mine["vec"]) @ _directions(theirs["vec"]).T, mine["pos"].to_numpy()
+        found = []
+        for j, own in enumerate(sims.T):
+            near = np.flatnonzero(own >= min_score)
+            near = near[np.lexsort((pos[near], -own[near]))[:k]]
+            best = mine[kept].iloc[near].copy()
+            best.insert(0, "query_id", theirs["query_id"].iloc[j])
+            best.insert(1, "score", own[near])
+            found.append(best)
+        return pd.concat(found)
+
+    left, right = spread(rows, "pos", "__c", blocks, "__q", parts), spread(asked, "query_id", "__q", parts, "__c", blocks)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    return flat.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return left.cogroup(right).applyInPandas(best_of, schema).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def query_bounds(queries: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Null, late, repeated and hot-key rows, and inputs larger than a block."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from citeloom.operators import chunking, citations, events, messages, similarity, themes, views
@@ -82,12 +83,25 @@ def test_copies_and_small_blocks_give_the_groups_of_all_pairs(spark):
 
 
 def test_batch_search_with_more_queries_than_a_slice(spark):
-    corpus = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "pos long, vec array<double>")
-    asked = {q: [float(q % 11), 1.0] for q in range(1500)}
+    corpus = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)] + [(99, None)], "pos long, vec array<double>")
+    asked = spark.createDataFrame([(q, [float(q % 11), 1.0]) for q in range(1500)] + [(1500, None)], "query_id long, vec array<double>")
     got = similarity.search_many(corpus, asked, 2, 0.1)
+    assert similarity.search_many(corpus, asked.limit(0), 2, 0.1).count() == similarity.search_many(corpus.limit(0), asked, 2, 0.1).count() == 0
     assert got.count() == 3000 and [r.pos for r in got.filter("query_id = 0").orderBy("rank").collect()] == [0, 7]
 
 
+def test_batch_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CORPUS_BLOCK", 60)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
+    draw = np.random.default_rng(1)
+    own, other = draw.normal(size=(200, 5)), draw.normal(size=(30, 5))
+    corpus = spark.createDataFrame([(i, f"t{i}", v.tolist()) for i, v in enumerate(own)], "pos long, title string, vec array<double>")
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(other)], "query_id string, vec array<double>")
+    sims = (other / np.linalg.norm(other, axis=1, keepdims=True)) @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T
+    want = {(f"q{i}", r + 1, int(j), f"t{j}") for i, row in enumerate(sims) for r, j in enumerate(np.lexsort((np.arange(200), -row))[:4]) if row[j] >= 0.5}
+    assert {(r.query_id, r["rank"], r.pos, r.title) for r in similarity.search_many(corpus, asked, 4, 0.5).collect()} == want
+
+
 def test_reader_papers_by_job(spark):
     cites = spark.createDataFrame([("a", 1, "c", "p", "", 1, 1), ("b", 1, "c", "p", "", 1, 1)], "job_id string, ref_number long, claim_id string, paper_id string, paper_title string, page int, paragraph int")
     papers = spark.createDataFrame([("a", "p", "A", None, ["x"]), ("b", "p", "B", None, ["y"])], "job_id string, paper_id string, title string, filename string, authors array<string>")

@@ -174,7 +174,7 @@ def test_order_helpers_across_block_borders(spark):
 def test_search_threshold_and_zero_vectors(spark, rows):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])], "pos long, vec array<double>")
     assert rows(similarity.search(df, [2.0, 0.0], 3, 0.3), "pos") == [(0,), (2,)]
-    many = similarity.search_many(df, {5: [2.0, 0.0], 6: [0.0, 0.0]}, 2, 0.3)
+    many = similarity.search_many(df, spark.createDataFrame([(5, [2.0, 0.0]), (6, [0.0, 0.0])], "query_id long, vec array<double>"), 2, 0.3)
     assert rows(many, "query_id", "pos", "rank") == [(5, 0, 1), (5, 2, 2)]
 
 
