@@ -56,12 +56,7 @@ def write_uploads(t):
         (job - F.when(job % 8 == 7, 1).otherwise(0)).cast("string").alias("job_id"),
         F.concat(F.when(doc % 7 == 1, "_").when(doc % 7 == 2, ".").otherwise(""), doc.cast("string"), F.lit(".pdf")).alias("name"),
         F.when(doc % 5 == 0, "").when(doc % 3 == 0, "other").otherwise(F.concat(F.lit("%PDF-"), doc.cast("string"))).alias("body"))
-    folder = t.spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(t.spark._jsc.hadoopConfiguration())
-    for r in files.toLocalIterator():
-        stream = fs.create(t.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.job_id}/{r.name}"))
-        stream.write(bytearray(r.body.encode()))
-        stream.close()
+    admission.write_files(files, root)
     return root
 
 

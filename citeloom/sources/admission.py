@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,40 +15,84 @@ MAX_FILES = 50
 MAX_BYTES = 50 * 1024 * 1024
 MAGIC = "%PDF-"
 
+LISTED = "job_id string, path string, length long"
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, path, length, magic) of all files below ``path/<job_id>/``, empty and hidden ones included.
+    """(job_id, path, length, magic) of all files below ``path/<job_id>/``, at any depth, empty and hidden ones included.
 
-    Paths and lengths come from the file system, since Spark's readers leave out names that begin with '_' or '.', and
-    files of no bytes. Tasks open the other files within the limit for their first bytes, the driver the hidden ones.
+    One task lists the folders of the jobs, tasks list a folder each, and the files found are dealt anew, to be opened for their first
+    bytes: neither many jobs nor a job of very many files falls to one task, and the driver lists and opens nothing. Files that lie
+    in ``path`` itself belong to a job named like it; files above the limit are not opened.
     """
-    rows = [(str(job), str(name), int(length), magic) for job, name, length, magic in _listed(spark, path)]
-    listed = spark.createDataFrame(rows, "job_id string, path string, length long, hidden_magic string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    heads = files.filter(F.col("length") <= MAX_BYTES).select(
-        "path", F.decode(F.substring("content", 1, len(MAGIC)), "ISO-8859-1").alias("magic"))
-    return listed.join(heads, "path", "left").select("job_id", "path", "length", F.coalesce("magic", "hidden_magic").alias("magic"))
-
-
-def _listed(spark: SparkSession, path: str) -> Iterator[tuple[str, str, int, str | None]]:
-    """Job, path and length of each file, and the first bytes of hidden ones."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    for folder in fs.globStatus(root) or []:
-        base, files = folder.getPath(), fs.listFiles(folder.getPath(), True)
-        while files.hasNext():
-            file = files.next()
-            at, length = file.getPath(), file.getLen()
-            full, magic = at.toString(), None
-            inner = full[len(base.toString()):].split("/")
-            if any(part[:1] in ("_", ".") for part in inner) and 0 < length <= MAX_BYTES:
-                stream = fs.open(at)
-                try:
-                    magic = bytes(x for _ in range(min(length, len(MAGIC))) if (x := stream.read()) >= 0).decode("ISO-8859-1")
-                finally:
-                    stream.close()
-            yield full.split("/")[-2], full, length, magic
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = spark.range(1, numPartitions=1).mapInPandas(_top(path), f"{LISTED}, folder boolean")
+    files = top.repartition(parts, "path").mapInPandas(_below, LISTED)
+    return files.repartition(parts, "path").mapInPandas(_heads, f"{LISTED}, magic string")
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith(("/", "file:")) else os.path.abspath(path))
+
+
+def _uri(base: str, inner: str) -> str:
+    """The path of a listed file as a URI of the same store as ``base``."""
+    scheme, mark, rest = base.partition("://")
+    return f"{scheme}://{rest.partition('/')[0]}/{inner.lstrip('/')}" if mark and scheme == "hdfs" else f"{scheme}://{inner}" if mark else inner
+
+
+def _top(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, inner = _file_system(path)
+        name = inner.rstrip("/").split("/")[-1]
+        for batch in batches:
+            if len(batch):
+                found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+                yield pd.DataFrame([(i.base_name if i.type == fs.FileType.Directory else name, _uri(path, i.path), i.size or 0, i.type == fs.FileType.Directory)
+                                    for i in found], columns=["job_id", "path", "length", "folder"])
+
+    return run
+
+
+def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files stay, a folder becomes the files in it and below, one folder at a time."""
+    columns = ["job_id", "path", "length"]
+    for batch in batches:
+        yield batch.loc[~batch["folder"].astype(bool), columns]
+        for job, path in batch.loc[batch["folder"].astype(bool), columns[:2]].itertuples(index=False):
+            (store, inner), waiting = _file_system(path), []
+            waiting.append(inner)
+            while waiting:
+                found = store.get_file_info(fs.FileSelector(waiting.pop(), allow_not_found=True))
+                waiting += [i.path for i in found if i.type == fs.FileType.Directory]
+                yield pd.DataFrame([(job, _uri(path, i.path), i.size) for i in found if i.type == fs.FileType.File], columns=columns)
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def head(path: str, length: int) -> str | None:
+        if not 0 < length <= MAX_BYTES:
+            return None
+        store, inner = _file_system(path)
+        with store.open_input_file(inner) as file:
+            return file.read(len(MAGIC)).decode("ISO-8859-1")
+
+    for batch in batches:
+        yield batch.assign(magic=[head(p, n) for p, n in zip(batch["path"], batch["length"], strict=True)])
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``files(job_id, name, body)`` as ``root/<job_id>/<name>`` in tasks; returns how many. A repeated task writes the same files again."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, inner = _file_system(root)
+        for batch in batches:
+            for job in batch["job_id"].unique():
+                store.create_dir(f"{inner}/{job}", recursive=True)
+            for job, name, body in batch[["job_id", "name", "body"]].itertuples(index=False):
+                with store.open_output_stream(f"{inner}/{job}/{name}") as file:
+                    file.write(body.encode())
+            yield pd.DataFrame({"written": [len(batch)]})
+
+    return files.mapInPandas(run, "written long").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
 
 
 def admit_files(manifest: DataFrame) -> DataFrame:

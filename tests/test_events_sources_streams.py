@@ -119,6 +119,27 @@ def test_scan_lists_empty_and_hidden_files(spark, tmp_path):
     assert {r.reason for r in admission.admit_files(admission.read_manifest(spark, str(tmp_path))).collect()} == {"Too many files: 51 exceeds limit of 50"}
 
 
+def test_files_in_sub_folders_belong_to_their_job(spark, tmp_path):
+    for name in ("j/a.pdf", "j/sub/deep/b.pdf", "k/.hidden/c.pdf", "top.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"%PDF-1")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = {(r.job_id, r.path.split(str(tmp_path))[1], r.length, r.magic) for r in admission.read_manifest(spark, root).collect()}
+        assert got == {("j", "/j/a.pdf", 6, "%PDF-"), ("j", "/j/sub/deep/b.pdf", 6, "%PDF-"), ("k", "/k/.hidden/c.pdf", 6, "%PDF-"), (tmp_path.name, "/top.pdf", 6, "%PDF-")}
+    assert admission.read_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_hundred_thousand_files(spark, tmp_path):
+    """A third of the files in one job; they are written, listed and opened in tasks."""
+    doc = F.col("id")
+    files = spark.range(100_000).select(F.when(doc % 3 == 0, "hot").otherwise((doc % 997).cast("string")).alias("job_id"), F.concat(doc.cast("string"), F.lit(".pdf")).alias("name"),
+                                        F.when(doc % 2 == 0, "%PDF-x").otherwise("no").alias("body"))
+    assert admission.write_files(files, str(tmp_path)) == 100_000
+    found = admission.read_manifest(spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.count_distinct("path"), F.count_if(F.col("magic") == "%PDF-"), F.count_if(F.col("job_id") == "hot")).first() == (100_000, 100_000, 50_000, 33_334)
+    assert found.filter(F.col("job_id") == "hot").select(F.spark_partition_id()).distinct().count() > 1
+
+
 @pytest.mark.parametrize("name", ["scan_uploads"])
 def test_scan_equals_sql(spark, name):
     connection = duckdb.connect()
