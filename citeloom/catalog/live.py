@@ -229,6 +229,17 @@ def arrivals(t, start, parts, run):
         run(folder)
 
 
+def shuffled_parts(t):
+    """Deals events into four batches by time, each out of order by up to an hour."""
+    first, last = t.raw("events").agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.unix_seconds(F.max(F.col("ts").cast("timestamp")))).first()
+
+    def part(events):
+        shifted = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3600 - first
+        return events.withColumn("part", F.least(F.lit(3), F.floor(shifted * 4 / max(1, last - first)).cast("int")))
+
+    return part
+
+
 def arriving(t, folder):
     return log_rows(t.log_of(t.spark.readStream.schema(t.raw("events").schema).parquet(folder)))
 
@@ -267,17 +278,12 @@ def _(t):
 def _(t):
     """The same sessions, although the events come in four batches, each out of order by up to an hour."""
     target, checkpoint = fresh_dir(t.spark, "sessions"), fresh_dir(t.spark, "checkpoint")
-    first, last = t.raw("events").agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.unix_seconds(F.max(F.col("ts").cast("timestamp")))).first()
-
-    def part(events):
-        shifted = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 3600 - first
-        return events.withColumn("part", F.least(F.lit(3), F.floor(shifted * 4 / max(1, last - first)).cast("int")))
 
     def run(folder):
         closed = streams.live_sessions(arriving(t, folder), "2 hours")
         closed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
 
-    arrivals(t, part, 4, run)
+    arrivals(t, shuffled_parts(t), 4, run)
     return shown_sessions(t.spark.read.schema("job_id string, accesses bigint, first timestamp, last timestamp").parquet(target))
 
 
@@ -300,18 +306,71 @@ def _(t):
     return kept[0].unionByName(kept[1]).select("event_id", "job_id", "outcome")
 
 
-@query("stream_late_scores", "log", sql="""
-with r as (select event_id as review_id, job_id, ts from log where event_type = 'stage_completed'),
-s as (select job_id, ts, seq from log where event_type = 'paper_processed'),
+def scores_sql(source, delay):
+    """Reviews with their scores of the day after, from the events of ``source``; the watermark stands ``delay`` behind."""
+    return f"""
+with r as (select event_id as review_id, job_id, ts from {source} where event_type = 'stage_completed'),
+s as (select job_id, ts, seq from {source} where event_type = 'paper_processed'),
 m as (select r.review_id, r.job_id, s.seq from r join s on s.job_id = r.job_id and s.ts >= r.ts and s.ts <= r.ts + interval 24 hour),
-mark as (select least((select max(ts) from r), (select max(ts) from s)) as w)
+mark as (select least((select max(ts) from r), (select max(ts) from s)) - interval {delay} as w)
 select review_id, job_id, cast(seq as double) as score, 'scored' as outcome from m
-union all select review_id, job_id, null, 'quarantine' from r where review_id not in (select review_id from m) and ts + interval 24 hour < (select date_trunc('milliseconds', w) from mark)""")
+union all select review_id, job_id, null, 'quarantine' from r where review_id not in (select review_id from m) and ts + interval 24 hour < (select date_trunc('milliseconds', w) from mark)"""
+
+
+def scored(events, again, delay):
+    """Reviews joined with their late scores; both are events of one log."""
+    made = events.filter("event_type = 'stage_completed'").select(F.col("event_id").alias("review_id"), "job_id", F.col("ts").alias("reviewed_at"))
+    given = again.filter("event_type = 'paper_processed'").select("job_id", F.col("ts").alias("scored_at"), F.col("seq").cast("double").alias("score"))
+    return streams.late_scores(made, given, delay, "24 hours")
+
+
+@query("stream_late_scores", "log", sql=scores_sql("log", "2 hours"))
 def _(t):
-    log = event_stream(t)
-    made = log.filter("event_type = 'stage_completed'").select(F.col("event_id").alias("review_id"), "job_id", F.col("ts").alias("reviewed_at"))
-    scored = event_stream(t).filter("event_type = 'paper_processed'").select("job_id", F.col("ts").alias("scored_at"), F.col("seq").cast("double").alias("score"))
-    return streams.run_to_table(streams.late_scores(made, scored, "0 seconds", "24 hours"), "late-scores")
+    return streams.run_to_table(scored(event_stream(t), event_stream(t), "2 hours"), "late-scores")
+
+
+@query("stream_late_scores_in_batches", "log", sql=scores_sql("log", "2 hours"))
+def _(t):
+    """The same rows, although reviews and scores come in four batches, each out of order by up to an hour."""
+    target, checkpoint = fresh_dir(t.spark, "late-scores"), fresh_dir(t.spark, "checkpoint")
+
+    def run(folder):
+        found = scored(arriving(t, folder), arriving(t, folder), "2 hours")
+        found.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+
+    arrivals(t, shuffled_parts(t), 4, run)
+    return t.spark.read.schema("review_id string, job_id string, score double, outcome string").parquet(target)
+
+
+CTES["log_by_parts"] = (("log",), """
+select p.*, part > 0 and epoch_us(ts) < (select max(epoch_us(newest)) from (select part, max(ts) as newest from (select ts, cast(event_id as bigint) % 3 as part from log) group by part) m
+  where m.part < p.part) - 86400000000 as late
+from (select *, cast(event_id as bigint) % 3 as part from log) p""")
+CTES["log_on_time"] = (("log_by_parts",), "select * from log_by_parts where late is not true")
+
+
+@query("stream_late_scores_side_table", "log_by_parts", "log_on_time", sql=f"""
+select * from ({scores_sql("log_on_time", "1 day")})
+union all select event_id, job_id, null, 'late' from log_by_parts where late and event_type in ('stage_completed', 'paper_processed')""")
+def _(t):
+    """Reviews and scores in three batches over the same days: what is over a day behind is in a table of its own, the rest is joined."""
+    paths = {name: fresh_dir(t.spark, name) for name in ("main", "side", "marks", "checkpoint")}
+    columns = None
+
+    def run(folder):
+        nonlocal columns
+        stream = arriving(t, folder)
+        columns = stream.schema
+        streams.late_to_side_table(stream, paths["main"], paths["side"], paths["marks"], paths["checkpoint"], 86_400_000_000, availableNow=True).awaitTermination()
+
+    arrivals(t, lambda events: events.withColumn("part", F.col("event_id") % 3), 3, run)
+
+    def passed():
+        return t.spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(paths["main"])
+
+    late = t.spark.read.schema(columns).parquet(paths["side"]).filter(F.col("event_type").isin("stage_completed", "paper_processed"))
+    found = streams.run_to_table(scored(passed(), passed(), "1 day"), "late-scores")
+    return found.unionByName(late.select(F.col("event_id").alias("review_id"), "job_id", F.lit(None).cast("double").alias("score"), F.lit("late").alias("outcome")))
 
 
 @query("stream_job_states", "log", sql="""

@@ -67,7 +67,8 @@ def late_scores(reviews: DataFrame, scores: DataFrame, delay: str, wait: str = "
 
     ``reviews(review_id, job_id, reviewed_at)``, ``scores(job_id, scored_at, score)``. An unmatched
     review comes out once the watermark has passed its waiting time. ``delay`` must cover how far rows arrive
-    out of order.
+    out of order; then the result does not depend on the batches. Where it may not, put ``late_to_side_table`` with the same delay
+    before: what it lets pass is never behind this join's watermark, and what it does not is kept in a table.
     """
     left = reviews.withWatermark("reviewed_at", delay)
     right = scores.withColumnRenamed("job_id", "score_job").withWatermark("scored_at", delay)
@@ -76,62 +77,85 @@ def late_scores(reviews: DataFrame, scores: DataFrame, delay: str, wait: str = "
     return joined.select("review_id", "job_id", "score", F.when(F.col("score").isNull(), "quarantine").otherwise("scored").alias("outcome"))
 
 
+# How long, by event time, a finished job is remembered, so that what comes after its end is ignored.
+FINISHED_FOR_MS = 7 * 24 * 3600 * 1000
+
+
 class JobState(StatefulProcessor):
     """State of one job: its status, each stage's status and items done, the open stage's total.
 
-    Emits the state after every batch that touched the job; a finished job ignores further events,
-    and its state is kept small (one row per stage, item ids only while the job runs). The rows of a
-    job in one batch are put in log order first; the size of a batch (BATCH_BYTES) bounds them.
+    Emits the state after every batch that touched the job while it ran. With the terminal event all of a job's state goes, but for a mark
+    that it is over; a timer takes that away once the watermark is ``finished_for_ms`` past the end, so state does not grow with finished jobs. The rows of a job in one batch
+    are put in log order and reduced by stage; the size of a batch (BATCH_BYTES) bounds them.
     """
 
-    def __init__(self, terminal: list[str] | None = None) -> None:
+    def __init__(self, terminal: list[str] | None = None, finished_for_ms: int = FINISHED_FOR_MS) -> None:
         self._terminal = {"job_completed": "completed", "job_failed": "failed", "review_quarantined": "quarantined"}
         self._ends = set(terminal or JOB_ENDS)
+        self._finished_for_ms = finished_for_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._job = handle.getValueState("job", "status string, last_seq long")
+        self._status = handle.getValueState("job", "status string")
         self._stages = handle.getMapState("stages", "stage string", "status string, total long, done long")
         self._items = handle.getMapState("items", "stage string, item string", "seen boolean")
+        self._over = handle.getValueState("over", "over boolean")
+        self._handle = handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, last = self._job.get() if self._job.exists() else ("pending", -1)
-        before = {k[0]: tuple(v) for k, v in self._stages.iterator()}
-        stages, met = dict(before), set()
-        frame = pd.concat(list(rows)).sort_values("seq")
-        for seq, kind, name, item, total in zip(*(frame[c] for c in ("seq", "event_type", "stage", "item_id", "total"))):
-            if status in self._terminal.values():
-                break
-            last, stage = int(seq), name if isinstance(name, str) else ""
-            if kind in self._ends:
-                status = self._terminal.get(kind, "completed")
-            elif kind == "job_started":
-                status = "running"
-            elif kind in ("stage_started", "stage_completed", "paper_processed"):
-                status = "running"
-                state, expected, done = stages.get(stage, ("pending", 0, 0))
-                if kind == "stage_started":
-                    state, expected = "running", 0 if pd.isna(total) else int(total)
-                elif kind == "stage_completed":
-                    state = "completed"
-                elif (stage, str(item)) not in met:
-                    # the state store is asked once per item and batch, not once per event
-                    met.add((stage, str(item)))
-                    if not self._items.containsKey((stage, str(item))):
-                        self._items.updateValue((stage, str(item)), (True,))
-                        done += 1
-                stages[stage] = (state, expected, done)
-        for stage, value in stages.items():
-            if before.get(stage) != value:
-                self._stages.updateValue((stage,), value)
-        if status in self._terminal.values():
-            self._items.clear()
-        self._job.update((status, last))
-        stages = sorted((name, *value) for name, value in stages.items())
-        finished = sum(1 for s in stages if s[1] == "completed")
+        frames = list(rows)
+        if self._over.exists():
+            return
+        frame = pd.concat(frames).sort_values("seq", kind="stable")
+        ends = frame["event_type"].isin(self._ends).to_numpy()
+        over = bool(ends.any())
+        if over:
+            frame = frame.iloc[:ends.argmax() + 1]
+        status = self._status.get()[0] if self._status.exists() else "pending"
+        stages = {k[0]: tuple(v) for k, v in self._stages.iterator()}
+        changed = self._reduce(frame, stages)
+        if over:
+            status = self._terminal.get(frame["event_type"].iloc[-1], "completed")
+        elif changed or (frame["event_type"] == "job_started").any():
+            status = "running"
+        shown = sorted((stages | changed).items())
+        finished = sum(1 for _, s in shown if s[0] == "completed")
         yield pd.DataFrame({
-            "job_id": [key[0]], "status": [status], "last_seq": [last],
-            "stages": ["|".join(f"{name}:{state}:{done}" for name, state, _total, done in stages)],
+            "job_id": [key[0]], "status": [status], "last_seq": [int(frame["seq"].iloc[-1])],
+            "stages": ["|".join(f"{name}:{state}:{done}" for name, (state, _total, done) in shown)],
             "progress": [min(1.0, finished / TOTAL_STAGES)]})
+        if over:
+            for state in (self._status, self._stages, self._items):
+                state.clear()
+            self._over.update((True,))
+            self._handle.registerTimer(int(frame["at_ms"].max()) + self._finished_for_ms)
+        else:
+            for stage, value in changed.items():
+                self._stages.updateValue((stage,), value)
+            self._status.update((status,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._over.clear()
+        return iter(())
+
+    def _reduce(self, frame: pd.DataFrame, stages: dict[str, tuple]) -> dict[str, tuple]:
+        """(status, total, items done) of each stage that the rows are about."""
+        work = frame[frame["event_type"].isin(["stage_started", "stage_completed", "paper_processed"])]
+        work = work.assign(stage=work["stage"].fillna("").astype(str), item_id=work["item_id"].astype(str))
+        is_item = work["event_type"] == "paper_processed"
+        marks = work[~is_item].drop_duplicates("stage", keep="last").set_index("stage")["event_type"]
+        totals = work[work["event_type"] == "stage_started"].drop_duplicates("stage", keep="last").set_index("stage")["total"].fillna(0)
+        # the state store is asked once for an item and batch
+        fresh = [p for p in work.loc[is_item, ["stage", "item_id"]].drop_duplicates().itertuples(index=False, name=None) if not self._items.containsKey(p)]
+        for pair in fresh:
+            self._items.updateValue(pair, (True,))
+        counts = pd.Series([stage for stage, _ in fresh], dtype=object).value_counts()
+        changed = {}
+        for stage in work["stage"].unique():
+            state, total, done = stages.get(stage, ("pending", 0, 0))
+            if stage in marks:
+                state = "running" if marks[stage] == "stage_started" else "completed"
+            changed[stage] = (state, int(totals.get(stage, total)), done + int(counts.get(stage, 0)))
+        return changed
 
     def close(self) -> None:
         pass
@@ -140,14 +164,17 @@ class JobState(StatefulProcessor):
 JOB_STATE_SCHEMA = "job_id string, status string, last_seq bigint, stages string, progress double"
 
 
-def job_states(stream: DataFrame, terminal: list[str] | None = None) -> DataFrame:
+def job_states(stream: DataFrame, terminal: list[str] | None = None, delay: str = "1 day", finished_for_ms: int = FINISHED_FOR_MS) -> DataFrame:
     """State changes of every job (append mode); the latest ``last_seq`` per job is its current state.
 
+    ``delay`` must cover how far rows arrive out of order, or ``late_to_side_table`` come before.
+
     Needs the state store that ``runtime.configure`` sets.
     """
     configure(stream.sparkSession)
-    return stream.select("job_id", "event_type", "seq", "stage", "item_id", "total").groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobState(terminal), outputStructType=JOB_STATE_SCHEMA, outputMode="Append", timeMode="None")
+    known = stream.withWatermark("ts", delay).select("job_id", "event_type", "seq", "stage", "item_id", "total", "ts", F.unix_millis("ts").alias("at_ms"))
+    return known.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobState(terminal, finished_for_ms), outputStructType=JOB_STATE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def split_late(batch: DataFrame, high_water_us: int, delay_us: int) -> tuple[DataFrame, DataFrame]:

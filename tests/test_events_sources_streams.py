@@ -230,6 +230,28 @@ def test_job_states_over_restart(spark, tmp_path):
     assert got == {"j": ("completed", "a:completed:1|b:running:0", 0.25), "k": ("running", "a:running:0", 0.0)}
 
 
+def test_state_does_not_grow_with_finished_jobs(spark, tmp_path):
+    folder, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    done = [(f"{kind}{j}", kind, j * 10 + i, f"j{j}", "a", f"i{j}" if kind == "paper_processed" else None, 1) for j in range(40)
+            for i, kind in enumerate(("stage_started", "paper_processed", "job_completed"))]
+    held = []
+
+    def once(rows, start):
+        write_part(spark, folder, rows, start=start)
+        query = streams.job_states(streams.live_events(spark, folder), delay="1 hour", finished_for_ms=3_600_000).writeStream.outputMode("append").option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(target)
+        assert query.awaitTermination(120)
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    once([*done, ("x", "stage_started", 500, "open", "a", None, 1)], 0)
+    once([("again", "paper_processed", 600, "j3", "a", "new", None), ("y", "paper_processed", 900_000, "open", "a", "i", None)], 500)
+    once([("z", "paper_processed", 901_000, "open", "a", "i2", None)], 600)
+    assert held[-1] <= 6 < held[0]
+    latest = spark.read.parquet(target).groupBy("job_id").agg(F.max_by(F.struct("status", "stages"), "last_seq").alias("s"))
+    got = {r.job_id: tuple(r.s) for r in latest.collect()}
+    assert got["j3"] == ("completed", "a:running:1") and got["open"] == ("running", "a:running:2") and len(got) == 41
+
+
 def test_written_log_streams_with_its_job_folders(spark, rows, tmp_path):
     folder = str(tmp_path / "log")
     event_log.write_events(log(spark, RUN), folder)
