@@ -12,9 +12,11 @@ from citeloom.catalog.registry import query
 from citeloom.catalog.stand_ins import CTES
 from citeloom.catalog.themes import LOW, LOWER, buckets, chunk_inputs, tagged, theme_scores
 from citeloom.catalog.verification import batch_claims, batch_key_claims, mail, reviews, runs
-from citeloom.functions.vectors import with_pair_scores
+from citeloom.functions.vectors import with_pair_scores, with_vectors
 from citeloom.operators import corpus
 from citeloom.plans import jobs
+from citeloom.runtime import fresh_dir
+from citeloom.sources import entities
 
 # ingestion: documents whose ids divide by seven have no usable spans, so their words are used ---------
 
@@ -284,3 +286,44 @@ def _(t):
     first = F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)])
     return sections(t).select("job_id", "theme_id", F.size(F.array_distinct("citation_refs")).alias("refs"),
                               F.size(F.array_intersect(low, rest)).alias("inner_refs"), F.arrays_overlap("citation_refs", first).alias("early"))
+
+
+@query("ordered_union", "claims", sql="""
+select claim_id, row_number() over (order by case job_id when 'R' then 0 when 'A' then 1 else 2 end, pos) - 1 as "at" from claims""")
+def _(t):
+    """Claims of one job after another, each in its order."""
+    frames = [t.claims.filter(F.col("job_id") == job) for job in ("R", "A")] + [t.claims.filter(~F.col("job_id").isin("R", "A"))]
+    return corpus.ordered_union([f.select("claim_id", "pos") for f in frames], "pos").select("claim_id", "at")
+
+
+# corpus search ------------------------------------------------------------------------------------------
+
+@query("corpus_search", sql=r"""
+with points as (select p_partkey::varchar as id, p_name || ': ' || p_type as text from part),
+asked as (select p_partkey as query_id, case when p_partkey % 400 = 0 then repeat(p_name, 2000) else p_name end as query,
+  least(100, greatest(1, case p_partkey % 3 when 0 then 0 when 1 then 500 else 10 end)) as lim from part where p_partkey % 50 = 0),
+words as (select 'c' as side, id, unnest(regexp_split_to_array(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\r\n]+')) as w from points
+  union all select 'q', query_id::varchar, unnest(regexp_split_to_array(trim(lower(query), ' ' || chr(9) || chr(10) || chr(13)), '[ \t\r\n]+')) from asked where length(query) <= 10000),
+slots as (select side, id, cast(('0x' || substr(md5(w), 1, 8))::ubigint % 64 as integer) as slot, count(*)::double as n from words where w <> '' group by all),
+sized as (select side, id, sqrt(sum(n * n)) as size from slots group by all),
+scored as (select q.id::bigint as query_id, c.id, sum(q.n * c.n) / any_value(a.size * b.size) as score
+  from slots q join slots c on q.side = 'q' and c.side = 'c' and c.slot = q.slot join sized a on a.side = 'q' and a.id = q.id join sized b on b.side = 'c' and b.id = c.id group by q.id, c.id),
+ranked as (select s.*, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from scored s where round(score, 9) >= 0.3)
+select query_id, round(score, 9) as score, count(*) as n, null as error from ranked join asked using (query_id) where rank <= lim group by all
+union all select query_id, null, 1, 'Query too long (' || length(query) || ' chars). Max is 10000.' from asked where length(query) > 10000""")
+def _(t):
+    """Stored themes searched by part names: how many points each query finds at each score, and the queries refused."""
+    root = fresh_dir(t.spark, "collections")
+    entities.ensure_collections(t.spark, root)
+
+    def embed(rows):
+        return with_vectors(rows, "text", length=64)
+
+    entities.upsert(t.spark, root, "paper_themes", embed(entities.theme_points(t.themes.withColumn("job_id", F.lit("j")))))
+    key = F.col("p_partkey")
+    asked = t.raw("part").filter(key % 50 == 0).select(
+        key.cast("long").alias("query_id"), F.when(key % 400 == 0, F.repeat("p_name", F.lit(2000))).otherwise(F.col("p_name")).alias("query"),
+        F.when(key % 3 == 0, 0).when(key % 3 == 1, 500).alias("limit"))
+    found, refused = jobs.search_corpus(t.spark, root, "paper_themes", asked, embed)
+    counted = found.groupBy("query_id", F.round("score", 9).alias("score")).agg(F.count(F.lit(1)).alias("n")).withColumn("error", F.lit(None).cast("string"))
+    return counted.unionByName(refused.select("query_id", F.lit(None).cast("double").alias("score"), F.lit(1).cast("long").alias("n"), "error"))

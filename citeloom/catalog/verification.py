@@ -237,6 +237,17 @@ def _(t):
     return gates.toxic_gate(heads, sections, scores)
 
 
+@query("toxic_fields", "paragraphs", sql="""
+with failed as (select d.doc_id, string_split(d.text, chr(10)) as lines from documents d join labels l using (doc_id) where l.toxic = 1)
+select doc_id as job_id, -2 as "at", 'title' as field from failed where doc_id % 3 = 0 and doc_id % 6 <> 0 and lines[1] <> ''
+union all select doc_id, -1, 'abstract' from failed where doc_id % 4 = 0 and coalesce(lines[2], '') <> ''
+union all select f.doc_id, i, 'section ' || chr(39) || case when i % 3 = 0 then i::varchar else 'L' || i end || chr(39) from failed f join paragraphs p on p.paper_id = f.doc_id
+  where i >= 2 and p.text <> '' and length(p.text) % 4 = 0""")
+def _(t):
+    heads, sections, scores, _judged = gate_inputs(t)
+    return gates.toxic_fields(heads, sections, scores)
+
+
 @query("judge_gate", "judge", sql=f"""
 select job_id, case when reason is null then 'pass' else 'quarantine' end as verdict, reason
 from (select job_id, {JUDGE_REASON} as reason from judge)""")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.functions.ordered import with_position
+
 # Rows one scroll returns at most, and the five collections.
 SCROLL_LIMIT = 200
 COLLECTIONS = ["paper_themes", "paper_claims", "theme_map", "theme_reviews", "literature_review"]
@@ -157,3 +162,9 @@ def merge_chunks_with(chunks: DataFrame, merge, schema: str, keys: tuple[str, ..
     A paper is one uploaded file of limited size. The built-in merge is ``themes.merge_chunks``.
     """
     return chunks.groupBy(*keys).applyInPandas(merge, schema)
+
+
+def ordered_union(frames: Sequence[DataFrame], order: str, out: str = "at") -> DataFrame:
+    """Rows of all frames with ``out``, their position: those of the first frame by its ``order``, then those of the second, and so on."""
+    tagged = [df.withColumn("__frame", F.lit(i)) for i, df in enumerate(frames)]
+    return with_position(reduce(DataFrame.unionByName, tagged), [], [F.col("__frame"), F.col(order)], out).drop("__frame")

@@ -241,8 +241,11 @@ def step_message(agent: Column, event_type: Column, context: Column) -> Column:
     for name in PLACEHOLDERS:
         token = F.lit("{" + name + "}")
         filled = F.replace(filled, token, F.coalesce(F.element_at(context, name), token))
-    bare = F.regexp_replace(F.trim(F.regexp_replace(template, r"\s*'?\{[a-z_]+\}'?\s*", " ")), r"\s{2,}", " ")
-    bare = F.when(F.endswith(bare, F.lit("...")), bare).otherwise(F.concat(F.regexp_replace(bare, r"\.+$", ""), F.lit("...")))
+    bare = template
+    for name in PLACEHOLDERS:
+        for shown in (f"'{{{name}}}'", f"{{{name}}}"):
+            bare = F.replace(F.replace(bare, F.lit(f" {shown} "), F.lit(" ")), F.lit(f" {shown}"), F.lit(" "))
+    bare = F.concat(F.rtrim(F.rtrim(bare), F.lit(".")), F.lit("..."))
     chosen = F.when(F.coalesce(F.size(context), F.lit(0)) > 0, filled).otherwise(bare)
     return F.coalesce(chosen, F.element_at(_lookup(EVENT_TEXTS), event_type), F.lit("Processing..."))
 
@@ -259,6 +262,7 @@ def technical_message(agent: Column, event_type: Column, p: Column) -> Column:
     return F.when(parts == "", event_type).otherwise(parts)
 
 
+# Payload fields of an event.
 PAYLOAD = ("stage string, item_id string, paper_id string, paper_count bigint, completed bigint, total bigint, message string, "
            "error string, error_type string, theme_count bigint, claim_count bigint, title string, agent_name string, "
            "technical_message string, model string, tool_name string, tool_args_preview string, result_len bigint, "
@@ -275,6 +279,7 @@ def human_message(event_type: Column, p: Column) -> Column:
     def shown(name: str) -> Column:
         return F.coalesce(p[name].cast("string"), F.lit("undefined"))
 
+    # The sentences shown.
     texts = {
         "job_started": F.concat(F.lit("Pipeline started ("), shown("paper_count"), F.lit(" papers)")),
         "stage_started": F.concat(shown("stage"), F.lit(" started")),

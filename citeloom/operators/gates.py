@@ -31,19 +31,13 @@ def topic_gate(papers: DataFrame) -> DataFrame:
 SECTION_BLOCK = 1000
 
 
-def toxic_gate(reviews: DataFrame, sections: DataFrame, scores: DataFrame, *, enabled: bool = True) -> DataFrame:
-    """(job_id, verdict, reason, score) from the combined score, naming the failing fields.
+def toxic_fields(reviews: DataFrame, sections: DataFrame, scores: DataFrame) -> DataFrame:
+    """(job_id, at, field): the failing fields of reviews whose combined text failed, in order of ``at``; empty fields are skipped.
 
-    ``reviews(job_id, title, abstract)``, ``sections(job_id, section_pos, theme_id, label,
-    content)``, ``scores(job_id, field, section_pos, score, passed)`` with field combined / title /
-    abstract / section. Fields are only looked at when the combined text failed; empty ones are
-    skipped; a review without a combined score is quarantined.
+    ``reviews(job_id, title, abstract)``, ``sections(job_id, section_pos, theme_id, label, content)``, ``scores(job_id, field, section_pos,
+    score, passed)`` with field combined / title / abstract / section.
     """
-    if not enabled:
-        return reviews.select("job_id", F.lit("pass").alias("verdict"), F.lit(None).cast("string").alias("reason"),
-                              F.lit(None).cast("double").alias("score"))
-    combined = scores.filter(F.col("field") == "combined").select("job_id", "score", "passed")
-    failed_jobs = combined.filter(~F.col("passed")).select("job_id")
+    failed_jobs = scores.filter((F.col("field") == "combined") & ~F.col("passed")).select("job_id")
     headline = F.explode(F.array(
         F.struct(F.lit("title").alias("field"), F.col("title").alias("text"), F.lit(-2).cast("long").alias("at")),
         F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("text"), F.lit(-1).cast("long").alias("at"))))
@@ -58,10 +52,22 @@ def toxic_gate(reviews: DataFrame, sections: DataFrame, scores: DataFrame, *, en
     fields = heads.unionByName(bodies).filter(F.coalesce("text", F.lit("")) != "").join(failed_jobs, "job_id", "left_semi")
     same = (fields["job_id"] == bad["job_id"]) & (F.col("field") == F.col("bad_field")) & (
         F.coalesce(F.col("section_pos"), F.lit(-1)) == F.col("bad_at"))
-    failing = fields.join(bad, same, "left_semi").withColumn("blk", F.floor(F.col("at") / SECTION_BLOCK))
+    return fields.join(bad, same, "left_semi").select("job_id", "at", F.col("name").alias("field"))
+
+
+def toxic_gate(reviews: DataFrame, sections: DataFrame, scores: DataFrame, *, enabled: bool = True) -> DataFrame:
+    """(job_id, verdict, reason, score) from the combined score, naming the failing fields (:func:`toxic_fields` has them as rows).
+
+    Fields are only looked at when the combined text failed; a review without a combined score is quarantined.
+    """
+    if not enabled:
+        return reviews.select("job_id", F.lit("pass").alias("verdict"), F.lit(None).cast("string").alias("reason"),
+                              F.lit(None).cast("double").alias("score"))
+    combined = scores.filter(F.col("field") == "combined").select("job_id", "score", "passed")
+    failing = toxic_fields(reviews, sections, scores).withColumn("blk", F.floor(F.col("at") / SECTION_BLOCK))
     # names are joined per block of sections first, so one very long review is assembled in parallel
     parts = failing.groupBy("job_id", "blk").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("at", "name"))), lambda s: s["name"]), ", ").alias("names"))
+        F.array_sort(F.collect_list(F.struct("at", "field"))), lambda s: s["field"]), ", ").alias("names"))
     named = parts.groupBy("job_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("blk", "names"))), lambda s: s["names"]), ", ").alias("names"))
     joined = reviews.select("job_id").join(combined, "job_id", "left").join(named, "job_id", "left")

@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import pii
-from citeloom.operators import chunking, citations, corpus, evals, gates, grounding, layout, themes, views
+from citeloom.operators import chunking, citations, corpus, evals, gates, grounding, layout, similarity, themes, views
 from citeloom.operators.graph import connected_components
 from citeloom.operators.similarity import COARSE_THRESHOLD, COARSE_THRESHOLD_SHARED_ENTITY, similar_pairs
 from citeloom.runtime import materialise
+from citeloom.sources import entities
 
 
 def stage_table(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -159,3 +160,18 @@ def evaluate(scores: DataFrame, baseline: DataFrame, old: DataFrame, new: DataFr
         "sampled": evals.sample_exact(evals.scoreable_traces(traces), "trace_id"),
         "misses": evals.production_misses(scores),
     }
+
+
+def search_corpus(spark: SparkSession, root: str, collection: str, asked: DataFrame, embed: Callable[[DataFrame], DataFrame],
+                  min_score: float = similarity.MIN_SCORE) -> tuple[DataFrame, DataFrame]:
+    """(found, refused) for ``asked(query_id, query, limit)`` over a stored collection: best points of each query, and queries that are too long.
+
+    Limits are clamped, texts are embedded by ``embed`` (which adds ``vec`` to rows with ``text``), and all queries search at once.
+    """
+    bounded = materialise(similarity.query_bounds(asked))
+    taken = bounded.filter(F.coalesce("accepted", F.lit(False)))
+    corpus_rows = entities.read_collection(spark, root, collection).withColumn("pos", F.col("id"))
+    queries = embed(taken.select("query_id", F.col("query").alias("text"))).select("query_id", "vec")
+    found = similarity.search_many(corpus_rows, queries, similarity.MAX_LIMIT, min_score)
+    kept = found.join(taken.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit")).drop("limit", "pos")
+    return kept, bounded.filter(~F.col("accepted")).select("query_id", "error")
