@@ -327,3 +327,58 @@ def _(t):
     found, refused = jobs.search_corpus(t.spark, root, "paper_themes", asked, embed)
     counted = found.groupBy("query_id", F.round("score", 9).alias("score")).agg(F.count(F.lit(1)).alias("n")).withColumn("error", F.lit(None).cast("string"))
     return counted.unionByName(refused.select("query_id", F.lit(None).cast("double").alias("score"), F.lit(1).cast("long").alias("n"), "error"))
+
+
+# theme deduplication, end to end ------------------------------------------------------------------------
+
+def spread(own, near, pos="pos"):
+    """SQL: one more step of the labels of ``own`` over ``near(job_id, a, b)``."""
+    return f"""select s.job_id, case when n.a = s.{pos} then n.b else n.a end, s.label from {own} s join {near} n on n.job_id = s.job_id and (n.a = s.{pos} or n.b = s.{pos})"""
+
+
+DEDUP_SQL = f"""
+with recursive near as (select job_id, a, b from vec_pairs where cosine >= {LOW} or (shared and cosine >= {LOWER})),
+spread(job_id, pos, label) as (select job_id, pos, pos from jobs2 union {spread("spread", "near")}),
+labels as (select job_id, pos, min(label) as component from spread group by job_id, pos),
+sized as (select *, count(*) over (partition by job_id, component) as n from labels),
+big as (select s.*, v.vec from sized s join jobs2 v using (job_id, pos) where n > 20),
+dims as (select job_id, component, d, avg(x) as x from (select job_id, component, unnest(vec) as x, generate_subscripts(vec, 1) as d from big) group by all),
+mid as (select job_id, component, list(x order by d) as centre from dims group by all),
+ranked as (select b.job_id, b.pos, b.component, b.n, row_number() over (partition by b.job_id, b.component
+  order by list_cosine_similarity(b.vec, m.centre) desc, b.pos) - 1 as rank from big b join mid m using (job_id, component)),
+bucketed as (select job_id, pos, component, 0::bigint as sub from sized where n <= 20
+  union all select job_id, pos, component, rank % cast(ceil(n / 20.0) as bigint) from ranked),
+grouped as (select job_id, component, sub, pos % 3 as group_no, list(pos order by pos) as sources, min(pos) as first from bucketed group by all),
+canon as (select g.*, v.vec, row_number() over (partition by g.job_id order by component, sub, group_no) - 1 as cpos from grouped g join jobs2 v on v.job_id = g.job_id and v.pos = g.first),
+near2 as (select a.job_id, a.cpos as a, b.cpos as b from canon a join canon b on a.job_id = b.job_id and a.cpos < b.cpos where list_cosine_similarity(a.vec, b.vec) >= {LOW}),
+spread2(job_id, cpos, label) as (select job_id, cpos, cpos from canon union {spread("spread2", "near2", "cpos")}),
+labels2 as (select job_id, cpos, min(label) as component from spread2 group by job_id, cpos)
+select l.job_id, 'group ' || arg_min(c.group_no, c.cpos) as name, arg_min(c.first, c.cpos)::varchar as description, count(*) as n,
+  md5(string_agg(array_to_string(c.sources, ','), ',' order by c.cpos)) as sources, sum(len(c.sources))::bigint as n_sources
+from labels2 l join canon c on c.job_id = l.job_id and c.cpos = l.cpos group by l.job_id, l.component"""
+
+
+@query("dedup_themes", "vec_pairs", "jobs2", sql=DEDUP_SQL)
+def _(t):
+    """Themes to canonical themes, end to end: the grouping model puts every third theme of a bucket together, and a group has the
+    vector of its first theme."""
+    vectors = tagged(t)
+    pos = F.col("pos")
+    found = vectors.select("job_id", "pos", pos.cast("string").alias("theme_id"), F.concat(F.lit("t"), pos.cast("string")).alias("name"),
+                           F.lit("d").alias("description"), (pos % 5).cast("string").alias("paper_id"))
+
+    def group(placed):
+        own = placed.groupBy("bucket", (pos % 3).alias("group_no")).agg(F.array_sort(F.collect_list("idx")).alias("member_indices"), F.min("pos").alias("first"))
+        return own.select("bucket", "group_no", F.concat(F.lit("group "), F.col("group_no").cast("string")).alias("canonical_name"),
+                          F.col("first").cast("string").alias("description"), "member_indices")
+
+    def embed(canonical):
+        return canonical.join(vectors.select("job_id", pos.cast("string").alias("description"), "vec"), ["job_id", "description"])
+
+    none = t.spark.createDataFrame([], "a string, b string, contradiction double")
+    done = jobs.dedup_themes(found, vectors, group, embed, none, threshold=LOW, shared=LOWER, reconcile=LOW)
+    # members of one group are at most a bucket; lists of a merged theme are cut by group before they are joined
+    source = done.members.filter("kind = 'source'").groupBy("job_id", "canonical_id").agg(
+        F.count(F.lit(1)).alias("n_sources"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", "value"))), lambda s: s["value"]), ",")).alias("sources"))
+    return done.themes.join(source, ["job_id", "canonical_id"]).select("job_id", "name", "description", "n", "sources", "n_sources")

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import pii
+from citeloom.functions.ordered import with_position
 from citeloom.operators import chunking, citations, corpus, evals, gates, grounding, layout, similarity, themes, views
 from citeloom.operators.graph import connected_components
-from citeloom.operators.similarity import COARSE_THRESHOLD, COARSE_THRESHOLD_SHARED_ENTITY, similar_pairs
+from citeloom.operators.similarity import COARSE_THRESHOLD, COARSE_THRESHOLD_SHARED_ENTITY, RECONCILE_THRESHOLD, similar_pairs
 from citeloom.runtime import materialise
 from citeloom.sources import entities
 
@@ -95,6 +97,39 @@ def map_themes(groups: DataFrame, bucketed: DataFrame, scores: DataFrame) -> tup
     return themes.build_theme_map(groups, bucketed), offenders, themes.group_contradictions(groups, bucketed, scores)
 
 
+@dataclass
+class Deduplicated:
+    themes: DataFrame
+    members: DataFrame
+    out_of_range: DataFrame
+    contradicting: DataFrame
+
+
+def dedup_themes(found: DataFrame, vectors: DataFrame, group: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], scores: DataFrame, *,
+                 cap: int = themes.MAX_BUCKET, threshold: float = COARSE_THRESHOLD, shared: float = COARSE_THRESHOLD_SHARED_ENTITY,
+                 reconcile: float = RECONCILE_THRESHOLD) -> Deduplicated:
+    """Themes of all papers to canonical themes: buckets of similar ones, grouped inside each bucket, then merged across buckets.
+
+    ``found(job_id, pos, theme_id, name, description, paper_id)``, ``vectors(job_id, pos, vec[, entities])``. ``group`` is the grouping model: it gets
+    the themes with ``bucket`` and ``idx`` and returns (bucket, group_no, canonical_name, description, member_indices). ``embed`` adds ``vec``
+    to canonical themes, ``scores(a, b, contradiction)`` are of theme ids. Buckets and their groups are taken in the order of their first parts.
+    """
+    parts = bucket_themes(vectors, cap, threshold, shared)
+    inside = Window.partitionBy("bucket").orderBy("pos")  # a bucket has at most ``cap`` themes
+    placed = found.join(parts, ["job_id", "pos"]).withColumn("bucket", F.concat_ws("|", "job_id", "component", "sub"))
+    placed = materialise(placed.withColumn("idx", (F.row_number().over(inside) - 1).cast("long")))
+    groups = materialise(group(placed))
+    canonical, offenders, contradicting = map_themes(groups, placed, scores)
+    named = canonical.join(placed.select("bucket", "job_id", "component", "sub").distinct(), "bucket")
+    numbered = materialise(with_position(named, ["job_id"], [F.col("component"), F.col("sub"), F.col("group_no")], "pos"))
+    kinds = {"source": "source_theme_ids", "paper": "paper_ids", "alias": "aliases"}
+    members = reduce(DataFrame.unionByName, [
+        numbered.select("canonical_id", F.lit(kind).alias("kind"), F.posexplode(column).alias("at", "value")) for kind, column in kinds.items()])
+    final, listed = themes.reconcile_themes(numbered.select("job_id", "pos", "canonical_id", "name", "description"),
+                                            embed(numbered).select("job_id", "pos", "vec"), members, reconcile)
+    return Deduplicated(final, listed, offenders, contradicting)
+
+
 @dataclass
 class Reviewed:
     reviews: DataFrame
