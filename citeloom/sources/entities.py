@@ -1,8 +1,9 @@
 """Per-job entity tables and the five searchable collections, kept as parquet.
 
-A collection is a numbered manifest that names the folder of each bucket of ids. An upsert writes the touched buckets
-anew and then publishes the next manifest, so readers see the old or the new version, never a mixture, a failed write
-leaves the old one, and of two writers at the same time the second fails instead of undoing the first.
+A collection is a numbered manifest that names the folders of each bucket of ids: its base and the updates after it. An upsert writes
+its own rows and then publishes the next manifest, so readers see the old or the new version, never a mixture, a failed write
+leaves the old one, and of two writers at the same time the second fails instead of undoing the first. Readers put updates in
+place of what they replace; a bucket with ``DELTAS`` of them is written anew with the next one.
 """
 
 from __future__ import annotations
@@ -61,6 +62,7 @@ def read_entity(spark: SparkSession, root: str, name: str, schema: str | None =
 # collections -----------------------------------------------------------------------------------------
 
 BUCKETS = 64
+DELTAS = 8
 
 
 def _path(spark: SparkSession, name: str):
@@ -74,17 +76,17 @@ def _manifests(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
-def _read_manifest(spark: SparkSession, root: str, name: str, number: int) -> dict[int, str]:
-    """Folder of each bucket that has rows."""
-    lines = spark.read.text(f"{root}/{name}/manifests/{number}").collect()  # at most BUCKETS lines
-    return {int(k): v for k, v in (r["value"].split(" ", 1) for r in lines if r["value"])}
+def _read_manifest(spark: SparkSession, root: str, name: str, number: int) -> dict[int, list[str]]:
+    """Folders of each bucket that has rows, oldest first."""
+    lines = spark.read.text(f"{root}/{name}/manifests/{number}").collect()  # at most BUCKETS lines of at most DELTAS + 1 folders
+    return {int(k): v.split(" ") for k, v in (r["value"].split(" ", 1) for r in lines if r["value"])}
 
 
-def _publish(spark: SparkSession, root: str, name: str, number: int, buckets: dict[int, str]) -> None:
+def _publish(spark: SparkSession, root: str, name: str, number: int, buckets: dict[int, list[str]]) -> None:
     """Fails if another writer has published this number meanwhile."""
     file, fs = _path(spark, f"{root}/{name}/manifests/{number}")
     out = fs.create(file, False)
-    out.write(bytearray("".join(f"{k} {v}\n" for k, v in sorted(buckets.items())).encode()))
+    out.write(bytearray("".join(f"{k} {' '.join(v)}\n" for k, v in sorted(buckets.items())).encode()))
     out.close()
 
 
@@ -104,10 +106,24 @@ def _rows(spark: SparkSession, root: str, name: str, folders: list[str]) -> Data
     return spark.read.option("mergeSchema", "true").parquet(*[f"{root}/{name}/{f}" for f in folders])
 
 
+def _merged(spark: SparkSession, root: str, name: str, buckets: dict[int, list[str]], key: str = "id") -> DataFrame:
+    """Rows of the buckets with their updates in place. Only the ids of updates meet the bases that they belong to."""
+    whole = _rows(spark, root, name, [folders[0] for folders in buckets.values() if len(folders) == 1])
+    updated = [folders for folders in buckets.values() if len(folders) > 1]
+    if not updated:
+        return whole
+    base, deltas = _rows(spark, root, name, [folders[0] for folders in updated]), None
+    for i in range(1, max(map(len, updated))):
+        rows = _rows(spark, root, name, [folders[i] for folders in updated if len(folders) > i]).withColumn("__n", F.lit(i))
+        deltas = rows if deltas is None else deltas.unionByName(rows, allowMissingColumns=True)
+    found = whole.unionByName(merge_points(base, last_per_key(deltas, "__n", key), key), allowMissingColumns=True)
+    return found.select(*base.columns, *[c for c in found.columns if c not in base.columns])
+
+
 def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """The current version of a collection, or None when there is none."""
     known = _manifests(spark, root, name)
-    return _rows(spark, root, name, list(_read_manifest(spark, root, name, known[-1]).values())) if known else None
+    return _merged(spark, root, name, _read_manifest(spark, root, name, known[-1])) if known else None
 
 
 def merge_points(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
@@ -125,7 +141,8 @@ def upsert(spark: SparkSession, root: str, name: str, updates: DataFrame, key: s
     """Insert or replace points by id. Of an id that repeats within ``updates`` the row with the highest ``order`` is
     kept; without an order, the greatest row.
 
-    Rows lie in ``BUCKETS`` buckets by a hash of the id. Only buckets that the updates touch are read and written again.
+    Rows lie in ``BUCKETS`` buckets by a hash of the id. What is written is the updates, and the buckets among those they touch that already have
+    ``DELTAS`` updates; nothing else is read.
     """
     known = _manifests(spark, root, name)
     held = _read_manifest(spark, root, name, known[-1]) if known else {}
@@ -134,16 +151,21 @@ def upsert(spark: SparkSession, root: str, name: str, updates: DataFrame, key: s
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
     new = materialise(single.withColumn("bucket", bucket))
     touched = [r[0] for r in new.select("bucket").distinct().collect()]
-    old = _rows(spark, root, name, [held[k] for k in touched if k in held]).withColumn("bucket", bucket)
+    full = [k for k in touched if len(held.get(k, [])) > DELTAS]
+    rows = new
+    if full:
+        old = _merged(spark, root, name, {k: held[k] for k in full}, key).withColumn("bucket", bucket)
+        rows = merge_points(old, new.filter(F.col("bucket").isin(full)), key).unionByName(new.filter(~F.col("bucket").isin(full)), allowMissingColumns=True)
     version = f"version-{uuid.uuid4().hex}"
-    merge_points(old, new, key).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}/{version}")
-    _publish(spark, root, name, known[-1] + 1 if known else 0, held | {k: f"{version}/bucket={k}" for k in touched})
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{name}/{version}")
+    now = {k: [*([] if k in full else held.get(k, [])), f"{version}/bucket={k}"] for k in touched}
+    _publish(spark, root, name, known[-1] + 1 if known else 0, held | now)
 
 
 def vacuum(spark: SparkSession, root: str, name: str, keep: int = 2) -> int:
     """Delete bucket folders that none of the last ``keep`` manifests names, and older manifests; returns how many."""
     known = _manifests(spark, root, name)
-    used = {folder for number in known[-keep:] for folder in _read_manifest(spark, root, name, number).values()}
+    used = {folder for number in known[-keep:] for folders in _read_manifest(spark, root, name, number).values() for folder in folders}
     base, fs = _path(spark, f"{root}/{name}")
     gone = 0
     for version in fs.listStatus(base):

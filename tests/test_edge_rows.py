@@ -119,8 +119,16 @@ def test_upsert_touches_its_buckets_only_and_collapses_repeats(spark, tmp_path):
     assert sum(before[k] != after[k] for k in before) == 1 and before.keys() == after.keys()
     rows = {r.id: r.text for r in entities.read_collection(spark, root, "paper_themes").collect()}
     assert len(rows) == 300 and rows["7"] == "b" and rows["8"] == "old"
-    assert entities.vacuum(spark, root, "paper_themes", keep=1) == 1
+    written = {v: sum(f.stat().st_size for f in (tmp_path / "paper_themes" / v).rglob("*.parquet")) for v in {f.split("/")[0] for own in after.values() for f in own}}
+    assert len(written) == 2 and min(written.values()) < 0.1 * max(written.values())
+    assert entities.vacuum(spark, root, "paper_themes", keep=1) == 0
+    for n in range(entities.DELTAS + 1):
+        entities.upsert(spark, root, "paper_themes", spark.createDataFrame([("7", "j", f"v{n}", [1.0], "p", "n", "")], shape))
+        rows = {r.id: r.text for r in entities.read_collection(spark, root, "paper_themes").collect()}
+        assert len(rows) == 300 and rows["7"] == f"v{n}" and rows["8"] == "old"
+    held = entities._read_manifest(spark, root, "paper_themes", entities.DELTAS + 3)
+    assert sorted({len(own) for own in held.values()}) in ([1, 2], [1]) and entities.vacuum(spark, root, "paper_themes", keep=1) >= entities.DELTAS
     assert entities.read_collection(spark, root, "paper_themes").count() == 300
     import pytest
     with pytest.raises(Exception, match="exist"):
-        entities._publish(spark, root, "paper_themes", 2, {})
+        entities._publish(spark, root, "paper_themes", entities.DELTAS + 3, {})
