@@ -195,10 +195,12 @@ def late_to_side_table(stream: DataFrame, main: str, side: str, marks: str, chec
         known = spark.read.schema("newest bigint, batch int").parquet(marks) if batch_id > 0 else None
         row = known.filter(F.col("batch") < batch_id).agg(F.max("newest")).first() if known is not None else None
         seen = row[0] if row is not None and row[0] is not None else 0
-        fresh, late = split_late(batch, seen, delay_us)
+        held = batch.persist()  # three tables are written from it
+        fresh, late = split_late(held, seen, delay_us)
         fresh.write.mode("overwrite").parquet(f"{main}/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{side}/batch={batch_id}")
-        batch.agg(F.max(F.unix_micros("ts")).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        held.agg(F.max(F.unix_micros("ts")).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        held.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

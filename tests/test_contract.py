@@ -12,7 +12,8 @@ from tests.conftest import SF
 SAMPLE = [
     "resolve_citations", "build_references", "similar_pairs_blocked", "reconcile_members", "merge_chunk_positions", "group_contradictions",
     "classify_headings", "words_to_paragraphs", "pack_under_budget", "scrub_pii", "grounding_verdict", "gate_chain", "sample_traces",
-    "section_message", "theme_message", "title_abstract_message", "aggregate_outputs", "reader_outputs", "stream_late_rows", "stream_sessions_in_batches", "reference_fallback", "progress", "sessions", "assemble_turns", "stream_late_scores", "upsert_collection"]
+    "section_message", "theme_message", "title_abstract_message", "aggregate_outputs", "reader_outputs", "stream_late_rows", "stream_sessions_in_batches", "reference_fallback", "progress", "sessions", "assemble_turns", "stream_late_scores", "upsert_collection",
+    "toxic_fields", "ordered_union", "dedup_themes", "tag_entities", "search_claims_batch"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FULL") else SAMPLE
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
