@@ -1,9 +1,12 @@
-"""Near duplicates: Jaccard similarity join on word shingles by a MinHash LSH forest.
+"""Near duplicates: Jaccard similarity join on word shingles by MinHash bands of one length for all texts.
+
+This is the last level of an LSH forest, not a forest: prefixes of the ``TREES`` signatures are cut at one length, the first one, going down
+from ``DEPTH``, that meets the target recall; no trie is built and no prefix is shortened by what the data holds.
 
 A text is the set of its shingles of ``SHINGLE`` words (words are runs without ASCII white space; a text with fewer
 words is one shingle). Texts with the same set are one copy class, and a class is compared once. Each class has
-``TREES`` tries of MinHash values; two classes are candidates if they share a prefix in any trie. The prefix starts
-at ``DEPTH`` values and is shortened one by one until a pair at the wanted similarity is met with
+``TREES`` signatures of MinHash values; two classes are candidates if they share the prefix of any. Its length is the
+longest of up to ``DEPTH`` values with which a pair at the wanted similarity is met with
 probability ``RECALL``. Candidates whose sketches agree too little (``SLACK`` below the wanted similarity,
 4.5 standard deviations) are left out; the rest form small components, inside which every pair is verified
 on the exact shingle sets.
