@@ -123,6 +123,34 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_equals_plain_out_of_place_distances(spark):
+    """Every document of the smallest table against a dictionary version of profiles and distances."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+
+    def best(counts):
+        return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:langid.PROFILE]
+
+    totals = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            own = totals.setdefault(lang, {})
+            for g, n in plain_counts(text).items():
+                own[g] = own.get(g, 0) + n
+    ranks = {lang: {g: i for i, g in enumerate(best(counts))} for lang, counts in totals.items()}
+
+    def plain(text):
+        own = best(plain_counts(text or ""))
+        if not own:
+            return "und", 0.0
+        far = {lang: sum(abs(i - known[g]) if g in known else langid.PROFILE for i, g in enumerate(own)) for lang, known in ranks.items()}
+        lang = min(far, key=lambda x: (far[x], x))
+        return lang, 1 - far[lang] / (langid.PROFILE * len(own))
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.profiles(docs)).collect()}
+    assert len(ranks) > 2 and got == {i: (lang, pytest.approx(score)) for i, text, _ in rows for lang, score in [plain(text)]}
+
+
 def test_language_defined_results(spark):
     docs = spark.createDataFrame([(1, "der die das", "de", 1), (2, None, "de", 1), (3, "12 ...", None, 1), (4, "das", None, 1), (5, "中", None, 1)],
                                  "doc_id long, text string, lang string, score long")
