@@ -93,6 +93,20 @@ def _(t):
     return event_log.read_events(t.spark, path).select("event_id", "event_type", F.unix_micros("ts").alias("us"), F.col("job_id").cast("string").alias("job_id"), "seq", "stage", "item_id", "payload")
 
 
+@query("replay_pages", "log", sql="""
+select event_id, seq, cast((row_number() over (order by seq) - 1) // 10 as integer) as page from log where job_id = '7' qualify row_number() over (order by seq) <= 30""")
+def _(t):
+    """A replay of one job by three pages, each from where the last one ended; the log was written in two interleaved batches."""
+    path, pages, after = fresh_dir(t.spark, "replay"), None, None
+    for half in (0, 1):
+        event_log.write_replay(log_rows(t.events).filter(F.col("seq") % 2 == half), path)
+    for number in range(3):
+        page = event_log.replay_page(t.spark, path, "7", after, 10).select("event_id", "seq", F.lit(number).alias("page"))
+        pages = page if pages is None else pages.unionByName(page)
+        after = page.agg(F.max("seq")).first()[0] or after
+    return pages
+
+
 @query("entity_round_trip", "papers", sql="""
 select job_id, paper_id::varchar as paper_id, case when job_id = 'src3' then 'new ' || filename else filename end as filename, page_count from papers""")
 def _(t):

@@ -155,6 +155,28 @@ def test_stored_names_skip_taken_ones(spark, rows):
     assert [n for _, n in rows(admission.dedup_filenames(df), "at", "stored_name")] == ["a.pdf", "a_1.pdf", "a_1_1.pdf", "a_2.pdf", ".pdf", ".pdf_1", "b.tar.pdf", "b.tar_1.pdf"]
 
 
+def test_replay_page_reads_its_files_only(spark, tmp_path):
+    path = str(tmp_path / "replay")
+    events = spark.range(4000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"), F.lit("x").alias("event_type"), F.timestamp_seconds("id").alias("ts"),
+                                      F.when(F.col("id") % 4 != 0, "hot").otherwise((F.col("id") % 3).cast("string")).alias("job_id"), F.col("id").alias("seq"),
+                                      *[F.lit(None).cast(k).alias(c) for c, k in (("stage", "string"), ("item_id", "string"), ("total", "long"), ("payload", "string"))])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        event_log.write_replay(events.filter("seq < 2000"), path)
+        event_log.write_replay(events.filter("seq >= 1500 and seq % 2 = 1").filter("seq >= 2000"), path)
+        event_log.write_replay(events.filter("seq >= 2000 and seq % 2 = 0"), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = len(list((tmp_path / "replay" / "rows").rglob("*.parquet")))
+    hot = [i for i in range(4000) if i % 4]
+    for after, limit in ((None, 10), (0, 500), (1999, 7), (2500, 900), (3990, 100), (9000, 5)):
+        page = event_log.replay_page(spark, path, "hot", after, limit)
+        assert [r.seq for r in page.collect()] == [i for i in hot if after is None or i > after][:limit]
+        if limit <= 10:
+            assert len(page.inputFiles()) <= 3 < files
+    assert event_log.replay_page(spark, path, "none").count() == 0
+
+
 def test_event_log_skips_bad_lines(spark, rows, tmp_path):
     df = log(spark, RUN)
     path = str(tmp_path / "log")
