@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
-Before that, edges are dealt by ranges of their nodes and every task replaces its edges by a forest: each node linked to the smallest
-it is connected to there. What lies between neighbouring ids, chains above all, is done after that, and no task emits more edges than nodes.
+Before that, every task replaces its edges by a forest: each node linked to the smallest it is connected to there. This is done where edges
+arise, so that of very many edges only forests are shuffled, and again when these are dealt by ranges of their nodes. What lies between
+neighbouring ids, chains above all, is done after that, and no task emits more edges than nodes.
 
 Each round is two aggregations (map-side combined minima) and two equi joins, so a hub with very
 many neighbours is never gathered in one place. Every round is written to the shared checkpoint
@@ -82,9 +83,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job_id, pos, component) for ``nodes(job_id, pos)``; a component is named by its smallest member. A node without a job is alone."""
-    current = materialise(
-        edges.filter("a <> b and job_id is not null")
-        .select("job_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current = edges.filter("a <> b and job_id is not null").select("job_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    current = materialise(current.mapInPandas(_forests, current.schema).distinct())
     current = materialise(current.repartitionByRange("job_id", "u").mapInPandas(_forests, current.schema))
     seen, rounds = None, 0
     while True:

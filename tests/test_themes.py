@@ -236,3 +236,11 @@ def test_components_of_null_jobs_and_forests_in_parts(spark, monkeypatch):
     assert {(r.pos, r.component) for r in graph.connected_components(nodes, edges).collect()} == {(2, 2), (3, 2), (4, 4), (5, 4), (9, 9)}
     node, root = graph._roots(np.array([5, 9, 7, 3]), np.array([3, 7, 5, 1]))
     assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {3: 1, 5: 1, 7: 1, 9: 1}
+
+
+def test_vectors_without_clusters_are_not_copied_per_block(spark):
+    """Dividing near-orthogonal vectors spares no comparison: they stay in one cell, and a vector goes to few units however small the blocks are."""
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([("j", i, v.tolist()) for i, v in enumerate(draw.normal(size=(1500, 64)))], "job_id string, pos long, vec array<double>")
+    base, _ = similarity.representatives(df)
+    assert similarity.units(similarity.placed(base, 0.35, 8), 8).count() < 2 * 1500
