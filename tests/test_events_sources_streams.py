@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from citeloom.operators import events as ops
 from citeloom.operators import messages
-from citeloom.runtime import fresh_dir
+from citeloom.runtime import LISTING_TASKS, configure, fresh_dir
 from citeloom.sources import admission, entities, event_log
 from citeloom.streaming import streams
 from tests.conftest import SF
@@ -188,6 +188,18 @@ def test_event_log_skips_bad_lines(spark, rows, tmp_path):
     assert rows(back.filter("event_id = 'e5'"), F.unix_micros("ts")) == [(BASE + 4_500_000,)]
 
 
+def test_job_folders_are_listed_many_to_a_task(spark, tmp_path):
+    path, sc = str(tmp_path / "log"), configure(spark).sparkContext
+    one = log(spark, RUN).filter("event_id = 'e5'").drop("job_id")
+    event_log.write_events(one.crossJoin(spark.range(150).select(F.concat(F.lit("j"), F.col("id").cast("string")).alias("job_id"))), path)
+    sc.setJobGroup("listing", "folders of the log")
+    assert event_log.read_events(spark, path).select("job_id").distinct().count() == 150
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= LISTING_TASKS
+
+
 def test_entities_replace_jobs_only(spark, rows, tmp_path):
     root = str(tmp_path)
     assert entities.read_entity(spark, root, "theme_map").count() == 0
