@@ -251,7 +251,7 @@ union all select job_id, batch, 2, 0, 0, k, case k when 0 then '=== CLAIM REGIST
 union all select distinct job_id, batch, 3, ref_number, 0, 0, '  [' || ref_number || '] claim_id=' || claim_id || ' paper_id=' || case when ref_number % 7 = 3 then '' else paper_id end from batched_kc""".replace(
     "0 as part, 0 as a, 0 as b, k as c", "cast(0 as bigint) as part, cast(0 as bigint) as a, cast(0 as bigint) as b, cast(k as bigint) as c"))
 def _(t):
-    kc = t.key_claims.join(t.refs, ["job_id", "claim_id"]).select(
+    kc = t.numbered.select(
         "job_id", F.floor(F.col("review_pos") / 5).alias("batch"), (F.col("review_pos") % 5).alias("at"), "kc_pos", "ref_number",
         "claim_id", F.when(F.col("ref_number") % 7 != 3, F.col("paper_id")).alias("paper_id"),
         F.when(F.col("ref_number") % 9 != 4, F.concat(F.lit("s"), "claim_id")).alias("summary"))

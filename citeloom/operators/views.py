@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.ordered import prefix_sum, with_position
-from citeloom.operators.citations import latest_claims
+from citeloom.operators.citations import CLAIM, REF, latest_claims
 
 
 def cited_in(citations: DataFrame, sections: DataFrame) -> DataFrame:
     """Labels of the sections that cite each number, one row each in section order (null: none)."""
     refs = sections.select("job_id", "section_pos", "label", F.explode(F.array_distinct("citation_refs")).alias("ref_number"))
-    return citations.select("job_id", "ref_number", "claim_id").join(refs, ["job_id", "ref_number"], "left")
+    return citations.select("job_id", "ref_number", "claim_id").join(refs, REF, "left")
 
 
 def review_reader(citations: DataFrame, papers: DataFrame, claims: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def review_reader(citations: DataFrame, papers: DataFrame, claims: DataFrame) ->
     ``citations(.., paper_title, page, paragraph)``, ``papers([job_id, ]paper_id, title, filename, authors)``,
     ``claims(job_id, claim_id, pos, summary, text, page, paragraph)``.
     """
-    keys = [k for k in ("job_id", "paper_id") if k in papers.columns]
+    keys = [k for k in ("paper_id", "job_id") if k in papers.columns]
     known = papers.select(*keys, F.col("title").alias("p_title"), F.col("filename").alias("p_file"), F.col("authors").alias("p_authors"))
     looked_up = latest_claims(claims, "summary", "text", "page", "paragraph", cited=citations).select(
         "job_id", "claim_id", F.coalesce("summary", "text", F.lit("")).alias("claim_text"),
         F.col("page").alias("c_page"), F.col("paragraph").alias("c_paragraph"))
     page, paragraph = F.coalesce("page", "c_page", F.lit(0)), F.coalesce("paragraph", "c_paragraph", F.lit(0))
     shown = F.when(page > 0, F.concat(F.lit("p."), page.cast("string"), F.lit(", §"), paragraph.cast("string"))).otherwise("")
-    return citations.join(known, keys, "left").join(looked_up, ["job_id", "claim_id"], "left").select(
+    return citations.join(known, keys, "left").join(looked_up, CLAIM, "left").select(
         "job_id", F.col("ref_number").alias("index"), "claim_id",
         F.coalesce("p_title", "paper_title", "p_file", F.lit("Unknown paper")).alias("title"),
         F.coalesce(F.array_join("p_authors", ", "), F.lit("")).alias("authors"), shown.alias("position"),

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from citeloom.operators import citations as ops
 
 KC = "job_id string, review_pos long, kc_pos int, claim_id string, paper_id string"
@@ -69,3 +71,52 @@ def test_integrity_names_both_kinds(spark, rows):
     cites = spark.createDataFrame([("j", 1, "nope", "p")], CITES)
     got = rows(ops.citation_integrity(sections, cites, spark.createDataFrame([], CLAIMS)), "path")
     assert got == [("citations.1.claim_id",), ("sections.0.citation_refs.1",)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_sorted_by_the_key_with_most_values(spark):
+    cites = spark.createDataFrame([("j", 1, "a", "p"), ("j", 2, "b", "p")], CITES)
+    claims = spark.createDataFrame([("j", "a", 1, 3, 4), ("j", "b", 2, 5, 6)], CLAIMS)
+    sections = spark.createDataFrame([("j", 0, "t0", "L", "Good [1] and [02].", [1])], SECTIONS)
+    looked_up = ops.latest_claims(claims, "page", "paragraph", cited=cites)
+    assert "SortAggregate" not in plan_of(looked_up)
+    for df in (ops.merge_citations(cites.selectExpr("*", "0L batch", "0L pos")), ops.resolve_citations(sections, cites, claims)):
+        assert "Sort [job_id" not in plan_of(df)
+
+
+def test_text_with_very_many_markers_gets_each_link_by_position(spark, rows):
+    text = " ".join(f"[{i}]" for i in range(1, 4001)) + " [007] [5000] [0]"
+    sections = spark.createDataFrame([("j", 0, "t0", "L", text, [])], SECTIONS)
+    cites = spark.createDataFrame([("j", i, f"c{i}", "p") for i in range(1, 4001)], CITES)
+    claims = spark.createDataFrame([("j", f"c{i}", i, i, 1) for i in range(1, 4001)], CLAIMS)
+    done = ops.resolve_citations(sections, cites, claims)
+    want = " ".join(f'[{i}](cite:{i} "p.{i},§1")' for i in range(1, 4001)) + ' [7](cite:7 "p.7,§1")'
+    assert rows(done, "content") == [(want + " ",)]
+    assert "map_from_entries" not in plan_of(done)  # looking a number up in a map reads it from the start
+
+
+def test_claims_numbers_and_sections_of_a_query_are_written_once(spark):
+    from citeloom.catalog.stand_ins import Tables
+
+    from tests.conftest import SF
+
+    t = Tables(spark, SF)
+    for df in (t.claims, t.sections, t.section_citations):
+        assert "Exchange" not in plan_of(df)
+
+
+def test_aggregation_looks_claims_up_once(spark):
+    from citeloom.plans import jobs
+
+    sections = spark.createDataFrame([("j", 0, "t0", "L", "Good [1] and [2].", [1, 2])], SECTIONS).withColumn("review_pos", F.col("section_pos"))
+    given = spark.createDataFrame([("j", 0, 0, 1, "a", "p"), ("j", 0, 1, 2, "b", "p")], "job_id string, batch long, pos long, ref_number long, claim_id string, paper_id string")
+    claims = spark.createDataFrame([("j", "a", 1, 3, 4)], CLAIMS).withColumn("claim_id", F.concat("claim_id", F.lit("")))
+    papers = spark.createDataFrame([("p", "Title", ["A"])], "paper_id string, title string, authors array<string>")
+    done = jobs.aggregate(sections, given, claims, papers)
+    assert [r.content for r in done.sections.collect()] == ['Good [1](cite:1 "p.3,§4") and.']
+    assert [(r.ref_number, r.page) for r in done.citations.collect()] == [(1, 3)] and done.orphans.count() == 0
+    for df in (done.sections, done.citations, done.references):
+        assert "max_by" not in plan_of(df.select("job_id", *[c for c in ("page", "paragraph", "citation_refs") if c in df.columns]))
