@@ -211,3 +211,14 @@ def test_a_hundred_thousand_terms(spark):
     clean, _ = pii.scrub(F.col("text"), pii.INPUT_SCOPE, locations=F.col("places"))
     assert {r[0] for r in held.select(clean).collect()} == {"From [LOCATION] to T0x village, not Place x."}
     assert held.agg(F.max(F.size("places"))).first()[0] <= 2
+
+
+def test_words_of_a_paper_are_not_shuffled(spark):
+    from citeloom.catalog.layout import from_words
+    from citeloom.catalog.stand_ins import Tables
+
+    from tests.conftest import SF
+
+    plan = from_words(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert dealt and all("hashpartitioning(doc_id" in line for line in dealt), dealt
