@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from citeloom.runtime import materialise
 
 
-FOREST_EDGES = 1 << 20  # edges that a task holds at once
+FOREST_EDGES = 1 << 18  # edges that a task holds at once
 
 log = logging.getLogger(__name__)
 
@@ -30,35 +30,36 @@ log = logging.getLogger(__name__)
 def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of some edges that is not the smallest of its component there, and that smallest node."""
     nodes, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    for a, b in zip(codes[:len(u)].tolist(), codes[len(u):].tolist(), strict=True):
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        while parent[b] != b:
-            parent[b] = b = parent[parent[b]]
-        if a < b:
-            parent[b] = a
-        elif b < a:
-            parent[a] = b
-    for i, p in enumerate(parent):  # a parent is smaller than its child, so it is done before
-        parent[i] = parent[p]
-    root = np.array(parent, dtype=np.int64)
+    a, b, root = codes[:len(u)], codes[len(u):], np.arange(len(nodes))
+    while True:
+        a, b = root[a], root[b]
+        open_ = a != b
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # a root is linked to the smallest root it meets
+        while not np.array_equal(root, above := root[root]):
+            root = above
     below = root != np.arange(len(nodes))
     return nodes[below], nodes[root[below]]
 
 
 def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def forest(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forest(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        found = []
         for job, own in pd.concat(parts).groupby("job_id", sort=False):
             node, root = _roots(own["u"].to_numpy(), own["v"].to_numpy())
-            yield pd.DataFrame({"job_id": [job] * len(node), "u": node, "v": root})
+            found.append(pd.DataFrame({"job_id": [job] * len(node), "u": node, "v": root}))
+        return found
 
     held: list[pd.DataFrame] = []
     for batch in batches:
         held.append(batch)
         if sum(map(len, held)) >= FOREST_EDGES:
-            yield from forest(held)
-            held = []
+            held = forest(held)
+            if sum(map(len, held)) >= FOREST_EDGES // 2:  # a smaller one is kept, and takes up what follows
+                yield from held
+                held = []
     if held:
         yield from forest(held)
 
