@@ -48,3 +48,17 @@ def test_first_place_of_a_claim_is_not_sorted_for(spark, monkeypatch):
     got = ops.assign_ref_numbers(spark.createDataFrame(rows, "job_id string, review_pos long, kc_pos long, claim_id string"))
     assert {r.claim_id: r.ref_number for r in got.collect()} == {"c": 1, "d": 2, "a": 3, "b": 4}
     assert len(seen) == 1 and "SortAggregate" not in seen[0]
+
+
+def test_points_are_embedded_once(spark, monkeypatch, tmp_path):
+    import __spark_entry__  # noqa: F401  registers the queries in their order
+    from citeloom.catalog import live
+    from citeloom.catalog.stand_ins import Tables
+
+    written = []
+    upsert = live.entities.upsert
+    monkeypatch.setattr(live.entities, "upsert", lambda s, root, name, df, **more: written.append(plan_of(df)) or upsert(s, root, name, df, **more))
+    points = spark.createDataFrame([("1", "j", "a b"), ("9", "j", "c")], "id string, job_id string, text string")
+    found = live.indexed(Tables(spark, str(tmp_path)), "literature_review", points, order="job_id")
+    assert sorted(map(tuple, found.collect())) == [("1", "a b", 8), ("9", "c", 8)]
+    assert len(written) == 2 and not any("ArrowEvalPython" in plan for plan in written)
