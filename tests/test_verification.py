@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from citeloom.operators import checks, corpus, evals, gates, grounding, views
+from citeloom.plans import jobs
 
 SCORES = "theme_id string, sentence_pos int, claim_pos int, claim_id string, contradiction double, entailment double, neutral double"
 
@@ -132,3 +133,31 @@ def test_review_text_parts_join_to_the_whole(spark):
     assert "\n\n".join(parts) == "# T\n\nA\n\n" + "\n\n".join(f"## L{i}\nc{i}" for i in range(5))
     shown = views.review_markdown(review, sections, block=2)
     assert shown.filter("job_id = 'k'").count() == 0 and shown.filter("part = -1").first().text == "*A*"
+
+
+def test_reviews_are_not_planned_as_broadcasts(spark, rows, tmp_path):
+    """All sides of the joins of reviews grow with the input, and their files are far smaller than what the driver would hold of them."""
+    def stored(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    key = F.col("id").cast("string")
+    parts = stored("parts", spark.range(300))
+    batch = F.floor(F.col("id") / 5)
+    reviews = parts.select(batch.alias("batch"), F.col("id").alias("review_no"), F.concat(F.lit("theme__"), key).alias("theme_name"), F.concat(F.lit("x@y.org on "), key).alias("review"),
+                           F.array(F.concat(F.lit("a"), key), F.lit("b")).alias("consensus"), F.array(F.lit("c")).alias("disagreements"), F.array(F.lit("g")).alias("gaps"))
+    named = parts.select(batch.alias("batch"), F.col("id").alias("pos"), key.alias("theme_id"), F.concat(F.lit("Theme "), key).alias("name"))
+    claims = stored("claims", spark.range(0, 300, 3).select(key.alias("theme_id"), F.concat(F.lit("c"), key).alias("claim_id")))
+    labels = parts.select(key.alias("theme_id"), F.lit("CONSENSUS").alias("kind"), F.lit(0).alias("at"), F.lit("CONSENSUS").alias("label"))
+    scores = claims.select("theme_id", F.lit(0).alias("sentence_pos"), F.lit("S").alias("sentence"), F.lit(0).alias("claim_pos"), "claim_id",
+                           F.lit(0.1).alias("contradiction"), F.lit(0.2).alias("entailment"), F.lit(0.7).alias("neutral"))
+    second = parts.select(key.alias("theme_id"), F.lit("S").alias("sentence"), F.lit("ENTAILED").alias("label"))
+    cited = claims.select(F.lit("0").alias("batch"), F.lit("n").alias("theme_name"), "claim_id")
+    told = jobs.review_themes(reviews, named, cited, cited.drop("theme_name"), claims, labels, scores, second)
+    for df in (told.reviews, told.grounding):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["theme_id"]: r for r in told.reviews.collect()}
+    assert len(got) == 300 and got["7"]["consensus"] == ["a7", "b"] and got["7"]["gaps"] == ["g"]
+    assert got["9"]["label"] == "Theme 9" and got["9"]["review"] == "[EMAIL] on 9" and got["9"]["consensus"] == ["a9"] and got["9"]["disagreements"] == []
+    assert got["9"]["gaps"] == ["g", "Not verified as consensus: b", "Not verified as disagreement: c"]
+    assert rows(told.grounding, "verdict", "resolved_by") == [("grounded", "llm_as_nli")] * 100
